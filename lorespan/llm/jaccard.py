@@ -6,16 +6,20 @@ hash into n1 partitions of N2 cells, so many that in at least one partition two
 differ in at most K2 cells; there they agree on one of the subsets of N2 - K2 cells. The hash of
 a subset's features is a signature, and similar sets share at least one.
 
-n1 has a few partitions to spare. As many of them may be left out by each set, which drops the
-signatures with the fewest features (they match by chance): of two sets, the one that drops more
-still keeps a partition where both agree, and what it keeps there the other one keeps, too.
+n1 has a few partitions to spare, so two similar sets agree in one more than those. A signature of
+over HOT classes (mostly made of a passage that many documents hold, or of nothing) is therefore
+left out by each set that has no more such signatures than partitions to spare: a partition where
+it agrees with a similar set remains, and the other set keeps or leaves out the same signatures or
+keeps all. A set with more hot signatures keeps all of them.
 
 Plan: (1) one pass gives each document its set's size and key, and equal sets become one class;
 (2) a second pass packs signatures into blocks, dealt by signature, with repeats inside a task
 merged before the shuffle; a signature of two or more classes survives; (3) each class is tested
 against the best connected class of each of its signatures, on exact sets; (4) components; (5)
-classes that share a signature but no component are tested pair by pair, and components follow
-again. So a group of n near copies takes about n tests, and no link between components is lost.
+classes that share a signature but no component are compared by parity sketches, those that can
+be similar on exact sets, and components follow again. So a group of n near copies takes about n
+tests, and no link between components is lost. The sketch of a set has SKETCH bits; each feature
+flips one of them, so sketches differ in no more bits than the sets in features.
 
 Set keys and features are 64-bit hashes; nothing else is approximate.
 """
@@ -37,10 +41,13 @@ from lorespan.llm.common import chunks, cut, mix, plain, shingles, shared_checkp
 
 #: Cells of a partition, and how many of them may differ.
 N2, K2 = 3, 1
-#: Share of partitions to spare.
-SPARE = 0.12
+#: Share of partitions to spare, and how many classes make a signature hot.
+SPARE, HOT = 0.15, 50
 #: Signatures that a task gathers before it packs them.
 PACK = 1 << 20
+#: Bits of a sketch.
+SKETCH = 1024
+_WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 _SUBSETS = np.array([[i in c for i in range(N2)] for c in combinations(range(N2), N2 - K2)])
 _PAIR = np.dtype([("sig", "<u8"), ("key", "<u8")])
 
@@ -66,13 +73,18 @@ def bands(percent: int, most: int) -> np.ndarray:
     return np.array(out)
 
 
-def shape(percent: int, bounds: np.ndarray, j: int) -> int:
-    """n1 of band j; 0 where similar sets are equal sets."""
+def needed(percent: int, bounds: np.ndarray, j: int) -> int:
+    """Partitions of band j of which one at least differs in K2 features at most; 0 where similar sets are equal sets."""
     k = 2 * int(bounds[j + 1] - 1) * (100 - percent) // (100 + percent)
-    if not k:
-        return 0
-    need = k // (K2 + 1) + 1
-    return need + spare(need)
+    return k and k // (K2 + 1) + 1
+
+
+def own_bands(n: int, percent: int) -> list[tuple[int, int]]:
+    """(band, partitions needed) for a set of n features: its own band and, where a similar set can be there, the next one."""
+    bounds = bands(percent, 1 << max(20, n.bit_length() + 2))
+    j = int(np.searchsorted(bounds, n, "right")) - 1
+    found = [(x, needed(percent, bounds, x)) for x in ((j, j + 1) if n * 100 >= int(bounds[j + 1]) * percent else (j,))]
+    return [x for x in found if x[1]]
 
 
 def spare(need: int) -> int:
@@ -80,40 +92,31 @@ def spare(need: int) -> int:
 
 
 def signatures(features: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set, for its own band and, where a similar set can be there, the next one."""
-    n = len(features)
-    if not n:
-        return features
-    bounds = bands(percent, 1 << max(20, n.bit_length() + 2))
-    j = int(np.searchsorted(bounds, n, "right")) - 1
-    out = []
-    for band in (j, j + 1) if n * 100 >= int(bounds[j + 1]) * percent else (j,):
-        n1 = shape(percent, bounds, band)
-        if not n1:
-            continue
+    """The signatures of a set."""
+    out = [features[:0]]
+    for band, need in own_bands(len(features), percent) if len(features) else ():
+        n1 = need + spare(need)
         with np.errstate(over="ignore"):
             cell = (mix(features ^ np.uint64(band + 1)) % np.uint64(n1 * N2)).astype(np.int64)
             value = mix(features + np.uint64(0x51ED270B))
-        count = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
-        low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(float), n1 * N2).astype(np.uint64)
-        high = np.bincount(cell, (value >> np.uint64(32)).astype(float), n1 * N2).astype(np.uint64)
-        with np.errstate(over="ignore"):
+            low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(float), n1 * N2).astype(np.uint64)
+            high = np.bincount(cell, (value >> np.uint64(32)).astype(float), n1 * N2).astype(np.uint64)
             total = (low + (high << np.uint64(32))).reshape(n1, N2)
             sums = np.stack([total[:, s].sum(axis=1, dtype=np.uint64) for s in _SUBSETS], axis=1)
             name = np.arange(n1 * len(_SUBSETS), dtype=np.uint64).reshape(n1, -1) + np.uint64(band << 40)
-            sig = mix(sums ^ mix(name + np.uint64(1)))
-        has = np.stack([count[:, s].sum(axis=1) for s in _SUBSETS], axis=1)
-        # the least count of a partition decides whether a threshold spoils it
-        least = np.sort(has.min(axis=1))
-        need = (2 * int(bounds[band + 1] - 1) * (100 - percent) // (100 + percent)) // (K2 + 1) + 1
-        out.append(sig[has >= least[n1 - need]])
-    return np.concatenate(out) if out else features[:0]
+            out.append(mix(sums ^ mix(name + np.uint64(1))).ravel())
+    return np.concatenate(out)
 
 
 def set_key(features: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(features.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(features: np.ndarray) -> np.ndarray:
+    bits = (mix(features + np.uint64(0x2545F491)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     for a, b, data, offsets in chunks(column):
         hashes, at = words(data, offsets)
@@ -122,17 +125,18 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def profile(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n_shingles, key (null for an empty set)."""
+    """doc_id, n_shingles, key (null for an empty set), spare (hot signatures that it may leave out) and its sketch."""
 
     def run(batches):
         for batch in batches:
             sets = [x for _, x in _sets(batch.column("text"), sim.width)]
+            bits = np.array([sketch(x) for x in sets], np.int64).reshape(len(sets), len(_WORDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64())],
-                ["doc_id", "n_shingles", "key"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([min((spare(need) for _, need in own_bands(max(1, len(x)), sim.percent)), default=0) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_WORDS)))],
+                ["doc_id", "n_shingles", "key", "spare", *_WORDS],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, spare int, " + ", ".join(f"{x} long" for x in _WORDS))
 
 
 def _pack(found: list[np.ndarray], blocks: int) -> pa.RecordBatch:
@@ -247,10 +251,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = plain(docs, "doc_id", "text")
     profiles = cut(profile(docs, sim))
     known = docs.where(F.col("doc_id").isNotNull())
-    classes = cut(profiles.where("doc_id is not null and key is not null").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("node")))
+    classes = cut(profiles.where("doc_id is not null and key is not null").groupBy("key", "n_shingles", "spare").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in _WORDS)))
     # Equal sets, and different sets of one doc_id, are linked to begin with.
     same = profiles.where("doc_id is not null").join(classes, ["key", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    members = cut(shared_signatures(known, sim).distinct().join(classes, "key").select("sig", "node", F.col("n_shingles").alias("n")).distinct())
+    members = cut(shared_signatures(known, sim).distinct().join(classes, "key").select("sig", "node", F.col("n_shingles").alias("n"), "spare").distinct())
+    hot = members.groupBy("sig").count().where(F.col("count") > HOT).select("sig", F.lit(True).alias("hot"))
+    members = members.join(hot, "sig", "left").select("sig", "node", "n", "spare", F.coalesce("hot", F.lit(False)).alias("hot"))
+    many = members.where("hot").groupBy("node").agg(F.count("*").alias("n_hot"))
+    members = cut(members.join(many, "node", "left").where("not hot or n_hot > spare").select("sig", "node", "n"))
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "node").groupBy("sig").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
     pair = (F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
@@ -261,9 +269,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # What shares a signature and is in different components yet.
     at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
-    at = cut(at.join(mixed, "sig").select("sig", "node", "n", "label"))
-    other = at.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    rest = at.join(other, "sig").where("node < node2 and label != label2").where(sim.close(F.least("n", "n2"), F.greatest("n", "n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    at = cut(at.join(mixed, "sig").select("sig", "node", "n", "label").join(classes.select("node", *_WORDS), "node"))
+    other = at.select("sig", *(F.col(x).alias(f"{x}_") for x in ("node", "n", "label", *_WORDS)))
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_"))) for x in _WORDS), F.lit(0))
+    near = (at["sig"] == other["sig"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & sim.close(F.least("n", "n_"), F.greatest("n", "n_"))
+    rest = at.join(other, near & (differ * (100 + percent) <= (F.col("n") + F.col("n_")) * (100 - percent))).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
     rest = cut(rest.join(first, ["a", "b"], "left_anti"))
     more = cut(_verified(rest, known, classes, sim))
     if not more.isEmpty():
