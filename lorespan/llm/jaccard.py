@@ -34,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.llm.common import chunks, cut, mix, plain, shingles, shared_checkpoints, small_batches, words
@@ -42,14 +42,18 @@ from lorespan.llm.common import chunks, cut, mix, plain, shingles, shared_checkp
 #: Cells of a partition, and how many of them may differ.
 N2, K2 = 3, 1
 #: Share of partitions to spare, and how many classes make a signature hot.
-SPARE, HOT = 0.15, 50
+SPARE, HOT = 0.05, 50
+#: Nodes whose sets are wanted that are broadcast, 16 bytes each; beyond, texts are shuffled to them.
+BROADCAST_NODES = 4_000_000
 #: Signatures that a task gathers before it packs them.
 PACK = 1 << 20
 #: Bits of a sketch.
 SKETCH = 1024
 _WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 _SUBSETS = np.array([[i in c for i in range(N2)] for c in combinations(range(N2), N2 - K2)])
-_PAIR = np.dtype([("sig", "<u8"), ("key", "<u8")])
+#: A pair is shuffled as its first 14 bytes: signatures have 48 bits.
+_PAIR = np.dtype([("key", "<u8"), ("sig", "<u8")])
+_PACKED, _SIG_BITS = 14, np.uint64((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
@@ -141,7 +145,8 @@ def profile(docs: DataFrame, sim: Similarity) -> DataFrame:
 
 def _pack(found: list[np.ndarray], blocks: int) -> pa.RecordBatch:
     """Blobs of (signature, key) by block; block is -1 - x for pairs known to share a signature."""
-    pairs = np.unique(np.concatenate(found))
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs["key"], pairs["sig"]))]
     again = pairs["sig"][1:] == pairs["sig"][:-1]
     shared = np.r_[again, False] | np.r_[False, again]
     ids, blobs = [], []
@@ -152,7 +157,7 @@ def _pack(found: list[np.ndarray], blocks: int) -> pa.RecordBatch:
         for x, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
             if b > a:
                 ids.append(-1 - x if known else x)
-                blobs.append(rows[a:b].tobytes())
+                blobs.append(np.ascontiguousarray(rows[a:b]).view(np.uint8).reshape(b - a, _PAIR.itemsize)[:, :_PACKED].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["block", "pairs"])
 
 
@@ -168,7 +173,7 @@ def shared_signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
                 if not len(features) or (key := set_key(features)) in seen:
                     continue
                 seen.add(key)
-                sigs = np.unique(signatures(features, sim.percent))
+                sigs = np.unique(signatures(features, sim.percent) & _SIG_BITS)
                 pairs = np.empty(len(sigs), _PAIR)
                 pairs["sig"], pairs["key"] = sigs, np.uint64(key & 0xFFFFFFFFFFFFFFFF)
                 found.append(pairs)
@@ -180,17 +185,20 @@ def shared_signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
             yield _pack(found, blocks)
 
     def rows(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(pairs["sig"].view(np.int64)), pa.array(pairs["key"].view(np.int64))], ["sig", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[x]).view(np.int64)) for x in ("sig", "key")], ["sig", "key"])
 
     def meet(batches):
         waiting = []
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("pairs"), strict=True):
-                pairs = np.frombuffer(blob.as_buffer(), _PAIR)
+                packed = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, _PACKED)
+                pairs = np.zeros((len(packed), _PAIR.itemsize), np.uint8)
+                pairs[:, :_PACKED] = packed
+                pairs = pairs.view(_PAIR).ravel()
                 if block < 0:
-                    yield rows(np.ascontiguousarray(pairs))
+                    yield rows(pairs)
                 else:
-                    waiting.append(pairs.copy())
+                    waiting.append(pairs)
         if waiting:
             pairs = np.concatenate(waiting)
             pairs = pairs[np.lexsort((pairs["key"], pairs["sig"]))]
@@ -198,7 +206,7 @@ def shared_signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
             again = pairs["sig"][1:] == pairs["sig"][:-1]
             pairs = pairs[np.r_[again, False] | np.r_[False, again]]
             for a in range(0, len(pairs), 1 << 16):
-                yield rows(np.ascontiguousarray(pairs[a : a + (1 << 16)]))
+                yield rows(pairs[a : a + (1 << 16)])
 
     return docs.mapInArrow(emit, "block int, pairs binary").repartition("block").mapInArrow(meet, "sig long, key long")
 
@@ -208,15 +216,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sim: Simila
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            out = [(ids[i], set_key(x), x.view(np.int64)) for i, x in _sets(batch.column("text"), sim.width) if len(x)]
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
+            out = [(ids[i], x.view(np.int64)) for i, x in _sets(batch.column("text"), sim.width) if len(x) and set_key(x) == keys[i]]
             for i in range(0, len(out), 200):
                 part = out[i : i + 200]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.list_(pa.int64()))], ["node", "key", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.list_(pa.int64()))], ["node", "items"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, key long, items array<long>")
-    sets = sets.join(classes.select("node", "key"), ["node", "key"], "left_semi").select("node", "items")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key"), "node").select(F.col("node").alias("doc_id"), "key"))
+    few = wanted.count() <= BROADCAST_NODES
+    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "key", "text").mapInArrow(run, "node long, items array<long>")
     left, right = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     both = F.size(F.array_intersect("items_a", "items_b"))
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("items_a") + F.size("items_b") - both) * sim.percent).select("a", "b").distinct()
@@ -236,6 +244,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _can_be(sim: Similarity, one: list[Column], other: list[Column]) -> Column:
+    """False only if sets with these (size, sketch...) aren't similar."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one[1:], other[1:], strict=True)), F.lit(0))
+    return sim.close(F.least(one[0], other[0]), F.greatest(one[0], other[0])) & (differ * (100 + sim.percent) <= (one[0] + other[0]) * (100 - sim.percent))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text; other columns are left aside).
 
@@ -260,10 +274,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     many = members.where("hot").groupBy("node").agg(F.count("*").alias("n_hot"))
     members = cut(members.join(many, "node", "left").where("not hot or n_hot > spare").select("sig", "node", "n"))
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    hubs = members.join(degree, "node").groupBy("sig").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
-    pair = (F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    fits = sim.close(F.least("n", "hub.n"), F.greatest("n", "hub.n"))
-    first = cut(members.join(hubs, "sig").where(F.col("node") != F.col("hub.node")).where(fits).select(*pair).distinct())
+    hubs = members.join(degree, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    pairs = members.join(hubs, "sig").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    sized = classes.select("node", "n_shingles", *_WORDS)
+    for x in "ab":
+        pairs = pairs.join(sized.select(*(F.col(y).alias(f"{y}_{x}") for y in sized.columns)).withColumnRenamed(f"node_{x}", x), x)
+    first = cut(pairs.where(_can_be(sim, *([F.col(f"{y}_{x}") for y in ("n_shingles", *_WORDS)] for x in "ab"))).select("a", "b").distinct())
     edges = cut(_verified(first, known, classes, sim).union(same.distinct()))
     labels = components(edges)
     # What shares a signature and is in different components yet.
@@ -271,9 +287,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = at.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
     at = cut(at.join(mixed, "sig").select("sig", "node", "n", "label").join(classes.select("node", *_WORDS), "node"))
     other = at.select("sig", *(F.col(x).alias(f"{x}_") for x in ("node", "n", "label", *_WORDS)))
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_"))) for x in _WORDS), F.lit(0))
-    near = (at["sig"] == other["sig"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & sim.close(F.least("n", "n_"), F.greatest("n", "n_"))
-    rest = at.join(other, near & (differ * (100 + percent) <= (F.col("n") + F.col("n_")) * (100 - percent))).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
+    alike = _can_be(sim, *([at[y] for y in ("n", *_WORDS)], [other[f"{y}_"] for y in ("n", *_WORDS)]))
+    met = (at["sig"] == other["sig"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_"))
+    rest = at.join(other, met & alike).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
     rest = cut(rest.join(first, ["a", "b"], "left_anti"))
     more = cut(_verified(rest, known, classes, sim))
     if not more.isEmpty():
