@@ -7,12 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import decontam, jaccard, mixing
+from lorespan.llm import blob_ledger, decontam, jaccard, mixing
 from lorespan.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op2_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = blob_ledger.scan_paths(docs)
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    kinds = F.transform("spans", lambda x: x["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *counts,
+        F.sha2(blob_ledger.listed(base), 256).alias("base_sha256"),
+        blob_ledger.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def _op2_kind(no: int, kind: str, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return rf"""
+  SELECT doc_id, {no} AS no, '{kind}' AS kind, CAST(a AS BIGINT) AS a, CAST(a + length(m[i]) AS BIGINT) AS b FROM (
+    SELECT doc_id, m, g, i, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+    FROM (SELECT doc_id, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS p FROM d)))
+  WHERE length(g[i]) >= {least}"""
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join((
+    _op2_kind(0, "assign", blob_ledger._ASSIGN, 2, 12),
+    _op2_kind(1, "access", "AKIA[A-Z0-9]+", 0, 18),
+    _op2_kind(2, "hex", "[0-9a-f]{16,}", 0, 16),
+))}),
+f AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no) AS spans
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+  CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id
+"""
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -78,12 +119,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_blob_ledger": op2_blob_ledger,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_decontamination": op7_decontamination,
     "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op2_blob_ledger": OP2_SQL,
     "op4_ngram_jaccard": OP4_SQL,
     "op7_decontamination": OP7_SQL,
 }
