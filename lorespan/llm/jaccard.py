@@ -18,8 +18,8 @@ merged before the shuffle; a signature of two or more classes survives; (3) each
 against the best connected class of each of its signatures, on exact sets; (4) components; (5)
 classes that share a signature but no component are compared by parity sketches, those that can
 be similar on exact sets, and components follow again. So a group of n near copies takes about n
-tests, and no link between components is lost. The sketch of a set has SKETCH bits; each feature
-flips one of them, so sketches differ in no more bits than the sets in features.
+tests, and no link between components is lost. A sketch has at least two bits a feature; each
+feature flips one of them, so sketches differ in no more bits than the sets in features.
 
 Set keys and features are 64-bit hashes; nothing else is approximate.
 """
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import chunks, cut, mix, plain, shingles, shared_checkpoints, small_batches, words
+from lorespan.llm.common import chunks, cut, mix, plain, shingles, shared_checkpoints, small_batches, tidy, words
 
 #: Cells of a partition, and how many of them may differ.
 N2, K2 = 3, 1
@@ -47,7 +47,7 @@ SPARE, HOT = 0.05, 50
 BROADCAST_NODES = 4_000_000
 #: Signatures that a task gathers before it packs them.
 PACK = 1 << 20
-#: Bits of a sketch.
+#: Bits of a short sketch; that of a larger set has twice as many, and so on, and folds to it.
 SKETCH = 1024
 _WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 _SUBSETS = np.array([[i in c for i in range(N2)] for c in combinations(range(N2), N2 - K2)])
@@ -117,8 +117,12 @@ def set_key(features: np.ndarray) -> int:
 
 
 def sketch(features: np.ndarray) -> np.ndarray:
-    bits = (mix(features + np.uint64(0x2545F491)) % np.uint64(SKETCH)).astype(np.int64)
-    return np.packbits((np.bincount(bits, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+    """Parities of hashed features, as 64-bit words."""
+    bits = SKETCH
+    while bits < 2 * len(features):
+        bits *= 2
+    at = (mix(features + np.uint64(0x2545F491)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -134,13 +138,14 @@ def profile(docs: DataFrame, sim: Similarity) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = [x for _, x in _sets(batch.column("text"), sim.width)]
-            bits = np.array([sketch(x) for x in sets], np.int64).reshape(len(sets), len(_WORDS))
+            long = [sketch(x) for x in sets]
+            bits = np.array([np.bitwise_xor.reduce(x.reshape(-1, len(_WORDS))) for x in long], np.int64).reshape(len(sets), len(_WORDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([min((spare(need) for _, need in own_bands(max(1, len(x)), sim.percent)), default=0) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_WORDS)))],
-                ["doc_id", "n_shingles", "key", "spare", *_WORDS],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([min((spare(need) for _, need in own_bands(max(1, len(x)), sim.percent)), default=0) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_WORDS))), pa.array(long, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "key", "spare", *_WORDS, "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, spare int, " + ", ".join(f"{x} long" for x in _WORDS))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, spare int, " + ", ".join(f"{x} long" for x in _WORDS) + ", sketch array<long>")
 
 
 def _pack(found: list[np.ndarray], blocks: int) -> pa.RecordBatch:
@@ -244,10 +249,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _can_be(sim: Similarity, one: list[Column], other: list[Column]) -> Column:
-    """False only if sets with these (size, sketch...) aren't similar."""
-    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one[1:], other[1:], strict=True)), F.lit(0))
-    return sim.close(F.least(one[0], other[0]), F.greatest(one[0], other[0])) & (differ * (100 + sim.percent) <= (one[0] + other[0]) * (100 - sim.percent))
+def _can_be(sim: Similarity, n: Column, m: Column, differ: Column) -> Column:
+    """False only if sets of n and m features whose sketches differ in so many bits aren't similar."""
+    return sim.close(F.least(n, m), F.greatest(n, m)) & (differ * (100 + sim.percent) <= (n + m) * (100 - sim.percent))
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of nodes without those whose sketches tell that they aren't similar."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseXOR(q))
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
+    a, b = (F.when(F.size(f"sketch_{x}") > F.size(f"sketch_{y}"), half(F.col(f"sketch_{x}"))).otherwise(F.col(f"sketch_{x}")) for x, y in ("ab", "ba"))
+    pairs = pairs.where(sim.close(F.least("n_a", "n_b"), F.greatest("n_a", "n_b")))
+    differ = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    return pairs.where(_can_be(sim, F.col("n_a"), F.col("n_b"), differ)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -265,32 +280,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = plain(docs, "doc_id", "text")
     profiles = cut(profile(docs, sim))
     known = docs.where(F.col("doc_id").isNotNull())
-    classes = cut(profiles.where("doc_id is not null and key is not null").groupBy("key", "n_shingles", "spare").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in _WORDS)))
+    classes = cut(profiles.where("doc_id is not null and key is not null").groupBy("key", "n_shingles", "spare").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in (*_WORDS, "sketch"))))
     # Equal sets, and different sets of one doc_id, are linked to begin with.
     same = profiles.where("doc_id is not null").join(classes, ["key", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    members = cut(shared_signatures(known, sim).distinct().join(classes, "key").select("sig", "node", F.col("n_shingles").alias("n"), "spare").distinct())
+    members = cut(shared_signatures(known, sim).join(classes, "key").select("sig", "node", F.col("n_shingles").alias("n"), "spare").distinct())
     hot = members.groupBy("sig").count().where(F.col("count") > HOT).select("sig", F.lit(True).alias("hot"))
     members = members.join(hot, "sig", "left").select("sig", "node", "n", "spare", F.coalesce("hot", F.lit(False)).alias("hot"))
+    tidy(spark)
     many = members.where("hot").groupBy("node").agg(F.count("*").alias("n_hot"))
     members = cut(members.join(many, "node", "left").where("not hot or n_hot > spare").select("sig", "node", "n"))
+    del hot, many
+    tidy(spark)
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     pairs = members.join(hubs, "sig").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    sized = classes.select("node", "n_shingles", *_WORDS)
-    for x in "ab":
-        pairs = pairs.join(sized.select(*(F.col(y).alias(f"{y}_{x}") for y in sized.columns)).withColumnRenamed(f"node_{x}", x), x)
-    first = cut(pairs.where(_can_be(sim, *([F.col(f"{y}_{x}") for y in ("n_shingles", *_WORDS)] for x in "ab"))).select("a", "b").distinct())
+    first = cut(_likely(pairs, classes, sim))
     edges = cut(_verified(first, known, classes, sim).union(same.distinct()))
     labels = components(edges)
+    tidy(spark)
     # What shares a signature and is in different components yet.
     at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
     at = cut(at.join(mixed, "sig").select("sig", "node", "n", "label").join(classes.select("node", *_WORDS), "node"))
     other = at.select("sig", *(F.col(x).alias(f"{x}_") for x in ("node", "n", "label", *_WORDS)))
-    alike = _can_be(sim, *([at[y] for y in ("n", *_WORDS)], [other[f"{y}_"] for y in ("n", *_WORDS)]))
+    differ = sum((F.bit_count(at[x].bitwiseXOR(other[f"{x}_"])) for x in _WORDS), F.lit(0))
     met = (at["sig"] == other["sig"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_"))
-    rest = at.join(other, met & alike).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
+    rest = at.join(other, met & _can_be(sim, F.col("n"), F.col("n_"), differ)).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
+    rest = cut(_likely(rest.join(first, ["a", "b"], "left_anti"), classes, sim))
     more = cut(_verified(rest, known, classes, sim))
     if not more.isEmpty():
         labels = components(edges.union(more))
