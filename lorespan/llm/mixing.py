@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Newton steps at most; relative error at which they end; cells of the grid of shifts.
 STEPS, ERROR, GRID = 60, 1e-10, 4096
+#: Rows, one a source, that are broadcast to documents; if there are more sources, rows are shuffled by source.
+BROADCAST_SOURCES = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,16 +84,21 @@ def _dithered(most: int) -> Column:
     return rate + u
 
 
+def beside(sources: DataFrame) -> DataFrame:
+    """Rows of sources as the small side of a join with documents."""
+    return F.broadcast(sources) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else sources
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Of docs (doc_id, source, size): those rows, kept in the shared folder, and one row a source with all that makes copies of them."""
     sizes = cut(docs)
     sources = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("mean")).select("source", "source_size", "mean").drop("mean"), weights, share, most))
-    ranked = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "rank")
+    ranked = sizes.join(beside(sources), sizes["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "rank")
     counts = cut(ranked.groupBy("rank", "size").agg(F.count("*").alias("n")))
     means = counts.where("size > 0").groupBy("rank").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     goals = cut(sources.join(means, "rank", "left").withColumn("mean", F.coalesce("mean", F.lit(1.0))))
     goals = cut(goals.join(tilts(counts, goals, most), "rank"))
-    value = ranked.join(goals.select("rank", "mean", "tilt"), "rank").withColumn("value", _dithered(most))
+    value = ranked.join(beside(goals.select("rank", "mean", "tilt")), "rank").withColumn("value", _dithered(most))
     # words at shift -1, and where along the grid of shifts each document gains a copy
     gain = F.filter(F.transform(F.array(*(F.lit(float(m)) for m in range(1, most + 1))), lambda m: F.ceil((m - F.col("value") + 1) * (GRID / 2)).cast("int")), lambda b: (b > 0) & (b <= GRID))
     steps = value.select("rank", F.col("size"), F.explode(F.concat(F.transform(gain, lambda b: F.struct(b.alias("bin"), F.col("size").alias("mass"))), F.array(F.struct(F.lit(0).alias("bin"), (_copies(F.col("value") - 1, most) * F.col("size")).alias("mass"))))).alias("x"))
@@ -110,7 +117,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     gives an empty one. The same rows get the same copies in any order and partitioning.
     """
     sizes, goals = plan(plain(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size")), weights, share, most)
-    out = sizes.join(goals.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
+    out = sizes.join(beside(goals.withColumnRenamed("source", "source_")), F.col("source").eqNullSafe(F.col("source_")))
     out = out.withColumn("value", _dithered(most)).withColumn("copies", _copies(F.col("value") + F.col("shift"), most))
     rate = F.least(F.lit(float(most)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0))))
     return out.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -123,7 +130,7 @@ def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     text = docs.withColumn("size", n_words(F.col("text")))
     _, goals = plan(text.select("doc_id", "source", "size"), weights, share, most)
     goals = goals.select(F.struct("source", "source_size", "target", "mean", "tilt", "shift").alias("_goal"))
-    out = text.join(goals, F.col("source").eqNullSafe(F.col("_goal.source")))
+    out = text.join(beside(goals), F.col("source").eqNullSafe(F.col("_goal.source")))
     size = F.col("size") / F.col("_goal.mean")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("_goal.tilt") * size, F.lit(50.0)))))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) / F.lit(float(1 << 53))
