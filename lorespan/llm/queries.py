@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import blob_ledger, decontam, jaccard, mixing, toxicity
+from lorespan.llm import blob_ledger, decontam, jaccard, mixing, telephony, toxicity
 from lorespan.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,6 +80,10 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
 
+def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.digests(telephony.store(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -134,6 +138,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_blob_ledger": op2_blob_ledger,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_telephony_audio": op6_telephony_audio,
     "op7_decontamination": op7_decontamination,
     "op8_toxic_segments": op8_toxic_segments,
     "op10_mixing": op10_mixing,
