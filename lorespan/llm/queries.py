@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import blob_ledger, decontam, jaccard, mixing, telephony, toxicity
+from lorespan.llm import blob_ledger, decontam, html_density, jaccard, mixing, telephony, toxicity
 from lorespan.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,6 +131,10 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -141,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_telephony_audio": op6_telephony_audio,
     "op7_decontamination": op7_decontamination,
     "op8_toxic_segments": op8_toxic_segments,
+    "op9_text_density": op9_text_density,
     "op10_mixing": op10_mixing,
 }
 
