@@ -46,7 +46,7 @@ _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     parent: Node | None = None
@@ -203,15 +203,16 @@ def content(root: Node, body: Node) -> list[Node]:
     while at is not None and at.tag != "html":
         path.append(at)
         at = at.parent
+    inside = set(path)
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
     # blocks beside the path that are as dense as its least dense node belong to the text
     for node in path[1:]:
         beside = [x for x in node.parts if isinstance(x, Node) and not x.marked and x.tag in BLOCK and x.chars]
-        if sum(x.density >= threshold for x in beside if x not in path) and all(x.density >= threshold or x in path for x in beside):
+        if sum(x.density >= threshold for x in beside if x not in inside) and all(x.density >= threshold or x in inside for x in beside):
             best = node
     # lists of links that are less dense are noise
     for node in candidates:
-        if node.tag in BLOCK and node not in path and node.link_tags > 1 and node.link_chars > 0.6 * node.chars and node.density < threshold:
+        if node.tag in BLOCK and node not in inside and node.link_tags > 1 and node.link_chars > 0.6 * node.chars and node.density < threshold:
             node.marked = True
     return [best]
 
