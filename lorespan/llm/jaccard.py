@@ -312,3 +312,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         labels = components(edges.union(more))
     out = profiles.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs, in all their columns, with the document of least doc_id of each component; of rows with one doc_id one stays. Rows without doc_id stay."""
+    found = cut(near_duplicates(docs, width, percent))
+    gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
+    few = gone.count() <= BROADCAST_NODES
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
