@@ -7,12 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import blob_ledger, decontam, html_density, jaccard, mixing, telephony, toxicity
+from lorespan.llm import blob_ledger, decontam, html_density, jaccard, mixing, preference, telephony, toxicity
 from lorespan.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preference.format_pairs(preference.own_pairs(table(spark, sf_dir, "conversations")))
+    ranges = lambda s: F.array_join(F.transform(f"{s}_masked", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(f"{s}_masked")
+    return rows.select(F.col("pair_id").alias("conv_id"), F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", ranges("chosen"), "rejected", ranges("rejected"))
+
+
+OP1_SQL = """
+WITH one AS (
+  SELECT conv_id, turn, min(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))) AS x
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+c AS (SELECT conv_id, list(x ORDER BY turn) AS ts FROM one GROUP BY conv_id),
+a AS (
+  SELECT conv_id, ts, list_filter(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN ts[i].r = 'assistant' THEN i ELSE 0 END), lambda i: i > 0) AS pos
+  FROM c),
+p AS (
+  SELECT conv_id, ts, pos[-1] AS last, CASE WHEN len(pos) > 1 THEN pos[-2] END AS before FROM a WHERE len(pos) > 0),
+q AS (
+  SELECT conv_id, ts, last, before, before IS NOT NULL AND ts[before].t = ts[last].t AS same FROM p),
+z AS (
+  SELECT conv_id, CAST(CASE WHEN same THEN last ELSE last - 1 END AS BIGINT) AS n_common, same, before,
+    array_to_string(list_transform(ts[1:CASE WHEN same THEN last ELSE last - 1 END], lambda x: '<|start|>' || x.r || chr(10) || x.t || '<|end|>' || chr(10)), '') AS prompt,
+    ts[last].t AS good, CASE WHEN before IS NOT NULL THEN ts[before].t END AS bad
+  FROM q)
+SELECT conv_id, n_common, prompt,
+  CASE WHEN same THEN '' ELSE '<|start|>assistant' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
+  CASE WHEN same THEN '' ELSE '19:' || (19 + length(good) + 8) END AS chosen_masked,
+  CASE WHEN same OR bad IS NULL THEN '' ELSE '<|start|>assistant' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected,
+  CASE WHEN same OR bad IS NULL THEN '' ELSE '19:' || (19 + length(bad) + 8) END AS rejected_masked
+FROM z
+"""
+
+
 def op2_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     found = blob_ledger.scan_paths(docs)
@@ -140,6 +172,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_preference": op1_preference,
     "op2_blob_ledger": op2_blob_ledger,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_telephony_audio": op6_telephony_audio,
@@ -150,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_preference": OP1_SQL,
     "op2_blob_ledger": OP2_SQL,
     "op4_ngram_jaccard": OP4_SQL,
     "op7_decontamination": OP7_SQL,
