@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import blob_ledger, decontam, html_density, jaccard, mixing, preference, telephony, toxicity
+from lorespan.llm import blob_ledger, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, toxicity
 from lorespan.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -86,6 +86,12 @@ FROM d LEFT JOIN f ON f.doc_id = d.doc_id
 """
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = surrogates.pseudonymise(table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return rows.select("doc_id", F.size("entities").cast("long").alias("n_entities"), listed.alias("entities"), "text")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -174,6 +180,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference": op1_preference,
     "op2_blob_ledger": op2_blob_ledger,
+    "op3_surrogates": op3_surrogates,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_telephony_audio": op6_telephony_audio,
     "op7_decontamination": op7_decontamination,
