@@ -32,7 +32,7 @@ from lorespan.llm.common import words as words_of
 from lorespan.llm.decontam import normal_words
 
 #: Labelled rows that the model is fitted on at most, of either label; the first by hash.
-SAMPLE = 4000
+SAMPLE = 2500
 #: Bytes of the beginnings of words that count as features.
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Features need this many standard errors and so much log-odds; so many are kept at most; a token scores at most so much.
@@ -40,7 +40,7 @@ SURE, LEAST, FEATURES, TOP = 3.0, 2.0, 20_000, 6.0
 #: Weight of the prior as a share of the sample; what another token takes from a segment; expected number of a significant segment.
 PRIOR, DRIFT, E_MOST = 0.05, 0.1, 0.05
 #: Scores of tokens remembered by a worker.
-MEMORY = 500_000
+MEMORY = 200_000
 THRESHOLD = 0.7
 
 
@@ -109,17 +109,27 @@ class Model:
         return float(1 / (1 + np.exp(-(a + b * evidence + c * many))))
 
 
-def log_odds(docs: list[set[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
-    """Of features of documents, those that are surely likelier in toxic ones."""
-    inside, outside = Counter(), Counter()
-    for seen, y in zip(docs, toxic, strict=True):
-        (inside if y else outside).update(seen)
+def _seen(line: bytes) -> set[bytes]:
+    return {f for w in set(line.split()) for f in features(w)}
+
+
+def log_odds(lines: list[bytes], toxic: np.ndarray) -> dict[bytes, float]:
+    """Of features of documents (words joined by spaces), those that are surely likelier in toxic ones, and at 0 longer ones that clean documents have. Only features of two toxic documents or more are counted in others."""
+    inside: Counter = Counter()
+    for line, y in zip(lines, toxic, strict=True):
+        if y:
+            inside.update(_seen(line))
+    inside = {f: c for f, c in inside.items() if c > 1}
+    outside = dict.fromkeys(inside, 0)
+    for line, y in zip(lines, toxic, strict=True):
+        if not y:
+            for f in _seen(line):
+                if f in outside:
+                    outside[f] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     prior = PRIOR * (n0 + n1)
     out = []
     for f, c in inside.items():
-        if c < 2:
-            continue
         a = prior * (c + outside[f]) / (n0 + n1)
         x, y = c + a, outside[f] + a
         delta = np.log(x / max(n1 + prior - x, 0.5)) - np.log(y / max(n0 + prior - y, 0.5))
@@ -127,8 +137,8 @@ def log_odds(docs: list[set[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
             out.append((min(TOP, float(delta)), f))
     out.sort(key=lambda x: (-x[0], x[1]))
     kept = {f: d for d, f in out[:FEATURES]}
-    clean = sorted(f for f in outside if f not in kept and any(f.removeprefix(b"=")[:n] in kept for n in PREFIXES))
-    return kept | dict.fromkeys(clean[: 4 * FEATURES], 0.0)
+    clean = {f for line, y in zip(lines, toxic, strict=True) if not y for w in set(line.split()) if any(w[:n] in kept for n in PREFIXES) for f in features(w) if f not in kept}
+    return kept | dict.fromkeys(sorted(f for f in clean if any(f.removeprefix(b"=")[:n] in kept for n in PREFIXES))[: 4 * FEATURES], 0.0)
 
 
 def _lambda(share: float, gain: float, drift: float) -> float:
@@ -172,25 +182,23 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """A model of labelled texts; of near copies the first counts. Without toxic texts it scores all alike, and low."""
     first = originals(texts)
     texts, toxic = [texts[i] for i in first], toxic[first]
-    words = [normal_words((t or "").encode()) for t in texts]
-    docs = [{f for x in set(w) for f in features(x)} for w in words]
+    lines = [b" ".join(normal_words((t or "").encode())) for t in texts]
     if not toxic.sum() or toxic.all():
         share = (toxic.sum() + 0.5) / (len(toxic) + 1)
         return Model({}, weights=(float(np.log(share / (1 - share))), 0.0, 0.0))
     half = np.arange(len(texts)) % 2
-    whole = log_odds(docs, toxic)
-    parts = [log_odds([d for d, h in zip(docs, half, strict=True) if h == i], toxic[half == i]) for i in (0, 1)]
-    scores = [Scores(p) for p in parts]
-    model = Model(whole)
+    model = Model(log_odds(lines, toxic))
+    scores = [Scores(log_odds([x for x, h in zip(lines, half, strict=True) if h == i], toxic[half == i])) for i in (0, 1)]
     # each text by what the other half taught
-    found = [model.hits(w, scores[1 - h]) for w, h in zip(words, half, strict=True)]
+    found = [model.hits(x.split(), scores[1 - h]) for x, h in zip(lines, half, strict=True)]
+    size = [len(x.split()) for x in lines]
     clean = [i for i in range(len(texts)) if not toxic[i]]
     gains = [s for i in clean for s in found[i][1]]
-    tokens = sum(len(words[i]) for i in clean)
+    tokens = sum(size[i] for i in clean)
     model.lam = _lambda(max(len(gains), 1) / max(tokens, 2), float(np.mean(gains)) if gains else TOP / 2, DRIFT)
     best = [max((s for *_, s in segments(*f)), default=0.0) for f in found]
-    model.k = max(1e-6, len(clean) / max(1e-9, sum(max(1, len(words[i])) * np.exp(-model.lam * best[i]) for i in clean)))
-    x = np.array([model.inputs(words[i], *found[i], best[i]) for i in range(len(texts))])
+    model.k = max(1e-6, len(clean) / max(1e-9, sum(max(1, size[i]) * np.exp(-model.lam * best[i]) for i in clean)))
+    x = np.array([model.inputs(lines[i].split(), *found[i], best[i]) for i in range(len(texts))])
     model.weights = _logistic(x, toxic.astype(float))
     return model
 
