@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import blob_ledger, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, toxicity
+from lorespan.llm import blob_ledger, cotraining, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, toxicity
 from lorespan.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -118,6 +118,13 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
 
+def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = cotraining.quality(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(cotraining.held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= cotraining.THRESHOLD).cast("int").alias("predicted"), "text_score", "meta_score")
+
+
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digests(telephony.store(table(spark, sf_dir, "documents")))
 
@@ -182,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_blob_ledger": op2_blob_ledger,
     "op3_surrogates": op3_surrogates,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_cotraining": op5_cotraining,
     "op6_telephony_audio": op6_telephony_audio,
     "op7_decontamination": op7_decontamination,
     "op8_toxic_segments": op8_toxic_segments,
