@@ -48,7 +48,7 @@ BROADCAST_NODES = 4_000_000
 #: Signatures that a task gathers before it packs them.
 PACK = 1 << 19
 #: Bits of a short sketch; that of a larger set has twice as many, and so on, and folds to it.
-SKETCH = 1024
+SKETCH = 256
 _WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 _SUBSETS = np.array([[i in c for i in range(N2)] for c in combinations(range(N2), N2 - K2)])
 #: A pair is shuffled as its first 14 bytes: signatures have 48 bits.
@@ -301,12 +301,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # What shares a signature and is in different components yet.
     at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
-    at = cut(at.join(mixed, "sig").select("sig", "node", "n", "label").join(classes.select("node", *_WORDS), "node"))
+    at = cut(at.join(mixed, "sig").select("sig", "node", "n", "label"))
+    tidy(spark)
+    at = at.join(classes.select("node", *_WORDS), "node")
     other = at.select("sig", *(F.col(x).alias(f"{x}_") for x in ("node", "n", "label", *_WORDS)))
     differ = sum((F.bit_count(at[x].bitwiseXOR(other[f"{x}_"])) for x in _WORDS), F.lit(0))
     met = (at["sig"] == other["sig"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_"))
     rest = at.join(other, met & _can_be(sim, F.col("n"), F.col("n_"), differ)).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
     rest = cut(_likely(rest.join(first, ["a", "b"], "left_anti"), classes, sim))
+    tidy(spark)
     more = cut(_verified(rest, known, classes, sim))
     if not more.isEmpty():
         labels = components(edges.union(more))
