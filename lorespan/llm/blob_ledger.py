@@ -129,8 +129,8 @@ def redacted(text: Column, spans_: Column) -> Column:
         fresh = F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]"))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(spans_, zero, add)
-    return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    end = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    return F.aggregate(spans_, zero, add, end)
 
 
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -140,6 +140,6 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     joined = docs.join(found, blob(text) == F.col("_found.blob"), "left")
     hit = F.col("_found.blob").isNotNull()
-    new = F.when(hit, redacted(F.col("text"), F.col("_found.spans"))).otherwise(F.col("text"))
-    kept = [new.alias(c) if c == "text" else F.when(hit, F.length(new)).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*kept)
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    changed = joined.select(*rest, hit.alias("_hit"), F.when(hit, redacted(F.col("text"), F.col("_found.spans"))).otherwise(F.col("text")).alias("text"))
+    return changed.select(*(F.when(F.col("_hit"), F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

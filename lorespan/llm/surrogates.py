@@ -197,8 +197,8 @@ def written(kind: Column, surface: Column, surrogate_: Column) -> Column:
 def replace(text: Column, edits: Column) -> Column:
     """The text with spans of edits (array<struct<start, end, new>>, in order, apart) replaced."""
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(edits, zero, lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), x["new"]).alias("out")))
-    return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    end = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    return F.aggregate(edits, zero, lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), x["new"]).alias("out")), end)
 
 
 def pseudonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
