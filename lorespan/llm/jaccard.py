@@ -41,14 +41,14 @@ from lorespan.llm.common import chunks, cut, mix, plain, shingles, shared_checkp
 
 #: Cells of a partition, and how many of them may differ.
 N2, K2 = 3, 1
-#: Share of partitions to spare, and how many classes make a signature hot.
-SPARE, HOT = 0.05, 50
+#: How many classes make a signature hot.
+HOT = 50
 #: Nodes whose sets are wanted that are broadcast, 16 bytes each; beyond, texts are shuffled to them.
 BROADCAST_NODES = 4_000_000
 #: Signatures that a task gathers before it packs them.
 PACK = 1 << 19
 #: Bits of a short sketch; that of a larger set has twice as many, and so on, and folds to it.
-SKETCH = 256
+SKETCH = 1024
 _WORDS = [f"s{i}" for i in range(SKETCH // 64)]
 _SUBSETS = np.array([[i in c for i in range(N2)] for c in combinations(range(N2), N2 - K2)])
 #: A pair is shuffled as its first 14 bytes: signatures have 48 bits.
@@ -70,10 +70,15 @@ class Similarity:
 
 @lru_cache(maxsize=8)
 def bands(percent: int, most: int) -> np.ndarray:
-    """Lower bounds of the bands of size, up to most. Similar sets are in one band or in neighbours."""
+    """Lower bounds of the bands of size, up to most. Similar sets are in one band or in neighbours.
+
+    The smallest sets of a band have the fewest features in a signature, and so the most empty ones;
+    where k is large against sizes (below 85 percent) bands are as narrow as they can be.
+    """
+    wide = percent if percent >= 85 else 100
     out = [1]
     while out[-1] <= most:
-        out.append(out[-1] * 10_000 // (percent * percent) + 1)
+        out.append(out[-1] * 10_000 // (percent * wide) + 1)
     return np.array(out)
 
 
@@ -91,15 +96,16 @@ def own_bands(n: int, percent: int) -> list[tuple[int, int]]:
     return [x for x in found if x[1]]
 
 
-def spare(need: int) -> int:
-    return int(np.ceil(SPARE * need))
+def spare(need: int, percent: int) -> int:
+    """Partitions to spare: about as many as have an empty signature in the smallest sets of a band, at least."""
+    return int(np.ceil((0.05 if percent >= 85 else 0.12) * need))
 
 
 def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     """The signatures of a set."""
     out = [features[:0]]
     for band, need in own_bands(len(features), percent) if len(features) else ():
-        n1 = need + spare(need)
+        n1 = need + spare(need, percent)
         with np.errstate(over="ignore"):
             cell = (mix(features ^ np.uint64(band + 1)) % np.uint64(n1 * N2)).astype(np.int64)
             value = mix(features + np.uint64(0x51ED270B))
@@ -141,7 +147,7 @@ def profile(docs: DataFrame, sim: Similarity) -> DataFrame:
             long = [sketch(x) for x in sets]
             bits = np.array([np.bitwise_xor.reduce(x.reshape(-1, len(_WORDS))) for x in long], np.int64).reshape(len(sets), len(_WORDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([min((spare(need) for _, need in own_bands(max(1, len(x)), sim.percent)), default=0) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_WORDS))), pa.array(long, pa.list_(pa.int64()))],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([min((spare(need, sim.percent) for _, need in own_bands(max(1, len(x)), sim.percent)), default=0) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_WORDS))), pa.array(long, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "key", "spare", *_WORDS, "sketch"],
             )
 
@@ -293,7 +299,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tidy(spark)
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    pairs = members.join(hubs, "sig").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    # hubs are tested against all others of their signatures, so they are needed no more
+    members = cut(members.join(hubs, "sig").where("node != hub"))
+    del degree, hubs
+    tidy(spark)
+    pairs = members.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = cut(_likely(pairs, classes, sim))
     edges = cut(_verified(first, known, classes, sim).union(same.distinct()))
     labels = components(edges)
@@ -302,6 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
     at = cut(at.join(mixed, "sig").select("sig", "node", "n", "label"))
+    del members, mixed
     tidy(spark)
     at = at.join(classes.select("node", *_WORDS), "node")
     other = at.select("sig", *(F.col(x).alias(f"{x}_") for x in ("node", "n", "label", *_WORDS)))
