@@ -15,7 +15,12 @@ _TABLES = ("chunks", "postings", "terms", "stats", "vectors")
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id (the file's name), title, path, raw of the *.md files of a folder. An empty or missing folder is an error."""
-    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no folder {folder}") from error
     rows = rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     if rows.isEmpty():
         raise FileNotFoundError(f"no .md files in {folder}")
