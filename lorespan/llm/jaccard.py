@@ -247,7 +247,8 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        # cut here, so that both sides of the next join are plain exchanges: a label that many nodes have can be split
+        new = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = cut(new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
         if new.where("label != old").isEmpty():
