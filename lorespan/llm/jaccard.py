@@ -46,7 +46,7 @@ HOT = 50
 #: Nodes whose sets are wanted that are broadcast, 16 bytes each; beyond, texts are shuffled to them.
 BROADCAST_NODES = 4_000_000
 #: Signatures that a task gathers before it packs them.
-PACK = 1 << 19
+PACK = 1 << 18
 #: Bits of a short sketch; that of a larger set has twice as many, and so on, and folds to it.
 SKETCH = 1024
 _WORDS = [f"s{i}" for i in range(SKETCH // 64)]
