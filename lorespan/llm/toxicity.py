@@ -32,7 +32,7 @@ from lorespan.llm.common import words as words_of
 from lorespan.llm.decontam import normal_words
 
 #: Labelled rows that the model is fitted on at most, of either label; the first by hash.
-SAMPLE = 2500
+SAMPLE = 3200
 #: Bytes of the beginnings of words that count as features.
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Features need this many standard errors and so much log-odds; so many are kept at most; a token scores at most so much.
