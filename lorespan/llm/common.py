@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Stage:
+    """Rows kept as Parquet in the shared folder, which take less room there than a checkpoint, until drop()."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark = df.sparkSession
+        shared_checkpoints(self.spark)
+        self.path = f"{self.spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and checkpoints of steps that nothing refers to any more; it does so when objects are collected."""
     gc.collect()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import chunks, cut, mix, plain, shingles, shared_checkpoints, small_batches, tidy, words
+from lorespan.llm.common import Stage, chunks, cut, mix, plain, shared_checkpoints, shingles, small_batches, tidy, words
 
 #: Cells of a partition, and how many of them may differ.
 N2, K2 = 3, 1
@@ -131,6 +131,14 @@ def sketch(features: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _middle(n: int) -> int:
+    """Words of the sketch that a large set carries in the residual comparison: at least two bits for three features."""
+    words = len(_WORDS)
+    while words * 64 * 3 < 2 * n:
+        words *= 2
+    return words
+
+
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     for a, b, data, offsets in chunks(column):
         hashes, at = words(data, offsets)
@@ -145,13 +153,15 @@ def profile(docs: DataFrame, sim: Similarity) -> DataFrame:
         for batch in batches:
             sets = [x for _, x in _sets(batch.column("text"), sim.width)]
             long = [sketch(x) for x in sets]
+            middle = [None if len(x) <= SKETCH * 3 // 2 else y.reshape(-1, _middle(len(x))) for x, y in zip(sets, long, strict=True)]
+            middle = [None if y is None else np.bitwise_xor.reduce(y) for y in middle]
             bits = np.array([np.bitwise_xor.reduce(x.reshape(-1, len(_WORDS))) for x in long], np.int64).reshape(len(sets), len(_WORDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([min((spare(need, sim.percent) for _, need in own_bands(max(1, len(x)), sim.percent)), default=0) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_WORDS))), pa.array(long, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key", "spare", *_WORDS, "sketch"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([min((spare(need, sim.percent) for _, need in own_bands(max(1, len(x)), sim.percent)), default=0) for x in sets], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_WORDS))), pa.array(long, pa.list_(pa.int64())), pa.array(middle, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "key", "spare", *_WORDS, "sketch", "middle"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, spare int, " + ", ".join(f"{x} long" for x in _WORDS) + ", sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, spare int, " + ", ".join(f"{x} long" for x in _WORDS) + ", sketch array<long>, middle array<long>")
 
 
 def _pack(found: list[np.ndarray], blocks: int) -> pa.RecordBatch:
@@ -285,42 +295,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     small_batches(spark)
     sim = Similarity(width, percent)
     docs = plain(docs, "doc_id", "text")
-    profiles = cut(profile(docs, sim))
+    kept = Stage(profile(docs, sim))
+    profiles = kept.rows
     known = docs.where(F.col("doc_id").isNotNull())
-    classes = cut(profiles.where("doc_id is not null and key is not null").groupBy("key", "n_shingles", "spare").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in (*_WORDS, "sketch"))))
+    classes_kept = Stage(profiles.where("doc_id is not null and key is not null").groupBy("key", "n_shingles", "spare").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in (*_WORDS, "sketch", "middle"))))
+    classes = classes_kept.rows
     # Equal sets, and different sets of one doc_id, are linked to begin with.
-    same = profiles.where("doc_id is not null").join(classes, ["key", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    members = cut(shared_signatures(known, sim).join(classes, "key").select("sig", "node", F.col("n_shingles").alias("n"), "spare").distinct())
-    hot = members.groupBy("sig").count().where(F.col("count") > HOT).select("sig", F.lit(True).alias("hot"))
-    members = members.join(hot, "sig", "left").select("sig", "node", "n", "spare", F.coalesce("hot", F.lit(False)).alias("hot"))
+    same = profiles.where("doc_id is not null").join(classes.select("key", "n_shingles", "node"), ["key", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    # A row may come twice here; that makes a signature hot a little sooner, for all of its sets.
+    found = Stage(shared_signatures(known, sim).join(classes.select("key", "node", F.col("n_shingles").alias("n"), "spare"), "key").select("sig", "node", "n", "spare"))
     tidy(spark)
-    many = members.where("hot").groupBy("node").agg(F.count("*").alias("n_hot"))
-    members = cut(members.join(many, "node", "left").where("not hot or n_hot > spare").select("sig", "node", "n"))
-    del hot, many
+    hot = found.rows.groupBy("sig").count().where(F.col("count") > HOT).select("sig", F.lit(True).alias("hot"))
+    marked = found.rows.join(hot, "sig", "left").select("sig", "node", "n", "spare", F.coalesce("hot", F.lit(False)).alias("hot"))
+    many = marked.where("hot").groupBy("node").agg(F.count("*").alias("n_hot"))
+    members = Stage(marked.join(many, "node", "left").where("not hot or n_hot > spare").select("sig", "node", "n"))
+    found.drop()
+    del hot, marked, many
     tidy(spark)
-    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    hubs = members.join(degree, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    degree = members.rows.groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = members.rows.join(degree, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     # hubs are tested against all others of their signatures, so they are needed no more
-    members = cut(members.join(hubs, "sig").where("node != hub"))
+    others = Stage(members.rows.join(hubs, "sig").where("node != hub"))
+    members.drop()
     del degree, hubs
     tidy(spark)
-    pairs = members.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = others.rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = cut(_likely(pairs, classes, sim))
     edges = cut(_verified(first, known, classes, sim).union(same.distinct()))
     labels = components(edges)
     tidy(spark)
     # What shares a signature and is in different components yet.
-    at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = others.rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
-    at = cut(at.join(mixed, "sig").select("sig", "node", "n", "label"))
-    del members, mixed
+    mixed_kept = Stage(at.join(mixed, "sig").select("sig", "node", "n", "label"))
+    others.drop()
+    del mixed
     tidy(spark)
-    at = at.join(classes.select("node", *_WORDS), "node")
-    other = at.select("sig", *(F.col(x).alias(f"{x}_") for x in ("node", "n", "label", *_WORDS)))
+    at = mixed_kept.rows.join(classes.select("node", *_WORDS, "middle"), "node")
+    other = at.select("sig", *(F.col(x).alias(f"{x}_") for x in ("node", "n", "label", *_WORDS, "middle")))
     differ = sum((F.bit_count(at[x].bitwiseXOR(other[f"{x}_"])) for x in _WORDS), F.lit(0))
     met = (at["sig"] == other["sig"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_"))
-    rest = at.join(other, met & _can_be(sim, F.col("n"), F.col("n_"), differ)).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
+    # large sets carry more bits, which are looked at where the short sketch tells nothing
+    more_bits = F.aggregate(F.zip_with("middle", "middle_", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    apart = F.when(F.size("middle") == F.size("middle_"), more_bits > (F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent))
+    met = met & _can_be(sim, F.col("n"), F.col("n_"), differ) & ~F.coalesce(apart, F.lit(False))
+    rest = at.join(other, met).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
     rest = cut(_likely(rest.join(first, ["a", "b"], "left_anti"), classes, sim))
+    mixed_kept.drop()
     tidy(spark)
     more = cut(_verified(rest, known, classes, sim))
     if not more.isEmpty():
