@@ -27,6 +27,7 @@ Set keys and features are 64-bit hashes; nothing else is approximate.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -208,26 +209,28 @@ def shared_signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
     def rows(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[x]).view(np.int64)) for x in ("sig", "key")], ["sig", "key"])
 
+    def unpacked(packed: np.ndarray) -> np.ndarray:
+        pairs = np.zeros((len(packed), _PAIR.itemsize), np.uint8)
+        pairs[:, :_PACKED] = packed
+        return pairs.view(_PAIR).ravel()
+
     def meet(batches):
-        waiting = []
+        waiting = defaultdict(list)
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("pairs"), strict=True):
                 packed = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, _PACKED)
-                pairs = np.zeros((len(packed), _PAIR.itemsize), np.uint8)
-                pairs[:, :_PACKED] = packed
-                pairs = pairs.view(_PAIR).ravel()
                 if block < 0:
-                    yield rows(pairs)
+                    yield rows(unpacked(packed))
                 else:
-                    waiting.append(pairs)
-        if waiting:
-            pairs = np.concatenate(waiting)
+                    waiting[block].append(packed.copy())
+        while waiting:  # block by block, to keep little unpacked at once
+            pairs = unpacked(np.concatenate(waiting.popitem()[1]))
             pairs = pairs[np.lexsort((pairs["key"], pairs["sig"]))]
             pairs = pairs[np.r_[True, (pairs["sig"][1:] != pairs["sig"][:-1]) | (pairs["key"][1:] != pairs["key"][:-1])]]
             again = pairs["sig"][1:] == pairs["sig"][:-1]
             pairs = pairs[np.r_[again, False] | np.r_[False, again]]
-            for a in range(0, len(pairs), 1 << 16):
-                yield rows(pairs[a : a + (1 << 16)])
+            if len(pairs):
+                yield rows(pairs)
 
     return docs.mapInArrow(emit, "block int, pairs binary").repartition("block").mapInArrow(meet, "sig long, key long")
 
