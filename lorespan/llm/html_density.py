@@ -57,6 +57,7 @@ class Node:
     tags: int = 0
     link_chars: int = 0
     link_tags: int = 0
+    blocks: int = 0  # blocks in it, line breaks aside
     density: float = 0.0
     total: float = 0.0
 
@@ -157,6 +158,7 @@ def measure(root: Node) -> list[Node]:
         for x in node.parts:
             if isinstance(x, Node):
                 if x.tag not in SILENT:
+                    node.blocks += x.blocks + (x.tag in BLOCK and x.tag != "br")
                     node.chars += x.chars
                     node.tags += x.tags + 1
                     node.link_chars += x.link_chars
@@ -180,8 +182,23 @@ def weigh(order: list[Node], body: Node) -> None:
         node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.marked)
 
 
+def _within(node: Node, others) -> Node | None:
+    """The nearest of others that is node or around it."""
+    at: Node | None = node
+    while at is not None and at not in others:
+        at = at.parent
+    return at
+
+
+def _whole(node: Node) -> Node:
+    """The nearest block around an inline element that has no blocks in it: text beside it is of the same paragraph."""
+    while node.tag not in BLOCK and not node.blocks and node.parent:
+        node = node.parent
+    return node
+
+
 def content(root: Node, body: Node) -> list[Node]:
-    """The nodes that hold the article: the one with the largest density sum and others, outside it, as dense as its path."""
+    """The nodes that hold the article, in page order: the one with the largest density sum and, of each subtree outside it that is as dense as its path, the one with that subtree's largest sum."""
     order = measure(root)
     weigh(order, body)
     # what is marked, or in something marked, is no candidate
@@ -190,31 +207,43 @@ def content(root: Node, body: Node) -> list[Node]:
     while open_:
         node = open_.pop()
         candidates.append(node)
-        open_.extend(x for x in node.parts if isinstance(x, Node) and not x.marked)
+        open_.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.marked)
     best = max(candidates, key=lambda n: n.total)
     articles = [n for n in candidates if n.tag in ("article", "main") and n.chars]
     if articles:  # an article around or beside the densest node names its limits itself
-        around = best
-        while around is not None and around.tag not in ("article", "main"):
-            around = around.parent
-        best = around or max(articles, key=lambda n: (n.total, n.chars))
-        return [best]
+        around = _within(best, set(articles))
+        return [around or max(articles, key=lambda n: (n.total, n.chars))]
+    best = _whole(best)
     path, at = [], best
     while at is not None and at.tag != "html":
         path.append(at)
         at = at.parent
     inside = set(path)
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
-    # blocks beside the path that are as dense as its least dense node belong to the text
-    for node in path[1:]:
-        beside = [x for x in node.parts if isinstance(x, Node) and not x.marked and x.tag in BLOCK and x.chars]
-        if sum(x.density >= threshold for x in beside if x not in inside) and all(x.density >= threshold or x in inside for x in beside):
-            best = node
     # lists of links that are less dense are noise
     for node in candidates:
         if node.tag in BLOCK and node not in inside and node.link_tags > 1 and node.link_chars > 0.6 * node.chars and node.density < threshold:
             node.marked = True
-    return [best]
+    # where all blocks beside the path are as dense as its least dense node, the block around them is of the text with all it has
+    for node in path[1:]:
+        beside = [x for x in node.parts if isinstance(x, Node) and not x.marked and x.tag in BLOCK and x.chars]
+        if sum(x.density >= threshold for x in beside if x not in inside) and all(x.density >= threshold or x in inside for x in beside):
+            best = node
+    # the largest sum of each subtree; of equal ones the outer node
+    peak: dict[Node, Node] = {}
+    for node in reversed(candidates):
+        below = [peak[x] for x in node.parts if isinstance(x, Node) and not x.marked]
+        peak[node] = max((node, *below), key=lambda n: n.total)
+    chosen, open_ = {best}, [body]
+    while open_:
+        node = open_.pop()
+        if node in chosen:
+            continue
+        if node not in inside and node.tag in BLOCK and node.chars and node.density >= threshold:
+            chosen.add(_whole(peak[node]))
+        if node not in chosen:
+            open_.extend(x for x in node.parts if isinstance(x, Node) and not x.marked)
+    return [n for n in order if n in chosen]
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:

@@ -443,6 +443,17 @@ def test_article_element_and_depth():
     assert html_density.main_text("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
 
 
+LONG = "<p>" + "many words of a text that goes on and on without any link, " * 6 + "{}</p>"
+
+
+def test_split_article_beside_a_menu():
+    menu = "<ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(5)) + "</ul>"
+    parts = ["<div>" + "".join(LONG.format(f"{n}{i}") for i in range(3)) + "</div>" for n in "AB"]
+    for page in (menu + parts[0] + parts[1], parts[0] + menu + parts[1], parts[0] + f"<div>{menu}{parts[1]}</div>", parts[0] + parts[1] + menu):
+        text = html_density.main_text(f"<body>{page}</body>")
+        assert "Link" not in text and [x for x in re.findall(r"[AB]\d", text)] == ["A0", "A1", "A2", "B0", "B1", "B2"]
+
+
 # --- surrogates
 
 
