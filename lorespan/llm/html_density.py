@@ -190,6 +190,15 @@ def _within(node: Node, others) -> Node | None:
     return at
 
 
+def _path(node: Node) -> list[Node]:
+    """node and the nodes around it, up to the body."""
+    path, at = [], node
+    while at is not None and at.tag != "html":
+        path.append(at)
+        at = at.parent
+    return path
+
+
 def _whole(node: Node) -> Node:
     """The nearest block around an inline element that has no blocks in it: text beside it is of the same paragraph."""
     while node.tag not in BLOCK and not node.blocks and node.parent:
@@ -209,15 +218,17 @@ def content(root: Node, body: Node) -> list[Node]:
         candidates.append(node)
         open_.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.marked)
     best = max(candidates, key=lambda n: n.total)
-    articles = [n for n in candidates if n.tag in ("article", "main") and n.chars]
-    if articles:  # an article around or beside the densest node names its limits itself
-        around = _within(best, set(articles))
-        return [around or max(articles, key=lambda n: (n.total, n.chars))]
+    articles = {n for n in candidates if n.tag in ("article", "main") and n.chars}
+    around = _within(best, articles)
+    heads = {_within(n, articles) for n in candidates if n.tag == "h1" and n.chars}
+    if around is None and len(articles) == 1 and heads == articles and _within(next(iter(articles)), {best}):
+        around = next(iter(articles))  # a page's only article, with its only headings of the first rank, is not beside but in the densest node
+    if around:  # an article around the densest node names its limits itself; others as dense as the path are parts of it
+        least = min((n.density for n in _path(around) if n.density > 0), default=0.0)
+        apart = {n for n in articles if n.density >= least and not _within(n, {around}) and not _within(around, {n})}
+        return [n for n in order if n is around or n in apart and not (n.parent and _within(n.parent, apart))]
     best = _whole(best)
-    path, at = [], best
-    while at is not None and at.tag != "html":
-        path.append(at)
-        at = at.parent
+    path = _path(best)
     inside = set(path)
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
     # lists of links that are less dense are noise

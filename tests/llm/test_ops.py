@@ -454,6 +454,17 @@ def test_split_article_beside_a_menu():
         assert "Link" not in text and [x for x in re.findall(r"[AB]\d", text)] == ["A0", "A1", "A2", "B0", "B1", "B2"]
 
 
+def test_articles_beside_the_text_do_not_decide():
+    numbers = lambda page: re.findall(r"[A-Z]\d", html_density.main_text(f"<body>{page}</body>"))
+    text = "".join(LONG.format(f"T{i}") for i in range(4))
+    cards = "".join(f"<article><h3>Card</h3><p><a href=x>Read C{i}</a></p></article>" for i in range(3))
+    assert numbers(f"<div>{text}</div>{cards}") == numbers(f"{cards}<div>{text}</div>") == ["T0", "T1", "T2", "T3"]
+    one = "<article><h3>Card</h3><p>Read <a href=x>this C1</a></p></article>"
+    assert [x for x in numbers(f"<div>{text}</div>{one}") if x[0] == "T"] == ["T0", "T1", "T2", "T3"]
+    parts = "".join(f"<article><h2>Part</h2>{LONG.format(n + '0')}{LONG.format(n + '1')}</article>" for n in "ABC")
+    assert numbers(parts) == numbers(f"<ul><li><a href=x>M1</a></li><li><a href=x>M2</a></li></ul>{parts}") == ["A0", "A1", "B0", "B1", "C0", "C1"]
+
+
 # --- surrogates
 
 
