@@ -246,7 +246,7 @@ def spoken_chunks(spark, sf_dir):
 
 
 def buffer_prefixes(spark, sf_dir):
-    return corpus.buffers(spoken_chunks(spark, sf_dir).where("seq < 6")).select("session_id", "turn_id", "seq", "buffer")
+    return corpus.buffers(spoken_chunks(spark, sf_dir)).select("session_id", "turn_id", "seq", "buffer")
 
 
 def controller_decisions(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorespan.operators import chunking, evaluation, patching, subqueries, synthesis
 from lorespan.operators import retrieval as rt
+from lorespan.plans import registry
 from lorespan.plans import turns as tn
 from lorespan.settings import Settings
 from lorespan.sources import corpus
@@ -257,3 +258,12 @@ def test_events(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "a"}\n\n{"id": "b"}\n')
     assert corpus.read_json_lines(spark, str(tmp_path / "q.jsonl"), "id string").count() == 2
     assert corpus.read_json_lines(spark, str(tmp_path / "none.jsonl"), "id string").count() == 0
+
+
+def test_buffer_prefixes_has_all_buffers_of_a_turn(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 3, 18, 19, 100)]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)] + [(2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in registry.buffer_prefixes(spark, str(tmp_path)).collect())
+    want = [("1", i, k, " ".join(t.split()[: 3 * k + 3])) for i, t in enumerate(texts) for k in range(-(-len(t.split()) // 3))]
+    assert got == want
