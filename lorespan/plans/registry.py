@@ -219,7 +219,7 @@ def request_flags(spark, sf_dir):
 
 def entity_names(spark, sf_dir):
     names = F.filter(rq.entities(F.col("text")), lambda e: e.startswith("ent:"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(names).cast("long").alias("n_names"), F.array_join(F.slice(names, 1, 20), " ").alias("names"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(names).cast("long").alias("n_names"), F.array_join(names, " ").alias("names"))
 
 
 def entity_extract(spark, sf_dir):

@@ -267,3 +267,11 @@ def test_buffer_prefixes_has_all_buffers_of_a_turn(spark, tmp_path):
     got = sorted(tuple(r) for r in registry.buffer_prefixes(spark, str(tmp_path)).collect())
     want = [("1", i, k, " ".join(t.split()[: 3 * k + 3])) for i, t in enumerate(texts) for k in range(-(-len(t.split()) // 3))]
     assert got == want
+
+
+def test_entity_names_has_all_names_of_a_document(spark, tmp_path):
+    names = [f"{a}{b}x" for a in "ABCDEFGHIJ" for b in "abcde"]
+    texts = [" ".join(names[:n] + names[: n // 2]) for n in (0, 1, 20, 21, 50)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_names, r.names) for r in registry.entity_names(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(set(t.split())), " ".join(f"ent:{w.lower()}" for w in sorted(set(t.split())))) for i, t in enumerate(texts)}
