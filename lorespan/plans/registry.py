@@ -314,8 +314,11 @@ def shortened(spark, sf_dir):
 
 def answered_turns(spark, sf_dir):
     index = rt.build(chunking.chunks(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")), delimiter="\n"))
-    rows = spark.createDataFrame([(f"t{i}", f"s{i}", t) for i, t in enumerate(SAID)], "turn_id string, session_id string, utterance string")
-    return tn.answer_turns(rows, spark.createDataFrame([], tn.STATE), index).drop("claims")
+    own = spark.createDataFrame([(f"t{i}", f"s{i}", 0, t) for i, t in enumerate(SAID)], "turn_id string, session_id string, turn long, utterance string")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    session = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    rows = _t(spark, sf_dir, "conversations").select(F.concat_ws(":", session, place.cast("string")).alias("turn_id"), session.alias("session_id"), place.cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("utterance"))
+    return tn.answer_sessions(rows.unionByName(own), index).drop("claims")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

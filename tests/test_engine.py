@@ -275,3 +275,14 @@ def test_entity_names_has_all_names_of_a_document(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_names, r.names) for r in registry.entity_names(spark, str(tmp_path)).collect()}
     assert got == {i: (len(set(t.split())), " ".join(f"ent:{w.lower()}" for w in sorted(set(t.split())))) for i, t in enumerate(texts)}
+
+
+def test_answered_turns_follow_each_other_in_a_session(spark, tmp_path):
+    texts = [x for x in HALLS.split("\n") if len(x) > 40]
+    spark.createDataFrame([(i, t, "Hall") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    said = [(1, 2, "make it shorter"), (1, 0, BOTH), (1, 1, "actually make it 50 people"), (2, 0, "make it shorter")]
+    spark.createDataFrame([(c, n, "user", t) for c, n, t in said], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn_id: r for r in registry.answered_turns(spark, str(tmp_path)).collect()}
+    assert len(got) == len(said) + len(registry.SAID) and {got[f"t{i}"].utterance for i in range(len(registry.SAID))} == set(registry.SAID)
+    assert [got[f"1:{i}"].kind for i in range(3)] == ["fresh", "refine", "suppressed"] and [got[f"1:{i}"].answer_version for i in range(2)] == [1, 2]
+    assert got["1:1"].answer and got["1:2"].calls == 0 and got["2:0"].kind == "fresh"
