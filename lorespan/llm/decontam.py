@@ -12,6 +12,7 @@ go into further automata, over which the documents pass in turn without a shuffl
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -97,11 +98,12 @@ _MATCHERS: dict[tuple, Matcher] = {}
 
 
 def matcher(broadcast, window: int) -> Matcher:
-    """The automaton of a broadcast list, made once in a Python worker."""
-    key = (id(broadcast.value), window)
+    """The automaton of a broadcast list, made once in a Python worker. Its key is what the list holds: an address can be taken by another list later."""
+    items = broadcast.value
+    key = (hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).digest(), window)
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(broadcast.value, window)
+        _MATCHERS[key] = Matcher(items, window)
     return _MATCHERS[key]
 
 

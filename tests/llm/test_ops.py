@@ -132,6 +132,15 @@ def test_contamination_equals_brute_force(spark, monkeypatch, shard):
         assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items), texts[r.doc_id]
 
 
+def test_matcher_tells_lists_at_one_address_apart():
+    class Sent:
+        value = [("a", " ".join("abcdefghijklmn"))]
+
+    assert decontam.matcher(Sent, 13).scan("a b c d e f g h i j k l m n").items == {"a"}
+    Sent.value[:] = [("b", " ".join("nmlkjihgfedcba"))]
+    assert decontam.matcher(Sent, 13).scan("n m l k j i h g f e d c b a").items == {"b"}
+
+
 def test_spans_are_offsets_of_the_original():
     item = " ".join(WORDS[:14])
     text = f"Ünrelated ({item.upper().replace(' ', ',  ')}) end"
