@@ -1,6 +1,7 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Detected entities are replaced by surrogates of their kind. A surrogate depends on a key, the kind and
+Detected entities are replaced by surrogates of their kind. Names are found after forms of address, and then
+without one, too, in the same text. A surrogate depends on a key, the kind and
 the entity's canonical form, so that all mentions of an entity in all documents get the same one,
 and is written in the form of the mention: digits take the places of digits, case follows case, a
 given name keeps its gender, a name its script, an address its private or public range, a card number
@@ -22,6 +23,7 @@ _UP, _WORD = r"\p{Lu}", r"[\p{L}\p{M}'’-]+"
 # Forms of address by gender, in the languages that are known here.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "M", "Signor", "г-н", "господин", "κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Srta", "Doña", "Madame", "Mme", "Mademoiselle", "Mlle", "Signora", "г-жа", "госпожа", "κυρία")
+NEUTRAL = ("Dr", "Prof", "Doctor", "Professor", "Doktor", "Docteur", "Professeur", "Profesor", "Mx", "др", "д-р", "проф", "доктор", "профессор", "δρ", "καθ")
 #: Syllables of surrogate names by script, and the endings of given names by gender.
 SYLLABLES = {
     "latin": ("ba", "do", "fe", "ga", "hi", "jo", "ka", "li", "mo", "na", "pe", "ro", "sa", "ti", "vo", "wi"),
@@ -29,16 +31,22 @@ SYLLABLES = {
     "greek": ("βα", "δο", "φε", "γα", "κι", "λο", "μα", "νι", "πο", "ρα", "σε", "τι", "ζο", "λι", "ρε", "θε"),
 }
 ENDINGS = {"latin": ("n", "ra", "s"), "cyrillic": ("н", "на", "с"), "greek": ("ς", "να", "ν")}
-_TITLE = "(?:" + "|".join(sorted((*MALE, *FEMALE), key=len, reverse=True)) + ")"
-_NAMED = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.?\x20(?:{_UP}{_WORD}\x20)?{_UP}{_WORD}"
+_TITLE = "(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True)) + ")"
+_NAMED = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}\.?\x20)+(?:{_UP}{_WORD}\x20)?{_UP}{_WORD}"
+#: Numbers without a country code: with the area in brackets, as 3-3-4 digits, or after a 0 in groups or in pairs.
+_NATIONAL = (
+    r"(?<![\w+.-])(?:(?:1[\x20.-]?)?\(\d{2,5}\)[\x20.-]?\d{3,4}[\x20.-]?\d{3,4}|(?:1[\x20.-])?\d{3}([\x20.-])\d{3}\1\d{4}"
+    r"|0\d{1,4}[\x20/-]\d{3,4}[\x20-]?\d{3,5}|0\d(?:[\x20.-]\d{2}){4})(?![\w]|[.-]\d)"
+)
 #: Kinds by precedence where spans begin together. Runs are matched whole (possessively), so time is linear in the text.
 RULES = (
     Rule("email", 1, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", "@"),
     Rule("phone", 1, r"(?<![\w+])\+\d{1,3}[\x20.-]?\(?\d{2,4}\)?[\x20.-]?\d{3,4}[\x20.-]?\d{3,4}(?!\d)", r"\+\d"),
     Rule("ip", 1, r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", r"\d\.\d{1,3}\.\d{1,3}\.\d"),
-    Rule("card", 1, r"(?<![\w.+-])(?:\d{4}[\x20-]\d{4}[\x20-]\d{4}[\x20-]\d{4}|\d{13,19})(?![\w-])", r"\d{4}"),
+    Rule("card", 1, r"(?<![\w.+-])(?:\d{4}[\x20-]\d{4}[\x20-]\d{4}[\x20-]\d{4}|\d{4}[\x20-]\d{6}[\x20-]\d{4,5}|\d{13,19})(?![\w-])", r"\d{4}"),
     Rule("ssn", 1, r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", r"\d-\d{2}-\d"),
     Rule("iban", 1, r"(?<![\w])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\w])", r"[A-Z]{2}\d{2}"),
+    Rule("phone", 2, _NATIONAL, r"\(\d{2,5}\)[\x20.-]?\d{3}|\d{3}[\x20.-]\d{3}[\x20.-]\d{4}|0\d{1,4}[\x20/-]\d{3}|0\d[\x20.-]\d{2}[\x20.-]\d{2}"),
     Rule("name", 1, _NAMED, rf"{_TITLE}\.?\x20{_UP}"),
 )
 #: Rounds in which surrogates keep the length of the form; later ones are longer.
@@ -70,18 +78,20 @@ def _canonical(kind: str, surface: Column) -> Column:
 
 
 def _parts(surface: Column, start: Column) -> Column:
-    """Mentions of a name: its given name, with the gender of the form of address, and its family name."""
-    words = F.split(surface, " ")
-    title = F.regexp_replace(words[0], r"\.$", "")
-    gender = F.when(title.isin(*FEMALE), "f").otherwise("m")
-    family, given = F.element_at(words, -1), F.when(F.size(words) > 2, words[1])
+    """Mentions of a name: its given name, with the gender of the form of address (n if it tells none), and its family name."""
+    name = F.regexp_replace(surface, rf"^(?:{_TITLE}\.?\x20)+", "")
+    words, before = F.split(name, " "), F.length(surface) - F.length(name)
+    titles = F.split(F.regexp_replace(F.substring(surface, F.lit(1), before), r"\.", ""), " ")
+    of = lambda forms: F.arrays_overlap(titles, F.array(*map(F.lit, forms)))
+    gender = F.when(of(FEMALE), "f").when(of(MALE), "m").otherwise("n")
+    family, given = F.element_at(words, -1), F.when(F.size(words) > 1, words[0])
     end = start + F.length(surface)
 
     def mention(kind, word, first):
         return F.struct(first.alias("start"), (first + F.length(word)).alias("end"), F.concat_ws("_", kind, _script(word)).alias("kind"), F.lower(word).alias("canon"), word.alias("surface"))
 
     whole = F.array(mention(F.lit("family"), family, end - F.length(family)))
-    first = F.array(mention(F.concat(F.lit("given_"), gender), F.coalesce(given, F.lit("")), start + F.length(words[0]) + 1))
+    first = F.array(mention(F.concat(F.lit("given_"), gender), F.coalesce(given, F.lit("")), start + before))
     return F.when(given.isNotNull(), F.concat(first, whole)).otherwise(whole)
 
 
@@ -107,7 +117,34 @@ def mentions(text: Column) -> Column:
             out = F.when(x["no"] == no, one).otherwise(out)
         return out
 
-    return F.flatten(F.transform(kept, named)).cast(_MENTION)
+    return F.transform(F.array(F.flatten(F.transform(kept, named)).cast(_MENTION)), lambda m: _with_bare(text, m))[0]
+
+
+def _with_bare(text: Column, found: Column) -> Column:
+    """found and, where the text has its names without a form of address, these mentions too. A given name whose gender is told anywhere in the text has it everywhere."""
+    names = F.filter(found, lambda m: m["kind"].rlike("^(given|family)_"))
+    kind_of = lambda canon, start: F.array_min(F.transform(F.filter(names, lambda m: (m["canon"] == canon) & m["kind"].startswith(start)), lambda m: m["kind"]))
+    forms = F.array_distinct(F.flatten(F.transform(names, lambda m: F.array(m["surface"], F.upper(m["surface"]), F.initcap(m["surface"])))))
+    longest = F.transform(F.array_sort(F.transform(forms, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("whole"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_MENTION).alias("out"))
+
+    def add(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["whole"])
+        canon = F.lower(x["whole"])
+        one = F.struct(start.alias("start"), end.alias("end"), F.coalesce(kind_of(canon, ""), F.lit("")).alias("kind"), canon.alias("canon"), x["whole"].alias("surface"))
+        free = ~F.exists(found, lambda m: (m["start"] < end) & (start < m["end"]))
+        return F.struct(end.alias("at"), F.when(free, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    def told(m):
+        kind = F.when(m["kind"].startswith("given_n_"), kind_of(m["canon"], "given_")).otherwise(m["kind"])
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), kind.alias("kind"), m["canon"].alias("canon"), m["surface"].alias("surface"))
+
+    every = F.array_sort(F.concat(F.transform(found, told).cast(_MENTION), F.aggregate(steps, zero, add)["out"].cast(_MENTION)))
+    return F.when(F.size(names) == 0, found).otherwise(every)
 
 
 def _numbered(no: int):

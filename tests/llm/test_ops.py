@@ -505,6 +505,24 @@ def test_surrogates(spark):
     assert family[0] == family[1] and re.fullmatch("[А-Я][а-я]+", new(1, "family_cyrillic")[0]) and new(1, "given_f_cyrillic")[0].endswith("а")
 
 
+def test_surrogates_of_bare_names_titles_and_national_numbers(spark):
+    texts = [
+        "Mr John Smith came. Smith said no, JOHN too; John Smith's dog, Smithson and blacksmith stayed.",
+        "Prof. Dr. Ann Lee met Dr Wu. Later Ms Ann Lee left, and Wu with Ann.",
+        "Call (555) 123-4567, 555-123-4567, 1-555-123-4568, 020 7946 0958 or 01 23 45 67 89; card 3782 822463 10005.",
+        "Smith and 12 345 678 or 1.234.567 stay.",
+    ]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs_of(spark, texts)).collect()}
+    found = {i: [(e.kind, texts[i][e.start : e.end]) for e in got[i].entities] for i in got}
+    m, f = "given_m_latin", "family_latin"
+    assert found[0] == [(m, "John"), (f, "Smith"), (f, "Smith"), (m, "JOHN"), (m, "John"), (f, "Smith")]
+    assert len({e.new.lower() for e in got[0].entities}) == 2 and got[0].text.endswith("'s dog, Smithson and blacksmith stayed.")
+    g = "given_f_latin"
+    assert found[1] == [(g, "Ann"), (f, "Lee"), (f, "Wu"), (g, "Ann"), (f, "Lee"), (f, "Wu"), (g, "Ann")]
+    assert found[2] == [("phone", x) for x in ("(555) 123-4567", "555-123-4567", "1-555-123-4568", "020 7946 0958", "01 23 45 67 89")] + [("card", "3782 822463 10005")]
+    assert not re.search("4567|4568|0958|10005", got[2].text) and found[3] == [] and got[3].text == texts[3]
+
+
 def test_surrogates_stay_distinct(spark):
     """More names than short surrogates: all differ, and none is a real one."""
     names = [f"{a}{b}{c}".capitalize() for a in surrogates.SYLLABLES["latin"] for b in surrogates.SYLLABLES["latin"] for c in ("x", "z")]
