@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,33 @@ _S33 = np.uint64(33)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() work: the cluster's shared folder if it names one, else one of our own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The folder of this application for kept rows, in the one that the session names in spark.checkpoint.dir; it goes with the application.
+
+    Only a local session may do without a name; it gets a folder of its own. On a cluster that would
+    be a folder which other machines don't see, so it is an error there.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    folder = context.getCheckpointDir()
+    _filesystem(spark, folder).deleteOnExit(_path(spark, folder))
+    return folder
+
+
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _filesystem(spark: SparkSession, name: str):
+    return _path(spark, name).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    _filesystem(spark, folder).delete(_path(spark, folder), True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,19 +56,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Stage:
-    """Rows kept as Parquet in the shared folder, which take less room there than a checkpoint, until drop()."""
+class Scratch:
+    """Rows that a job keeps in the shared folder while it works: checkpoints (cut) and Parquet, which takes less room (keep).
+
+    drop() deletes some of them, leaving the block all that are left. What a result still reads when
+    its caller gets it is kept outside of a block, by common.cut, as long as the application lives.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, shared_checkpoints(spark)
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(df for df, _ in list(self.held.values())))
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        rows = cut(df)
+        self.held[id(rows)] = rows, rows._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+        return rows
 
-    def __init__(self, df: DataFrame) -> None:
-        self.spark = df.sparkSession
-        shared_checkpoints(self.spark)
-        self.path = f"{self.spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/stage-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        rows = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(rows)] = rows, path
+        return rows
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *rows: DataFrame) -> None:
+        for df in rows:
+            remove(self.spark, self.held.pop(id(df))[1])
 
 
 def tidy(spark: SparkSession) -> None:
@@ -53,9 +96,10 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keeps an Arrow batch of long texts small enough for a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Bounds what a Python worker gets at once, in rows and bytes (a longer text comes alone). The session keeps the setting, since plans read it when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

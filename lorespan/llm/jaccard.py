@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import Stage, chunks, cut, mix, plain, shared_checkpoints, shingles, small_batches, tidy, words
+from lorespan.llm.common import Scratch, chunks, cut, mix, plain, shingles, small_batches, tidy, words
 
 #: Cells of a partition, and how many of them may differ.
 N2, K2 = 3, 1
@@ -235,7 +235,7 @@ def shared_signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
     return docs.mapInArrow(emit, "block int, pairs binary").repartition("block").mapInArrow(meet, "sig long, key long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b) of class nodes, those whose sets are similar. Sets are made of the texts of the nodes in question only."""
 
     def run(batches):
@@ -246,7 +246,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sim: Simila
                 part = out[i : i + 200]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.list_(pa.int64()))], ["node", "items"])
 
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key"), "node").select(F.col("node").alias("doc_id"), "key"))
+    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key"), "node").select(F.col("node").alias("doc_id"), "key"))
     few = wanted.count() <= BROADCAST_NODES
     sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "key", "text").mapInArrow(run, "node long, items array<long>")
     left, right = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
@@ -254,19 +254,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sim: Simila
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("items_a") + F.size("items_b") - both) * sim.percent).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label: the least node that each node of the edges (a, b) reaches. Labels spread along edges and then jump to their label's label, so that the rounds grow with the logarithm of a path."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = scratch.cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         # cut here, so that both sides of the next join are plain exchanges: a label that many nodes have can be split
-        new = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
+        spread = scratch.cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = scratch.cut(spread.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
+        scratch.drop(spread, labels)
         if new.where("label != old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            scratch.drop(both)
+            return new
+        labels = new
 
 
 def _can_be(sim: Similarity, n: Column, m: Column, differ: Column) -> Column:
@@ -294,68 +296,73 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nothing and has no component_id. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    shared_checkpoints(spark)
     small_batches(spark)
-    sim = Similarity(width, percent)
-    docs = plain(docs, "doc_id", "text")
-    kept = Stage(profile(docs, sim))
-    profiles = kept.rows
+    with Scratch(spark) as scratch:
+        return cut(_linked(plain(docs, "doc_id", "text"), Similarity(width, percent), scratch))
+
+
+def _linked(docs: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
+    profiles = scratch.keep(profile(docs, sim))
     known = docs.where(F.col("doc_id").isNotNull())
-    classes_kept = Stage(profiles.where("doc_id is not null and key is not null").groupBy("key", "n_shingles", "spare").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in (*_WORDS, "sketch", "middle"))))
-    classes = classes_kept.rows
+    classes = scratch.keep(profiles.where("doc_id is not null and key is not null").groupBy("key", "n_shingles", "spare").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in (*_WORDS, "sketch", "middle"))))
     # Equal sets, and different sets of one doc_id, are linked to begin with.
     same = profiles.where("doc_id is not null").join(classes.select("key", "n_shingles", "node"), ["key", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     # A row may come twice here; that makes a signature hot a little sooner, for all of its sets.
-    found = Stage(shared_signatures(known, sim).join(classes.select("key", "node", F.col("n_shingles").alias("n"), "spare"), "key").select("sig", "node", "n", "spare"))
+    found = scratch.keep(shared_signatures(known, sim).join(classes.select("key", "node", F.col("n_shingles").alias("n"), "spare"), "key").select("sig", "node", "n", "spare"))
     tidy(spark)
-    hot = found.rows.groupBy("sig").count().where(F.col("count") > HOT).select("sig", F.lit(True).alias("hot"))
-    marked = found.rows.join(hot, "sig", "left").select("sig", "node", "n", "spare", F.coalesce("hot", F.lit(False)).alias("hot"))
+    hot = found.groupBy("sig").count().where(F.col("count") > HOT).select("sig", F.lit(True).alias("hot"))
+    marked = found.join(hot, "sig", "left").select("sig", "node", "n", "spare", F.coalesce("hot", F.lit(False)).alias("hot"))
     many = marked.where("hot").groupBy("node").agg(F.count("*").alias("n_hot"))
-    members = Stage(marked.join(many, "node", "left").where("not hot or n_hot > spare").select("sig", "node", "n"))
-    found.drop()
+    members = scratch.keep(marked.join(many, "node", "left").where("not hot or n_hot > spare").select("sig", "node", "n"))
+    scratch.drop(found)
     del hot, marked, many
     tidy(spark)
-    degree = members.rows.groupBy("node").agg(F.count("*").alias("degree"))
-    hubs = members.rows.join(degree, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = members.join(degree, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     # hubs are tested against all others of their signatures, so they are needed no more
-    others = Stage(members.rows.join(hubs, "sig").where("node != hub"))
-    members.drop()
+    others = scratch.keep(members.join(hubs, "sig").where("node != hub"))
+    scratch.drop(members)
     del degree, hubs
     tidy(spark)
-    pairs = others.rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = cut(_likely(pairs, classes, sim))
-    edges = cut(_verified(first, known, classes, sim).union(same.distinct()))
-    labels = components(edges)
+    pairs = others.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    first = scratch.cut(_likely(pairs, classes, sim))
+    edges = scratch.cut(_verified(first, known, classes, sim, scratch).union(same.distinct()))
+    labels = components(edges, scratch)
     tidy(spark)
     # What shares a signature and is in different components yet.
-    at = others.rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = others.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
-    mixed_kept = Stage(at.join(mixed, "sig").select("sig", "node", "n", "label"))
-    others.drop()
+    apart = scratch.keep(at.join(mixed, "sig").select("sig", "node", "n", "label"))
+    scratch.drop(others)
     del mixed
     tidy(spark)
-    at = mixed_kept.rows.join(classes.select("node", *_WORDS, "middle"), "node")
+    rest = scratch.cut(_likely(_met(apart, classes, sim).join(first, ["a", "b"], "left_anti"), classes, sim))
+    scratch.drop(apart, first)
+    tidy(spark)
+    more = scratch.cut(_verified(rest, known, classes, sim, scratch))
+    if not more.isEmpty():
+        labels = components(edges.union(more), scratch)
+    out = profiles.select("doc_id", "n_shingles").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+
+
+def _met(apart: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of nodes of rows (sig, node, n, label) that share a signature, aren't in one component and can be similar by their short sketches."""
+    at = apart.join(classes.select("node", *_WORDS, "middle"), "node")
     other = at.select("sig", *(F.col(x).alias(f"{x}_") for x in ("node", "n", "label", *_WORDS, "middle")))
     differ = sum((F.bit_count(at[x].bitwiseXOR(other[f"{x}_"])) for x in _WORDS), F.lit(0))
     met = (at["sig"] == other["sig"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_"))
     # large sets carry more bits, which are looked at where the short sketch tells nothing
     more_bits = F.aggregate(F.zip_with("middle", "middle_", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
-    apart = F.when(F.size("middle") == F.size("middle_"), more_bits > (F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent))
-    met = met & _can_be(sim, F.col("n"), F.col("n_"), differ) & ~F.coalesce(apart, F.lit(False))
-    rest = at.join(other, met).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
-    rest = cut(_likely(rest.join(first, ["a", "b"], "left_anti"), classes, sim))
-    mixed_kept.drop()
-    tidy(spark)
-    more = cut(_verified(rest, known, classes, sim))
-    if not more.isEmpty():
-        labels = components(edges.union(more))
-    out = profiles.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    unlike = F.when(F.size("middle") == F.size("middle_"), more_bits > (F.col("n") + F.col("n_")) * (100 - sim.percent) / (100 + sim.percent))
+    met = met & _can_be(sim, F.col("n"), F.col("n_"), differ) & ~F.coalesce(unlike, F.lit(False))
+    return at.join(other, met).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs, in all their columns, with the document of least doc_id of each component; of rows with one doc_id one stays. Rows without doc_id stay."""
-    found = cut(near_duplicates(docs, width, percent))
+    found = near_duplicates(docs, width, percent)
     gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
     few = gone.count() <= BROADCAST_NODES
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

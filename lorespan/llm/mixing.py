@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import cut, plain
+from lorespan.llm.common import Scratch, cut, plain
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Newton steps at most; relative error at which they end; cells of the grid of shifts.
-STEPS, ERROR, GRID = 60, 1e-10, 4096
+STEPS, ERROR, GRID = 120, 1e-10, 4096
 #: Rows, one a source, that are broadcast to documents; if there are more sources, rows are shuffled by source.
 BROADCAST_SOURCES = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -49,10 +49,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return ranked.withColumn("target", F.when(F.col("full"), F.col("limit")).otherwise(F.col("weight") * rest)).select("source", "source_size", "rank", "weight", "target")
 
 
-def tilts(counts: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
-    """rank, tilt: lambda of each source. counts: rank, size, n; goals: rank, mean, source_size, target."""
+def tilts(counts: DataFrame, goals: DataFrame, scratch: Scratch, most: int = MOST) -> DataFrame:
+    """rank, tilt: lambda of each source. counts: rank, size, n; goals: rank, mean, source_size, target. A step either meets the target or halves the bracket at the least every other time; an error if STEPS don't end it."""
     full = F.col("target") >= F.col("source_size") * float(most) * (1 - 1e-12)
-    state = cut(goals.where(~full & (F.col("target") > 0)).select("rank", "mean", "target", (F.log(F.col("target") / F.col("source_size")) / 2).alias("tilt"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), F.lit(False).alias("done")))
+    state = scratch.cut(goals.where(~full & (F.col("target") > 0)).select("rank", "mean", "target", (F.log(F.col("target") / F.col("source_size")) / 2).alias("tilt"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), F.lit(False).alias("done")))
     for _ in range(STEPS):
         c = F.col("size") / F.col("mean")
         # beyond the limit a rate no longer answers to lambda
@@ -64,10 +64,14 @@ def tilts(counts: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
         low, high = F.when(over, F.col("low")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - (F.col("f") - F.col("target")) / F.nullif(F.col("g"), F.lit(0.0))
         inside = (newton > low) & (newton < high)
-        step = F.when(F.abs(F.col("f") - F.col("target")) <= F.col("target") * ERROR, F.col("tilt")).when(inside, newton).otherwise((low + high) / 2)
-        state = cut(state.join(sums, "rank").select("rank", "mean", "target", step.alias("tilt"), low.alias("low"), high.alias("high"), (step == F.col("tilt")).alias("done")))
+        narrow = high - low <= F.greatest(F.abs(high), F.lit(1.0)) * 1e-14
+        step = F.when((F.abs(F.col("f") - F.col("target")) <= F.col("target") * ERROR) | narrow, F.col("tilt")).when(inside, newton).otherwise((low + high) / 2)
+        before, state = state, scratch.cut(state.join(sums, "rank").select("rank", "mean", "target", step.alias("tilt"), low.alias("low"), high.alias("high"), (step == F.col("tilt")).alias("done")))
+        scratch.drop(before)
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise ArithmeticError(f"the dual isn't solved after {STEPS} steps for {state.where(~F.col('done')).count()} sources")
     solved = state.select("rank", F.round("tilt", 9).alias("tilt"))
     return goals.select("rank", "source_size", "target").join(solved, "rank", "left").select("rank", F.coalesce("tilt", F.when(F.col("target") > 0, 1e9).otherwise(-1e9)).alias("tilt"))
 
@@ -91,13 +95,18 @@ def beside(sources: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Of docs (doc_id, source, size): those rows, kept in the shared folder, and one row a source with all that makes copies of them."""
-    sizes = cut(docs)
-    sources = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("mean")).select("source", "source_size", "mean").drop("mean"), weights, share, most))
+    with Scratch(docs.sparkSession) as scratch:
+        sizes = cut(docs)
+        return sizes, cut(_goals(sizes, weights, share, most, scratch))
+
+
+def _goals(sizes: DataFrame, weights, share: float, most: int, scratch: Scratch) -> DataFrame:
+    sources = scratch.cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("mean")).select("source", "source_size", "mean").drop("mean"), weights, share, most))
     ranked = sizes.join(beside(sources), sizes["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "rank")
-    counts = cut(ranked.groupBy("rank", "size").agg(F.count("*").alias("n")))
+    counts = scratch.cut(ranked.groupBy("rank", "size").agg(F.count("*").alias("n")))
     means = counts.where("size > 0").groupBy("rank").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
-    goals = cut(sources.join(means, "rank", "left").withColumn("mean", F.coalesce("mean", F.lit(1.0))))
-    goals = cut(goals.join(tilts(counts, goals, most), "rank"))
+    goals = scratch.cut(sources.join(means, "rank", "left").withColumn("mean", F.coalesce("mean", F.lit(1.0))))
+    goals = scratch.cut(goals.join(tilts(counts, goals, scratch, most), "rank"))
     value = ranked.join(beside(goals.select("rank", "mean", "tilt")), "rank").withColumn("value", _dithered(most))
     # words at shift -1, and where along the grid of shifts each document gains a copy
     gain = F.filter(F.transform(F.array(*(F.lit(float(m)) for m in range(1, most + 1))), lambda m: F.ceil((m - F.col("value") + 1) * (GRID / 2)).cast("int")), lambda b: (b > 0) & (b <= GRID))
@@ -105,8 +114,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     curve = steps.groupBy("rank", "x.bin").agg(F.sum("x.mass").alias("mass"))
     curve = curve.withColumn("taken", F.sum("mass").over(Window.partitionBy("rank").orderBy("bin"))).join(goals.select("rank", "target"), "rank")
     shift = curve.groupBy("rank").agg(F.min_by("bin", F.struct(F.abs(F.col("taken") - F.col("target")), F.abs(F.col("bin") - GRID // 2))).alias("bin"))
-    goals = goals.join(shift, "rank", "left").withColumn("shift", F.coalesce(F.col("bin"), F.lit(GRID // 2)) * (2 / GRID) - 1).drop("bin")
-    return sizes, cut(goals)
+    return goals.join(shift, "rank", "left").withColumn("shift", F.coalesce(F.col("bin"), F.lit(GRID // 2)) * (2 / GRID) - 1).drop("bin")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
