@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespan.llm import blob_ledger, decontam, jaccard, mixing, toxicity
-from lorespan.llm.common import shared_checkpoints, table
+from lorespan.llm.common import remove, shared_checkpoints, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the table documents, each one's result kept as Parquet in the shared folder."""
-    shared_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """The stages in order over the table documents, each one's result kept as Parquet in the shared folder until the next one's is there (the last but one's as long as the application lives)."""
+    folder = f"{shared_checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if i:
+            remove(spark, f"{folder}/{STAGES[i - 1][0]}")
+    return STAGES[-1][1](spark, docs, sf_dir)
