@@ -1,9 +1,10 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of every file is a blob, named by the SHA-256 of its text. The ledger has one row for
-each blob and rule version that was scanned, with the spans found. A scan takes each blob's least
-path as its text, looks up which rule versions the ledger lacks for it, and runs only those; spans
-are then joined back to all paths. A rule with a new version is scanned anew, others are not.
+each blob and rule version that was scanned, with the spans found. A scan looks up which rule
+versions the ledger lacks for each blob, takes the text of the blob's least path, and runs only those;
+spans are then joined back to all paths. A rule with a new version is scanned anew, others are not.
+Texts of blobs that the ledger knows stay where they are.
 
 Spans are code points, end exclusive. They come from the matches and from the pieces between them:
 lengths of pieces and matches add up to offsets.
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from lorespan.llm.common import cut, plain, shared_checkpoints
 
 _SPANS = "array<struct<start:long,end:long>>"
+#: Bits of the bitmap of wanted blobs (16 MB).
+BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -67,21 +70,39 @@ def blob(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def perhaps(keys: DataFrame, rows: DataFrame, key: str = "blob") -> DataFrame:
+    """Adds _perhaps to rows, without a shuffle: true where the key is one of keys, and for a few others.
+
+    The keys' hashes are marked in a bitmap of BITS bits, which is broadcast and whose size does not
+    grow with the data. A join has the last word on those marked.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    marks = keys.select(at(key).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_marks"))
+    place = F.bitmap_bit_position(at(key))
+    byte = F.conv(F.hex(F.substring("_marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at(key)) == F.col("_bucket"), "left")
+    return met.select(*rows.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias("_perhaps"))
+
+
 def scan(versions: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
     """New ledger rows (blob, rule, found) for the blobs of versions (path, text) and the rules that the ledger lacks.
 
-    found has the spans, mostly none. Only the text of one path of each unseen blob is shuffled.
+    found has the spans, mostly none. What the ledger lacks is settled on hashes and paths alone; texts
+    move only if their blob is among that (or, rarely, seems so to `perhaps`). Equal rows of one path and
+    blob are scanned once, since one of them stays.
     """
     versions = plain(versions, "path", "text")
     wanted = F.array(*(F.lit(r.name) for r in rules))
-    blobs = versions.select("path", blob(F.col("text")).alias("blob")).groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is None:
-        todo = blobs.withColumn("todo", wanted)
-    else:
+    named = versions.withColumn("blob", blob(F.col("text")))
+    todo = named.groupBy("blob").agg(F.min("path").alias("path"))
+    if ledger is not None:
         seen = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("seen")
+        todo = todo.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
+        todo = cut(todo.select("blob", "path", "todo"))
+        named = perhaps(todo, named).where("_perhaps")
+    else:
+        todo = todo.withColumn("todo", wanted)
     todo = todo.select(F.struct("blob", "path").alias("key"), "todo")
-    named = versions.withColumn("blob", blob(F.col("text")))
     texts = named.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("key.blob")) & F.col("path").eqNullSafe(F.col("key.path")))
     each = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.when(F.array_contains("todo", r.name), spans(F.col("text"), r)).alias("found")) for r in rules))
     rows = texts.select("blob", F.filter(each, lambda x: x["found"].isNotNull()).alias("rows"))
@@ -107,7 +128,8 @@ def scan_paths(versions: DataFrame, rules=RULES, ledger: DataFrame | None = None
     """path, blob, spans of each row of versions (path, text).
 
     A null text is an empty one, with no spans. Repeated rows come back as often. A null path is a
-    path like others. An empty table gives an empty one.
+    path like others. Texts may be of any length. Columns beside path and text are left aside. An
+    empty table gives an empty one.
     """
     _, found = findings(versions, rules, ledger)
     paths = plain(versions, "path", "text").select("path", blob(F.col("text")).alias("blob"))
@@ -134,12 +156,11 @@ def redacted(text: Column, spans_: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
-    """docs, in all their columns, with the secrets of text replaced and n_chars following where a text changed."""
+    """docs, in all their columns, with the secrets of text replaced and n_chars following where a text changed. Texts without findings aren't shuffled for that."""
     _, found = findings(docs.select(F.col("doc_id").alias("path"), "text"), rules)
-    found = found.select(F.struct("blob", "spans").alias("_found"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(found, blob(text) == F.col("_found.blob"), "left")
-    hit = F.col("_found.blob").isNotNull()
-    rest = [F.col(c) for c in docs.columns if c != "text"]
-    changed = joined.select(*rest, hit.alias("_hit"), F.when(hit, redacted(F.col("text"), F.col("_found.spans"))).otherwise(F.col("text")).alias("text"))
-    return changed.select(*(F.when(F.col("_hit"), F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    rows = perhaps(found, docs.select(F.struct(*docs.columns).alias("_doc"), blob(F.coalesce("text", F.lit(""))).alias("blob")))
+    text = F.col("_doc.text")
+    hits = rows.where("_perhaps").join(found, "blob", "left").select("_doc", F.col("spans").isNotNull().alias("_hit"), F.when(F.col("spans").isNotNull(), redacted(text, F.col("spans"))).otherwise(text).alias("_text"))
+    every = hits.unionByName(rows.where("not _perhaps").select("_doc", F.lit(False).alias("_hit"), text.alias("_text")))
+    new = {"text": F.col("_text"), "n_chars": F.when(F.col("_hit"), F.length("_text")).otherwise(F.col("_doc.n_chars") if "n_chars" in docs.columns else F.lit(0)).cast("long")}
+    return every.select(*(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan.llm import blob_ledger, cotraining, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, toxicity
-from lorespan.llm.common import table
+from lorespan.llm.common import cut, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,7 +47,10 @@ FROM z
 
 def op2_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    found = blob_ledger.scan_paths(docs)
+    # as in use: a part of the versions came before and is in the ledger; now all paths are asked for
+    came_before = F.xxhash64(F.coalesce("path", F.lit(0)), F.lit("arrival")) < 0
+    ledger = cut(blob_ledger.scan(docs.where(came_before)))
+    found = blob_ledger.scan_paths(docs, ledger=ledger)
     base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
     kinds = F.transform("spans", lambda x: x["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]

@@ -196,6 +196,39 @@ def test_ledger_scans_only_what_is_new(spark):
     assert spans == {i: len(brute_spans(t)) for i, t in ((1, SECRETS[3]), (2, SECRETS[4]), (3, SECRETS[5]), (4, SECRETS[4]))}
 
 
+def shuffled(spark):
+    """Bytes written to shuffles by this application so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_a_second_run_moves_no_text(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz 0123456789") for _ in range(20_000)) + f" token={'x' * 20}" for _ in range(100)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
+    before = shuffled(spark)
+    ledger = blob_ledger.cut(blob_ledger.scan(rows))
+    first, before = shuffled(spark) - before, shuffled(spark)
+    assert first > 1_000_000
+    more = rows.unionByName(spark.createDataFrame([(100, "secret: abcdefghijklmnop"), (101, texts[3])], rows.schema))
+    found = {r.path: len(r.spans) for r in blob_ledger.scan_paths(more, ledger=ledger).collect()}
+    assert found == {i: len(brute_spans(t)) for i, t in enumerate([*texts, "secret: abcdefghijklmnop", texts[3]])}
+    assert shuffled(spark) - before < 200_000
+
+
+def test_perhaps_has_all_keys(spark):
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("blob"), "id")
+    got = {r.id for r in blob_ledger.perhaps(rows.where("id % 10 = 0"), rows).where("_perhaps").collect()}
+    assert set(range(0, 5000, 10)) <= got and len(got) < 520
+    assert blob_ledger.perhaps(rows.limit(0), rows).where("_perhaps").count() == 0
+
+
+def test_secrets_edge_cases(spark):
+    rows = odd(spark).withColumnRenamed("doc_id", "path").withColumn("blob", F.lit("clash")).withColumn("spans", F.lit(1))
+    assert Counter(r.path for r in blob_ledger.scan_paths(rows).collect()) == Counter([1, 2, 3, 4, 4, 5, None])
+    assert blob_ledger.scan_paths(rows.limit(0)).count() == 0 and blob_ledger.scan(rows.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     rows = blob_ledger.redact(docs_of(spark, SECRETS))
     assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"]
