@@ -120,32 +120,54 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("shard", [1 << 18, 60])
-def test_contamination_equals_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(decontam, "SHARD_BYTES", shard)
+@pytest.mark.parametrize("most", [150_000, 40, 15])
+def test_contamination_equals_brute_force(spark, monkeypatch, most):
+    """With one automaton, with several, and with items longer than one holds."""
+    monkeypatch.setattr(decontam, "MOST_WORDS", most)
     rng = random.Random(3)
     items = [(i, " ".join(rng.choice(WORDS[:30]) for _ in range(rng.choice((2, 5, 13, 20, 30))))) for i in range(8)] + [(8, None), (9, "--"), (10, "é ü")]
     texts = [None, "", "Été é Ü é ü", *(" ".join(rng.choice(WORDS[:30]) for _ in range(80)) for _ in range(10))]
     texts += [f"{WORDS[50]}! {items[3][1].upper()}... {WORDS[51]}", f"x{items[4][1]}", items[2][1].replace(" ", ", ")]
+    texts += [" ".join(x for _, x in items[:8]), " ".join(x for _, x in items[:8]), "Ünrelated (" + ", ".join(x.upper() for _, x in items[:3]) + ") end"]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for r in decontam.contamination(docs_of(spark, texts), bench).collect():
+    found = decontam.contamination(docs_of(spark, texts), bench).collect()
+    assert len(found) == len(texts)
+    for r in found:
         assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items), texts[r.doc_id]
+        assert [tuple(x) for x in r.spans] == brute_passages(texts[r.doc_id], items)
+    kept = {r.doc_id for r in decontam.clean(docs_of(spark, texts), bench).collect()}
+    assert kept == {i for i, t in enumerate(texts) for n, h, _ in [brute_hits(t, items)] if not (h and 20 * h >= n)}
+
+
+def brute_passages(text, items):
+    """Runs of hit words in the text, by code points."""
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+    hit = set()
+    for _, item in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), item or ""))
+        n = min(len(w), 13)
+        windows = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+        for i in range(len(found) - n + 1 if n else 0):
+            if tuple(m[0] for m in found[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+    return [(found[i].start(), found[next(j for j in range(i, len(found) + 1) if j + 1 not in hit)].end()) for i in sorted(hit) if i - 1 not in hit]
 
 
 def test_matcher_tells_lists_at_one_address_apart():
     class Sent:
         value = [("a", " ".join("abcdefghijklmn"))]
 
-    assert decontam.matcher(Sent, 13).scan("a b c d e f g h i j k l m n").items == {"a"}
+    assert decontam.matcher(Sent, 13).scan("a b c d e f g h i j k l m n")[2] == ["a"]
     Sent.value[:] = [("b", " ".join("nmlkjihgfedcba"))]
-    assert decontam.matcher(Sent, 13).scan("n m l k j i h g f e d c b a").items == {"b"}
+    assert decontam.matcher(Sent, 13).scan("n m l k j i h g f e d c b a")[2] == ["b"]
 
 
-def test_spans_are_offsets_of_the_original():
-    item = " ".join(WORDS[:14])
-    text = f"Ünrelated ({item.upper().replace(' ', ',  ')}) end"
-    (a, b), = decontam.Matcher([("7", item)]).scan(text).spans
-    assert text[a:b] == item.upper().replace(" ", ",  ")
+def test_codes_of_words_do_not_match_across_words():
+    """Many words, so that codes have several letters; texts made of parts of them have no hits."""
+    many = [f"{a}{b}" for a in "abcdefghij" for b in range(700)]
+    find = decontam.Matcher([("x", " ".join(many[:5000])), ("y", many[6000])])
+    assert find.width == 3 and find.scan(" ".join(many[100:112]))[1] == [] and len(find.scan(" ".join(many[100:113]))[1]) == 13
+    assert [w["word"] for w in find.scan(f"unknown {many[6000]} unknown")[1]] == [1]
 
 
 def test_contamination_edge_cases(spark):
@@ -154,6 +176,9 @@ def test_contamination_edge_cases(spark):
     kept = decontam.clean(odd(spark), spark.createDataFrame([(1, "one two")], "item_id long, text string"))
     assert kept.columns == odd(spark).columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 5, None])
+    named = odd(spark).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("hit", F.lit(1)).withColumn("n_words", F.lit("x"))
+    assert Counter(r.doc_id for r in decontam.contamination(named, none).collect()) == Counter(["1", "2", "3", "4", "4", "5", None])
+    assert decontam.contamination(odd(spark).limit(0), none).count() == 0 and decontam.clean(odd(spark).limit(0), none).count() == 0
 
 
 # --- secrets
