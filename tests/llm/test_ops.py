@@ -393,12 +393,67 @@ def test_segments_are_all_the_maximal_ones():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+def brute_counts(rows):
+    """Documents with a feature, by half and label."""
+    seen = Counter()
+    for half, toxic, text in rows:
+        words = set(decontam.normal_words((text or "").encode()))
+        names = {"=" + w.decode() for w in words} | {w.decode()[:n] for w in words for n in range(4, 10) if len(w.decode()) > n}
+        seen.update((f, half, toxic) for f in names)
+    return seen
+
+
+def test_features_are_counted_as_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(2), rng.randrange(2), rng.choice([None, "", insults(rng, 12, True), "наглость наглостью éééééé"])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "half int, toxic int, text string")
+    want = brute_counts(rows)
+    got = {r.feature: (r.t0, r.c0, r.t1, r.c1) for r in toxicity._counted(df).collect()}
+    assert got == {f: tuple(want[f, h, y] for h in (0, 1) for y in (1, 0)) for f in {k[0] for k in want}}
+
+
+def test_originals_are_the_first_of_near_copies(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(20)]
+    rows = [(i, 0, texts[i % 20] + (" more" if i >= 20 else "")) for i in range(60)] + [(60, 1, None), (61, 1, "")]
+    kept = [r.doc_id for r in toxicity.originals(spark.createDataFrame(rows, "doc_id long, toxic int, text string")).collect()]
+    assert sorted(i % 20 for i in kept if i < 60) == list(range(20)) and len([i for i in kept if i >= 60]) == 1
+
+
+def test_scores_are_made_of_segments_alone():
+    """Evidence grows with segments, and text outside of them matters only by its length."""
+    model = toxicity.Model({"=vile": 4.0, "=foul": 3.0}, lam=1.5, k=0.01, weights=(-3.0, 2.0, 1.0))
+    one = lambda t: toxicity._result(model, t, toxicity.Scores(model.odds))
+    assert one("a b vile c") == one("d e vile f") and one("")[0] == one("a b c")[0] == pytest.approx(1 / (1 + np.exp(3)))
+    assert one("vile" + " x" * 60 + " foul" + " x" * 20)[0] > one("vile" + " x" * 82)[0] > one("x " * 83)[0]
+    assert toxicity.together([]) == toxicity.together([-1.0]) == 0 and toxicity.together([3.0]) == 3.0 and toxicity.together([8.0, 8.0]) > 8.0
+    assert [(p["first_word"], p["last_word"]) for p in one("x vile foul " + "y " * 30)[1]] == [(1, 2)]
+
+
+def test_lambda_and_k_are_those_of_the_background():
+    """Of random clean texts about E have a best segment that is expected E times."""
+    rng = random.Random(1)
+    lam = toxicity._lambda(0.02, 2.0, toxicity.DRIFT)
+    assert 0.02 * np.exp(lam * 2.0) + 0.98 * np.exp(-lam * toxicity.DRIFT) == pytest.approx(1)
+
+    def best(n):
+        at = [i for i in range(n) if rng.random() < 0.02]
+        return max((s for *_, s in toxicity.segments(at, [2.0] * len(at))), default=0.0)
+
+    fit_on, test = [best(400) for _ in range(1500)], [best(400) for _ in range(1500)]
+    k = len(fit_on) / sum(400 * np.exp(-lam * s) for s in fit_on)
+    assert 0.01 < np.mean([k * 400 * np.exp(-lam * s) <= 0.05 for s in test]) < 0.12
+
+
 def test_toxicity_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd(spark), none)
     got = toxicity.toxicity(odd(spark), model).collect()
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.toxicity(odd(spark).limit(0), model).count() == 0
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, None, None), (None, 1, 1), (5, 1, 0), (4, 1, 0), (3, 0, 1)], none.schema)
+    assert len(toxicity.toxicity(odd(spark).withColumn("passages", F.lit(0)), toxicity.train(odd(spark), labels)).collect()) == 7
+    assert toxicity.reject(odd(spark), model).columns == odd(spark).columns
 
 
 # --- quality
