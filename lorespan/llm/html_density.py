@@ -9,7 +9,12 @@ with C, T characters and tags, LC, LT those in links, NC = C - LC, and LCb, Cb t
 node's density sum adds up its children's densities. The node with the largest sum holds the text; the
 least density on its path to the body is the threshold below which other nodes count as noise. The
 content is the largest-sum node of each subtree above the threshold, and of it all but parts that
-are marked as something else (navigation, adverts, forms, comments and the like).
+are marked as something else (navigation, adverts, forms, comments and the like). Where the text with
+the largest sum stands in paragraphs, others without any aren't of it, however dense.
+
+A mark is an element or a role of that meaning, or a class or id all of whose words say so ("ad",
+"cookie-notice", "post-comments", but not "promo-free" or "alert-fatigue"). What holds most of a page's
+open text isn't taken for something else by such a name.
 """
 
 from __future__ import annotations
@@ -42,6 +47,9 @@ MARKS = frozenset(
     " share sharing sidebar sidenav skip social sponsor sponsored subscribe subscription toolbar topbar widget login signup alert"
     " toc pagination pager bottombar siteheader sitefooter pageheader pagefooter".split()
 )
+#: Words that go with marks in names, and elements that hold text.
+BESIDE = frozenset("box wrap wrapper container inner outer section list item area block bar panel top bottom left right links buttons posts articles post article site page global main form slot unit zone user number".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption summary".split())
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -51,6 +59,7 @@ class Node:
     tag: str
     parent: Node | None = None
     marked: bool = False
+    named: bool = False  # marked by a name only
     block: Node | None = None  # the nearest element that breaks a line or is silent, itself included
     parts: list = field(default_factory=list)  # texts and nodes in order
     chars: int = 0
@@ -58,17 +67,20 @@ class Node:
     link_chars: int = 0
     link_tags: int = 0
     blocks: int = 0  # blocks in it, line breaks aside
+    open: int = 0  # characters outside of marked elements
+    written: int = 0  # characters in paragraphs and the like
     density: float = 0.0
     total: float = 0.0
 
 
-def _names(value: str) -> list[str]:
-    spread = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value)
-    return _NAME.findall(spread.lower())
+def _says_so(name: str) -> bool:
+    """Whether all words of a class or id, one of them at least a mark, say that it is no article text."""
+    words = _NAME.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower())
+    return any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words)
 
 
 def marked(tag: str, attrs: dict[str, str | None], parent: Node) -> bool:
-    """Whether an element says of itself that it is no article text."""
+    """Whether an element is of a kind that is no article text, or hidden."""
     if tag in ASIDE or tag in SILENT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
@@ -78,13 +90,14 @@ def marked(tag: str, attrs: dict[str, str | None], parent: Node) -> bool:
         while at and at.tag not in ("article", "main"):
             at = at.parent
         return at is None
+    return False
+
+
+def named(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Whether an element's class or id says that it is no article text."""
     if tag in ("body", "html", "article", "main"):
         return False
-    for value in (attrs.get("class"), attrs.get("id")):
-        words = _names(value or "")
-        if any(w in MARKS and (i == 0 or words[i - 1] not in ("has", "no", "with", "without")) for i, w in enumerate(words)):
-            return True
-    return False
+    return any(_says_so(x) for value in (attrs.get("class"), attrs.get("id")) for x in (value or "").split())
 
 
 class Tree(HTMLParser):
@@ -120,7 +133,7 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def _new(self, tag: str, attrs: dict) -> Node:
-        node = Node(tag, self.at, marked(tag, attrs, self.at))
+        node = Node(tag, self.at, marked(tag, attrs, self.at), named(tag, attrs))
         node.block = node if tag in BLOCK or tag in SILENT else self.at.block
         self.at.parts.append(node)
         return node
@@ -160,11 +173,15 @@ def measure(root: Node) -> list[Node]:
                 if x.tag not in SILENT:
                     node.blocks += x.blocks + (x.tag in BLOCK and x.tag != "br")
                     node.chars += x.chars
+                    node.open += 0 if x.marked else x.open
+                    node.written += x.chars if x.tag in PARAGRAPHS else x.written
                     node.tags += x.tags + 1
                     node.link_chars += x.link_chars
                     node.link_tags += x.link_tags + (x.tag == "a")
             else:
-                node.chars += len(_SPACE.sub(" ", x).strip())
+                n = len(_SPACE.sub(" ", x).strip())
+                node.chars += n
+                node.open += n
         if node.tag == "a":
             node.link_chars = node.chars
     return order
@@ -209,6 +226,8 @@ def _whole(node: Node) -> Node:
 def content(root: Node, body: Node) -> list[Node]:
     """The nodes that hold the article, in page order: the one with the largest density sum and, of each subtree outside it that is as dense as its path, the one with that subtree's largest sum."""
     order = measure(root)
+    for node in order:
+        node.marked |= node.named and 2 * node.open <= body.open
     weigh(order, body)
     # what is marked, or in something marked, is no candidate
     open_ = [body]
@@ -231,6 +250,15 @@ def content(root: Node, body: Node) -> list[Node]:
     path = _path(best)
     inside = set(path)
     threshold = min((n.density for n in path if n.density > 0), default=0.0)
+    # beside text in paragraphs, blocks without any are noise
+    if 2 * best.written > best.chars:
+        below = {best}
+        for node in order:  # parents come first
+            if node.parent in below:
+                below.add(node)
+        for node in candidates:
+            if node.tag in BLOCK and node.tag not in PARAGRAPHS and node.chars and not node.written and node not in inside and node not in below:
+                node.marked = True
     # lists of links that are less dense are noise
     for node in candidates:
         if node.tag in BLOCK and node not in inside and node.link_tags > 1 and node.link_chars > 0.6 * node.chars and node.density < threshold:
@@ -287,14 +315,18 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each row of pages (page_id, url, html).
 
-    Null, empty and broken html give what text they have, or an empty text. Repeated rows come back
-    as often; an empty table gives an empty one.
+    Null, empty and broken html give what text they have, or an empty text; pages may be of any length
+    and nest to any depth. Of nodes with equal sums the outer one counts. page_id may be of any type.
+    Repeated rows come back as often, and equal pages alike; other columns are left aside; an empty
+    table gives an empty one.
     """
     small_batches(pages.sparkSession)
+    pages = plain(pages, "page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             texts = [main_text(x) for x in utf8(batch.column("html")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return plain(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

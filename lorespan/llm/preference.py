@@ -45,7 +45,7 @@ def conversations(turns: DataFrame) -> DataFrame:
     """conv_id, turns of rows (conv_id, turn, role, text), in order of turn.
 
     Null roles and texts are empty. Rows without conv_id or turn are left aside. Of several rows of one
-    turn the least by role and text stays, so repeated rows change nothing.
+    turn the least by role and text stays, so repeated rows change nothing. Other columns are left aside.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = turns.where("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(row)).alias("rows"))
@@ -75,11 +75,14 @@ def masked(segments: Column) -> Column:
 def format_pairs(pairs: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
     """pair_id, n_common, prompt and, for chosen and rejected, the completion and its masked ranges, of pairs (pair_id, chosen, rejected: arrays of turns).
 
-    Null conversations have no turns. Equal conversations have empty completions; one that is a prefix
-    of the other has one. Repeated rows come back as often.
+    Null conversations have no turns; a null turn, role or text is an empty one, which is rendered and
+    compared like others. Equal conversations have empty completions; one that is a prefix of the other
+    has one. Texts may be of any length. Repeated rows come back as often; other columns are left
+    aside; an empty table gives an empty one.
     """
     sides = ("chosen", "rejected")
-    rows = pairs.select("pair_id", *(F.coalesce(F.col(s), F.array().cast(_TURNS)).alias(s) for s in sides))
+    whole = lambda s: F.transform(F.coalesce(F.col(s), F.array().cast(_TURNS)), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    rows = pairs.select("pair_id", *(whole(s).alias(s) for s in sides))
     rows = rows.withColumn("n_common", common_prefix(F.col("chosen"), F.col("rejected")))
     rest = lambda s: F.slice(F.col(s), F.col("n_common") + 1, F.greatest(F.size(s) - F.col("n_common"), F.lit(0)))
     rows = rows.select("pair_id", "n_common", template.whole(F.slice("chosen", F.lit(1), F.col("n_common"))).alias("prompt"), *(template.segments(rest(s)).alias(s) for s in sides))
@@ -90,13 +93,19 @@ def format_pairs(pairs: DataFrame, template: Template = Template()) -> DataFrame
 def own_pairs(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """pair_id, chosen, rejected: one pair of each conversation with a turn to train on.
 
-    Chosen is the conversation up to its last such turn; rejected has, in place of it, the reply of
-    the turn to train on before it (an answer that does not fit), or, if there is none, ends before it.
+    Chosen is the conversation up to its last such turn. Rejected has, from the middle one of them on,
+    in place of each the reply of the one before it (an answer that does not fit); of a single one it
+    has none and ends before it. Where replies in a row are equal, the two part later, or never.
     """
     rows = conversations(turns)
     at = F.transform("turns", lambda t, i: F.when(t["role"] == trained, i + 1).otherwise(0))
     rows = rows.withColumn("at", F.filter(at, lambda i: i > 0)).where(F.size("at") > 0)
-    last, before = F.element_at("at", -1), F.try_element_at("at", F.lit(-2))
-    chosen = F.slice("turns", F.lit(1), last)
-    other = F.when(before.isNotNull(), F.array(F.try_element_at("turns", F.coalesce(before, F.lit(1))))).otherwise(F.array().cast(_TURNS))
-    return rows.select(F.col("conv_id").alias("pair_id"), chosen.alias("chosen"), F.concat(F.slice("turns", F.lit(1), last - 1), other).alias("rejected"))
+    chosen = F.slice("turns", F.lit(1), F.element_at("at", -1))
+    middle = F.element_at("at", (F.floor(F.size("at") / 2) + 1).cast("int"))
+
+    def earlier(t, i):
+        before = F.try_element_at("at", F.greatest(F.array_position("at", i + 1) - 1, F.lit(1)).cast("int"))
+        return F.when((t["role"] == trained) & (i + 1 >= middle), F.struct(t["role"].alias("role"), F.try_element_at("turns", before)["text"].alias("text"))).otherwise(t)
+
+    without = F.slice("turns", F.lit(1), F.element_at("at", -1) - 1)
+    return rows.select(F.col("conv_id").alias("pair_id"), chosen.alias("chosen"), F.when(F.size("at") == 1, without).otherwise(F.transform(chosen, earlier)).alias("rejected"))

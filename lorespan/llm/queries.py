@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan.llm import blob_ledger, cotraining, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, toxicity
-from lorespan.llm.common import cut, table
+from lorespan.llm.common import cut, shared_checkpoints, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -19,28 +20,26 @@ def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("pair_id").alias("conv_id"), F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", ranges("chosen"), "rejected", ranges("rejected"))
 
 
-OP1_SQL = """
+_OP1_SHOWN = "array_to_string(list_transform({0}, lambda u: '<|start|>' || u.r || chr(10) || u.t || '<|end|>' || chr(10)), '')"
+_OP1_MASKED = """array_to_string(list_transform(list_filter(range(1, len({0}) + 1), lambda i: {0}[i].r = 'assistant'),
+    lambda i: (19 + {1}) || ':' || (19 + {1} + length({0}[i].t) + 8)), ',')""".replace("{1}", "coalesce(list_sum(list_transform({0}[1:i - 1], lambda u: 18 + length(u.r) + length(u.t))), 0)")
+OP1_SQL = f"""
 WITH one AS (
   SELECT conv_id, turn, min(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))) AS x
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 c AS (SELECT conv_id, list(x ORDER BY turn) AS ts FROM one GROUP BY conv_id),
-a AS (
-  SELECT conv_id, ts, list_filter(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN ts[i].r = 'assistant' THEN i ELSE 0 END), lambda i: i > 0) AS pos
-  FROM c),
+a AS (SELECT conv_id, ts, list_filter(range(1, len(ts) + 1), lambda i: ts[i].r = 'assistant') AS pos FROM c),
 p AS (
-  SELECT conv_id, ts, pos[-1] AS last, CASE WHEN len(pos) > 1 THEN pos[-2] END AS before FROM a WHERE len(pos) > 0),
-q AS (
-  SELECT conv_id, ts, last, before, before IS NOT NULL AND ts[before].t = ts[last].t AS same FROM p),
-z AS (
-  SELECT conv_id, CAST(CASE WHEN same THEN last ELSE last - 1 END AS BIGINT) AS n_common, same, before,
-    array_to_string(list_transform(ts[1:CASE WHEN same THEN last ELSE last - 1 END], lambda x: '<|start|>' || x.r || chr(10) || x.t || '<|end|>' || chr(10)), '') AS prompt,
-    ts[last].t AS good, CASE WHEN before IS NOT NULL THEN ts[before].t END AS bad
-  FROM q)
-SELECT conv_id, n_common, prompt,
-  CASE WHEN same THEN '' ELSE '<|start|>assistant' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
-  CASE WHEN same THEN '' ELSE '19:' || (19 + length(good) + 8) END AS chosen_masked,
-  CASE WHEN same OR bad IS NULL THEN '' ELSE '<|start|>assistant' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected,
-  CASE WHEN same OR bad IS NULL THEN '' ELSE '19:' || (19 + length(bad) + 8) END AS rejected_masked
+  SELECT conv_id, ts[1:pos[-1]] AS good, CASE WHEN len(pos) = 1 THEN ts[1:pos[-1] - 1] ELSE
+    list_transform(range(1, pos[-1] + 1), lambda i: CASE WHEN list_contains(pos, i) AND i >= pos[len(pos) // 2 + 1]
+      THEN struct_pack(r := ts[i].r, t := ts[pos[list_position(pos, i) - 1]].t) ELSE ts[i] END) END AS bad
+  FROM a WHERE len(pos) > 0),
+n AS (
+  SELECT conv_id, good, bad, coalesce(list_min(list_filter(range(1, least(len(good), len(bad)) + 1), lambda i: good[i] <> bad[i])) - 1, least(len(good), len(bad))) AS n FROM p),
+z AS (SELECT conv_id, n, good[1:n] AS shared, good[n + 1:] AS g, bad[n + 1:] AS b FROM n)
+SELECT conv_id, CAST(n AS BIGINT) AS n_common, {_OP1_SHOWN.format("shared")} AS prompt,
+  {_OP1_SHOWN.format("g")} AS chosen, {_OP1_MASKED.format("g")} AS chosen_masked,
+  {_OP1_SHOWN.format("b")} AS rejected, {_OP1_MASKED.format("b")} AS rejected_masked
 FROM z
 """
 
@@ -129,7 +128,9 @@ def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.digests(telephony.store(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = telephony.archive(docs, f"{shared_checkpoints(spark)}/media-{uuid.uuid4().hex}")
+    return stored.withColumn("pcm_bytes", F.length("pcm").cast("long")).drop("pcm", "fault")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

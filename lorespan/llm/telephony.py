@@ -4,6 +4,9 @@ mu-law and A-law bytes expand through tables of 256 values, made from the format
 blocks are decoded side by side: the steps of a block follow each other, but each step is one array
 operation over all blocks of a batch. Decoded samples are resampled to whole multiples of their rate
 by linear interpolation in whole numbers, and stored as 16-bit PCM in WAV.
+
+Media that are null, no WAV file, cut short or of an unknown format don't stop a job: their row says
+so in the column fault, and has nulls for what can't be told.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import DataFrame
 from lorespan.llm.common import plain, small_batches, utf8
 
 RATE, UNIT = 8000, 64
+#: Bytes of texts or media that a Python worker gets at once; it makes about twelve times that of them.
+BATCH = 4 << 20
 #: WAV format tags.
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 
@@ -79,19 +84,35 @@ def wav(data: bytes, tag: int = MULAW, rate: int = RATE, block: int = 1) -> byte
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
 
 
-def unwav(media: bytes) -> tuple[int, int, int, bytes]:
+class Fault(ValueError):
+    """What is wrong with a media file."""
+
+
+def unwav(media: bytes | None) -> tuple[int, int, int, bytes]:
     """Format tag, rate, bytes of a block and data of a WAV file; other chunks are passed over."""
+    if media is None:
+        raise Fault("no media")
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
+        raise Fault("not a WAV file")
     at, tag, rate, align = 12, 0, 0, 1
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
-            tag, _, rate, _, align, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            if size < 16 or at + 24 > len(media):
+                raise Fault("a broken format chunk")
+            tag, channels, rate, _, align, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            if tag not in (PCM, ALAW, MULAW, ADPCM):
+                raise Fault(f"unknown format {tag}")
+            if channels != 1 or align < 1 or tag == ADPCM and align < 5:
+                raise Fault(f"unknown layout of format {tag}")
         elif name == b"data":
+            if not tag:
+                raise Fault("data before the format")
+            if at + 8 + size > len(media):
+                raise Fault("data cut short")
             return tag, rate, align, media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    raise ValueError("no data in the WAV file")
+    raise Fault("no data")
 
 
 def resample(pcm: np.ndarray, times: int = 2) -> np.ndarray:
@@ -106,14 +127,12 @@ def resample(pcm: np.ndarray, times: int = 2) -> np.ndarray:
 
 
 def samples(tag: int, align: int, data: bytes) -> np.ndarray:
-    """int16 samples of stored data."""
+    """int16 samples of stored data; a last block or sample that isn't whole is left out."""
     if tag == ADPCM:
         raw = np.frombuffer(data, np.uint8)
         return decode_adpcm(raw[: len(raw) // align * align].reshape(-1, align)).ravel() if len(raw) >= align else np.zeros(0, np.int16)
     if tag == PCM:
         return np.frombuffer(data[: len(data) // 2 * 2], "<i2")
-    if tag not in (ALAW, MULAW):
-        raise ValueError(f"WAV format {tag} is not known here")
     return (ALAW_TABLE if tag == ALAW else MULAW_TABLE)[np.frombuffer(data, np.uint8)]
 
 
@@ -133,9 +152,10 @@ def measures(pcm: np.ndarray) -> str:
 def store(docs: DataFrame, tag: int = MULAW) -> DataFrame:
     """doc_id, n_bytes, media: each text of docs (doc_id, text), as UTF-8 with bytes 0 up to a positive multiple of UNIT, as the samples of a WAV file.
 
-    A null text is an empty one and has UNIT bytes 0. Repeated rows come back as often.
+    A null text is an empty one and has UNIT bytes 0. doc_id may be of any type, texts of any length.
+    Repeated rows come back as often; other columns are left aside; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH)
 
     def run(batches):
         for batch in batches:
@@ -143,54 +163,60 @@ def store(docs: DataFrame, tag: int = MULAW) -> DataFrame:
             media = [wav(payload(t), tag, block=UNIT) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    docs = plain(docs, "doc_id", "text")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def decode(media: DataFrame, times: int = 2) -> DataFrame:
-    """doc_id, n_bytes, media, tag, pcm (a WAV file of resampled 16-bit PCM), feature of rows (doc_id, n_bytes, media). Null media give null results."""
-    small_batches(media.sparkSession)
+_DIGESTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "pcm_sha256": pa.string(), "pcm": pa.binary(), "fault": pa.string()}
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for x in batch.column("media").to_pylist():
-                if x is None:
-                    out.append((None, None, None))
-                    continue
-                tag, rate, align, data = unwav(x)
-                pcm = resample(samples(tag, align, data), times)
-                out.append((tag, wav(pcm.astype("<i2").tobytes(), PCM, rate * times), f"{tag}:{measures(pcm)}"))
-            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], ["doc_id", "n_bytes", "media", "tag", "pcm", "feature"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, tag int, pcm binary, feature string")
-
-
-def digests(media: DataFrame, times: int = 2) -> DataFrame:
-    """doc_id, n_bytes and, of the bytes that media hold: payload_bytes, payload_sha256, tail_crc32 (of the last UNIT bytes), media_bytes, media_sha256, feature, pcm_sha256.
+def decode(media: DataFrame, times: int = 2) -> DataFrame:
+    """The columns of rows (media, and others of other names than these) and, of the bytes that media hold: payload_bytes, payload_sha256, tail_crc32 (of the last UNIT bytes), media_bytes, media_sha256, feature, pcm_sha256, pcm (a WAV file of resampled 16-bit PCM), fault.
 
     feature has measures of the payload's samples expanded by the stored format's table, by the other
     one of mu-law and A-law, and decoded as ADPCM blocks of UNIT bytes, all blocks of a batch at once.
+    Where media are null or broken, fault says why, and what can't be told is null. Media may be empty,
+    or of any length; repeated rows come back as often; an empty table gives an empty one.
     """
-    small_batches(media.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"]
+    small_batches(media.sparkSession, size=BATCH)
+    kept = [c for c in media.columns if c not in _DIGESTS and c != "media"]
+    names = [*kept, "media", *_DIGESTS]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            stored = batch.column("media").to_pylist()
-            parts = [unwav(x) for x in stored]
+            stored, parts, faults = batch.column("media").to_pylist(), [], []
+            for x in stored:
+                try:
+                    parts.append(unwav(x))
+                    faults.append(None)
+                except Fault as fault:
+                    parts.append((0, 0, 1, b""))
+                    faults.append(str(fault))
             ends = np.cumsum([0, *(len(data) // UNIT for *_, data in parts)])
             every = np.frombuffer(b"".join(data[: len(data) // UNIT * UNIT] for *_, data in parts), np.uint8).reshape(-1, UNIT)
             blocks = decode_adpcm(every)
-            for i, (tag, _, align, data) in enumerate(parts):
-                pcm = resample(samples(tag, align, data), times)
+            rows = []
+            for i, ((tag, rate, align, data), fault) in enumerate(zip(parts, faults, strict=True)):
+                known = (None, None) if stored[i] is None else (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+                if fault:
+                    rows.append((None, None, None, *known, None, None, None, fault))
+                    continue
+                pcm = resample(samples(tag, align, data), times).astype("<i2").tobytes()
                 other = (MULAW_TABLE if tag == ALAW else ALAW_TABLE)[np.frombuffer(data, np.uint8)]
-                feature = f"{tag}:{measures(pcm)};{measures(other)};{measures(blocks[ends[i] : ends[i + 1]].ravel())}"
-                sha = [hashlib.sha256(x).hexdigest() for x in (data, stored[i], pcm.astype("<i2").tobytes())]
-                rows.append((len(data), sha[0], zlib.crc32(data[-UNIT:]), len(stored[i]), sha[1], feature, sha[2]))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names)
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_sha256 string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+                feature = f"{tag}:{measures(np.frombuffer(pcm, '<i2'))};{measures(other)};{measures(blocks[ends[i] : ends[i + 1]].ravel())}"
+                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), *known, feature, hashlib.sha256(pcm).hexdigest(), wav(pcm, PCM, rate * times), None))
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_DIGESTS.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*kept, "media")), *made], names)
+
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    schema = [*(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in kept), "media binary", *(f"{c} {kinds[t]}" for c, t in _DIGESTS.items())]
+    return media.select(*kept, "media").mapInArrow(run, ", ".join(schema))
+
+
+def archive(docs: DataFrame, folder: str, tag: int = MULAW, times: int = 2) -> DataFrame:
+    """The rows of decode(store(docs)), by way of two Parquet tables in folder: media, as stored, and pcm, made of what is read back from it, without the media again."""
+    spark = docs.sparkSession
+    write = lambda rows, name: rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    write(store(docs, tag), "media")
+    write(decode(spark.read.parquet(f"{folder}/media"), times).drop("media"), "pcm")
+    return spark.read.parquet(f"{folder}/pcm")

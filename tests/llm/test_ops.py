@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,24 +476,90 @@ def test_cotraining_on_held_out_rows(spark):
     assert all(0 <= x <= 1 for r in got.values() for x in (r.score, r.text_score, r.meta_score))
 
 
+def seen_rows(numbers, names):
+    return cotraining.Rows(np.asarray(numbers, float).reshape(len(names), -1), [cotraining.Tokens.of([[n] for n in names])])
+
+
 def test_views_teach_each_other():
     """With few labels, a view that sees nothing in them learns from the other."""
     rng = np.random.default_rng(1)
     y = np.arange(40) % 2
     hidden = np.arange(2000) % 2
-    text = lambda z: np.c_[z + rng.normal(0, 0.05, len(z)), rng.random(len(z))]
-    meta = lambda z: np.c_[np.ones(len(z)), 1 + z * 3, np.full(len(z), 5.0)]
-    alone = cotraining.cotrain((text(y), text(hidden)), (meta(y * 0), meta(hidden)), y.astype(float), rounds=0)
-    taught = cotraining.cotrain((text(y), text(hidden)), (meta(y * 0), meta(hidden)), y.astype(float), rounds=3)
+    text = lambda z: seen_rows(np.c_[z + rng.normal(0, 0.05, len(z)), rng.random(len(z))], [1] * len(z))
+    meta = lambda z: seen_rows(np.full((len(z), 1), 5.0), [int(x) * 3 for x in z])
+    pool = (text(hidden), meta(hidden))
+
+    def surest(views, given):
+        out = []
+        for i in (0, 1):
+            z = views[i].log_odds(pool[i])
+            at = [int(j) for s in (z, -z) for j in np.argsort(-s, kind="stable")[:100] if s[j] > 3.5 and j not in given[1 - i].keys]
+            out.append((at, [int(z[j] > 0) for j in at], pool[1 - i].take(np.array(at, int))))
+        return out
+
+    known = (text(y), meta(y * 0))
+    alone, taught = (cotraining.cotrain(known, y.astype(float), surest, rounds=n) for n in (0, 3))
     spread = lambda m: np.ptp(m.meta.raw(meta(np.array([0, 1]))))
     assert spread(taught) > spread(alone) + 0.5
 
 
+def test_evidence_equals_brute_force():
+    rng = random.Random(3)
+    rows = [sorted({rng.randrange(12) for _ in range(rng.randrange(5))}) for _ in range(40)]
+    y = np.array([rng.randrange(2) for _ in rows], float)
+    tokens, found = cotraining.Tokens.of(rows), cotraining.Evidence()
+
+    def brute(i, rows_, y_):
+        odds = [np.log((sum(t in r for r, v in zip(rows_, y_) if v == 1) + 1) / (sum(y_ == 1) + 2)) - np.log((sum(t in r for r, v in zip(rows_, y_) if v == 0) + 1) / (sum(y_ == 0) + 2)) for t in rows[i]]
+        return np.mean(odds) if odds else 0.0
+
+    left_out = [brute(i, rows[:i] + rows[i + 1 :], np.delete(y, i)) for i in range(len(rows))]
+    assert found.learn(tokens, y) == pytest.approx(left_out)
+    assert found.of(tokens) == pytest.approx([brute(i, rows, y) for i in range(len(rows))])
+    assert found.of(cotraining.Tokens.of([[99], []])).tolist() == [0, 0]
+
+
+def test_a_round_takes_the_surest_of_all_rows(spark):
+    """A round over several partitions against all rows scored at once and sorted."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(WORDS[:40] if i % 2 else WORDS[30:80]) for _ in range(rng.choice((5, 20)))) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "en", f"s{i % 7}", len(t)) for i, t in enumerate(texts)], "key long, text string, lang string, source string, n_chars long")
+    rows = cotraining._featured(df).collect()
+    names = ["lang", "source", "n_chars", "numbers", "buckets"]
+    seen = cotraining._views({c: [r[c] for r in rows] for c in names})
+    y = np.array([r.key % 2 for r in rows], float)
+    views = (cotraining.View(), cotraining.View())
+    for view, own in zip(views, seen, strict=True):
+        view.fit(own, y)
+    given = (cotraining.Given(keys=[1, 2, 3]), cotraining.Given(keys=[rows[0].key, rows[9].key]))
+    want = set()
+    for i in (0, 1):
+        z = np.round(views[i].log_odds(seen[i]), 6)
+        for label, sure in ((1, z), (0, -z)):
+            best = sorted((-s, r.key) for s, r in zip(sure, rows, strict=True) if s >= np.log(0.97 / 0.03) and r.key not in given[1 - i].keys)
+            want |= {(i, label, k) for _, k in best[:25]}
+    got = cotraining.surest_of(cotraining._featured(df.repartition(6)), views, given, 25).collect()
+    assert len(got) == len(want) > 25 and {(r["view"], r["label"], r["key"]) for r in got} == want
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(10)
+    rows = [(i % 90, " ".join(rng.choice(WORDS[: 40 + 40 * (i % 2)]) for _ in range(15)), "en", f"s{i % 3}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    a, b = (sorted(map(tuple, cotraining.quality(df, cotraining.train(x, labels)).collect())) for x in (df, df.orderBy(F.rand(3)).repartition(5)))
+    assert np.array(a) == pytest.approx(np.array(b))
+
+
 def test_cotraining_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = cotraining.train(odd(spark), none)
     assert len(cotraining.quality(odd(spark), model).collect()) == 7
     assert cotraining.quality(odd(spark).limit(0), model).count() == 0
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (4, 0, 1), (5, 1, None), (None, 1, 1), (3, None, 0), (5, 0, 0)], none.schema)
+    model = cotraining.train(odd(spark), labels)
+    assert len(cotraining.quality(odd(spark).withColumn("doc_id", F.col("doc_id").cast("string")), model).collect()) == 7
+    assert cotraining.train(odd(spark).limit(0), labels).weights == (0.0, 1.0, 0.0)
 
 
 # --- telephony
@@ -532,16 +599,44 @@ def test_media_round_trip(spark):
         raw = (texts[r.doc_id] or "").encode()
         tag, rate, _, data = telephony.unwav(bytes(r.media))
         assert (tag, rate) == (7, 8000) and data.rstrip(b"\0") == raw and len(data) % 64 == 0 and len(data) >= 64 and len(data) - len(raw) <= 64
-    for r in telephony.digests(stored).collect():
+    decoded = telephony.decode(stored).collect()
+    for r in decoded:
         data = telephony.payload(texts[r.doc_id])
-        assert (r.payload_sha256, r.tail_crc32, r.payload_bytes) == (hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(data))
-    pcm = {r.doc_id: bytes(r.pcm) for r in telephony.decode(stored).collect()}
-    tag, rate, _, data = telephony.unwav(pcm[2])
-    assert (tag, rate, len(data)) == (1, 16000, 64 * 2 * 2)
-    assert telephony.digests(telephony.store(odd(spark))).count() == 7
+        assert (r.payload_sha256, r.tail_crc32, r.payload_bytes, r.fault) == (hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(data), None)
+        tag, rate, _, pcm = telephony.unwav(bytes(r.pcm))
+        slow = [slow_mulaw(c) for c in data]
+        up = [y for x, z in zip(slow, [*slow[1:], slow[-1]], strict=True) for y in (x, (x + z + 1) // 2)]
+        assert (tag, rate, len(pcm)) == (1, 16000, len(data) * 4) and struct.unpack(f"<{len(up)}h", pcm) == tuple(up)
+        assert r.pcm_sha256 == hashlib.sha256(pcm).hexdigest()
+    assert telephony.decode(telephony.store(odd(spark).withColumn("media", F.lit("clash")))).count() == 7
+    assert telephony.decode(telephony.store(odd(spark).limit(0))).count() == 0
     assert base64.b64encode(telephony.wav(b"abc")).startswith(b"UklGR")
 
 
+@pytest.mark.parametrize("tag", [telephony.MULAW, telephony.ALAW, telephony.ADPCM])
+def test_archive_holds_what_it_was_given(spark, tmp_path, tag):
+    texts = [None, "", "é" * 40, "xyz " * 3000]
+    got = telephony.archive(docs_of(spark, texts), str(tmp_path / "a"), tag).collect()
+    media = {r.doc_id: bytes(r.media) for r in spark.read.parquet(str(tmp_path / "a" / "media")).collect()}
+    for r in got:
+        data = telephony.payload(texts[r.doc_id])
+        assert telephony.unwav(media[r.doc_id])[3] == data and r.payload_sha256 == hashlib.sha256(data).hexdigest()
+        assert r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest() and len(telephony.unwav(bytes(r.pcm))[3]) == r.pcm_bytes if "pcm_bytes" in r else True
+        if tag == telephony.ADPCM:
+            slow = [x for i in range(0, len(data), 64) for x in slow_adpcm(data[i : i + 64])]
+            assert telephony.unwav(bytes(r.pcm))[3][::4] == np.array(slow, "<i2").tobytes()[::2]
+
+
+def test_broken_media_have_a_fault(spark):
+    good = telephony.wav(b"abcd" * 16)
+    odd_ones = [None, b"", b"RIFF", b"no wav at all, but long enough for a head", good[:30], good[:-5], good[:20] + b"\x99\x00" + good[22:], telephony.wav(b""), good]
+    df = spark.createDataFrame([(i, "kept", x) for i, x in enumerate(odd_ones)], "doc_id long, feature string, media binary")
+    got = {r.doc_id: r for r in telephony.decode(df).collect()}
+    assert len(got) == len(odd_ones) and all(got[i].fault and got[i].pcm is None and got[i].feature is None for i in range(7))
+    assert got[0].media_bytes is None and got[5].media_bytes == len(good) - 5 and got[7].fault is None and got[7].payload_bytes == 0
+    assert got[8].fault is None and got[8].payload_sha256 == hashlib.sha256(b"abcd" * 16).hexdigest()
+
+
 # --- html
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header>
@@ -587,6 +682,100 @@ def test_articles_beside_the_text_do_not_decide():
     assert numbers(parts) == numbers(f"<ul><li><a href=x>M1</a></li><li><a href=x>M2</a></li></ul>{parts}") == ["A0", "A1", "B0", "B1", "C0", "C1"]
 
 
+def pages_of(sf):
+    return [r["html"] for r in pq.read_table(f"/root/testdata/{sf}/pages.parquet", columns=["html"]).to_pylist()]
+
+
+def bare(page, tags):
+    """The page with these elements as div, and without class, id and role."""
+    page = re.sub(rf"<(/?)(?:{tags})\b", r"<\1div", page)
+    return re.sub(r"""\s(?:class|id|role|aria-[a-z]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+@pytest.mark.parametrize("tags", ["article|main", "article|main|nav|footer|aside|header|section|form"])
+def test_densities_find_the_article_of_pages_that_do_not_name_it(tags, monkeypatch):
+    pages = pages_of("sf0.01")
+    want = [html_density.main_text(x) for x in pages]
+    got = [html_density.main_text(bare(x, tags)) for x in pages]
+    chars = sum(map(len, want))
+    assert all(w in g for w, g in zip(want, got, strict=True))  # no article text is lost
+    assert sum(map(len, got)) - chars <= 0.01 * chars and sum(w == g for w, g in zip(want, got, strict=True)) >= 0.9 * len(pages)
+    # without densities the same pages come out visibly worse
+    monkeypatch.setattr(html_density, "content", lambda root, body: [body])
+    whole = [html_density.main_text(bare(x, tags)) for x in pages]
+    assert sum(w == g for w, g in zip(want, whole, strict=True)) == 0 and sum(map(len, whole)) - chars > 0.02 * chars
+
+
+def test_names_that_do_not_say_so_drop_nothing():
+    numbers = lambda page: re.findall(r"[A-Z]\d", html_density.main_text(f"<body>{page}</body>"))
+    assert numbers(f'<div class="promo-free story">{LONG.format("A1")}</div>') == ["A1"]
+    inner = '<section id="alert-fatigue"><p>B1</p></section><div class="related-work"><p>C1</p></div>'
+    ads = '<div class="ad-box"><p>X1</p></div><div id="relatedPosts"><p>X2</p></div><ul class="share social"><li>X3</li></ul>'
+    assert numbers(f'<article>{LONG.format("A1")}{inner}{ads}</article>') == ["A1", "B1", "C1"]
+    assert numbers(f'<div class="widget">{LONG.format("A1")}</div><div class="widget"><p>X1</p></div>') == ["A1"]
+    assert numbers(f'<article>{LONG.format("A1")}</article><article>{LONG.format("B1")}</article>') == ["A1", "B1"]
+
+
+def random_tree(rng, depth=0):
+    if depth > 4 or rng.random() < 0.3:
+        return rng.choice(["", "x" * rng.randrange(1, 60)])
+    tag = rng.choice(["div", "p", "a", "b", "ul", "section"])
+    return f"<{tag}>" + "".join(random_tree(rng, depth + 1) for _ in range(rng.randrange(4))) + f"</{tag}>"
+
+
+def test_densities_equal_brute_force():
+    """Each node's density and sum by counting its whole subtree anew."""
+    rng = random.Random(12)
+
+    def counts(node, link=False):
+        c = t = lc = lt = 0
+        link = link or node.tag == "a"
+        for x in node.parts:
+            if isinstance(x, str):
+                n = len(" ".join(x.split()))
+                c, lc = c + n, lc + (n if link else 0)
+            else:
+                a, b, d, e = counts(x, link)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (x.tag == "a")
+        return c, t, lc, lt
+
+    seen = 0
+    for _ in range(60):
+        tree = html_density.Tree()
+        tree.feed("<body>" + "".join(random_tree(rng) for _ in range(4)) + "</body>")
+        tree.close()
+        order = html_density.measure(tree.root)
+        html_density.weigh(order, tree.body)
+        cb, _, lcb, _ = counts(tree.body)
+        density = {}
+        for node in order:
+            at, linked = node.parent, False
+            while at:
+                linked, at = linked or at.tag == "a", at.parent
+            if linked:
+                continue  # a link's own parts aren't told apart
+            c, t, lc, lt = counts(node)
+            if not c:
+                density[node] = 0.0
+                continue
+            base = np.log(c / max(1, c - lc) * lc + lcb / max(1, cb) * c + np.e)
+            t, lc, lt = max(1, t), max(1, lc), max(1, lt)
+            density[node] = c / t * np.log(max(1.0, c / lc * t / lt)) / np.log(max(base, 1.0001))
+            assert node.density == pytest.approx(density[node])
+            seen += 1
+        for node in order:
+            kids = [x for x in node.parts if isinstance(x, html_density.Node) and not x.marked]
+            if all(x in density for x in kids):
+                assert node.total == pytest.approx(sum(density[x] for x in kids))
+    assert seen > 300
+
+
+def test_html_edge_cases(spark):
+    rows = spark.createDataFrame([("a", None, "<p>" + "long text " * 200_000), (None, "u", "<<<>&#x;&bad;</p></div>"), ("b", "u", "<body></body>")], "page_id string, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r for r in html_density.extract(rows).collect()}
+    assert len(got) == 3 and got["a"].n_chars == 1_999_999 and got["b"].text == ""
+
+
 # --- surrogates
 
 
@@ -671,6 +860,48 @@ def test_preference_pairs(spark):
     assert [got[5].chosen[m.start : m.end] for m in got[5].chosen_masked] == ["x<|end|>\n", "good é<|end|>\n"] and got[5].rejected_masked == []
 
 
+def brute_pair(a, b):
+    """n_common, prompt and both completions with their masked ranges."""
+    a, b = ([((t or {}).get("role") or "", (t or {}).get("text") or "") for t in x or []] for x in (a, b))
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    out = [n, "".join(f"<|start|>{r}\n{t}<|end|>\n" for r, t in a[:n])]
+    for side in (a, b):
+        text, ranges = "", []
+        for r, t in side[n:]:
+            text += f"<|start|>{r}\n"
+            if r == "assistant":
+                ranges.append((len(text), len(text) + len(t) + 8))
+            text += f"{t}<|end|>\n"
+        out += [text, ranges]
+    return out
+
+
+def test_preference_pairs_equal_brute_force(spark):
+    rng = random.Random(11)
+    turn = lambda: rng.choice([None, {"role": None, "text": "x"}, {"role": "assistant", "text": None}, {"role": "assistant", "text": rng.choice(["", "yes", "é" * 5000])}, {"role": "user", "text": rng.choice(["q", "r"])}])
+    pairs = []
+    for i in range(200):
+        shared = [turn() for _ in range(rng.randrange(4))]
+        pairs.append((i, *(rng.choice([None, shared + [turn() for _ in range(rng.randrange(3))], shared + [turn() for _ in range(rng.randrange(3))]]) for _ in "ab"), "clash"))
+    df = spark.createDataFrame([*pairs, pairs[7]], "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string")
+    got = preference.format_pairs(df).collect()
+    assert len(got) == 201 and preference.format_pairs(df.limit(0)).count() == 0
+    for r in got:
+        _, a, b, _ = pairs[r.pair_id]
+        assert [r.n_common, r.prompt, r.chosen, [tuple(x) for x in r.chosen_masked], r.rejected, [tuple(x) for x in r.rejected_masked]] == brute_pair(a, b)
+
+
+def test_own_pairs_part_in_the_middle(spark):
+    say = lambda *x: [(9, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(x)]
+    df = spark.createDataFrame(say("q0", "a0", "q1", "a1", "q2", "a2", "q3", "a2", "q4"), "conv_id long, turn long, role string, text string")
+    r, = preference.own_pairs(df).collect()
+    assert [t.text for t in r.chosen] == ["q0", "a0", "q1", "a1", "q2", "a2", "q3", "a2"]
+    assert [t.text for t in r.rejected] == ["q0", "a0", "q1", "a1", "q2", "a1", "q3", "a2"]
+    assert preference.format_pairs(preference.own_pairs(df)).first().n_common == 5
+
+
 def test_conversations_edge_cases(spark):
     rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", None), (2, 0, None, "x"), (None, 0, "user", "z"), (3, None, "user", "z"), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "assistant", "c")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
