@@ -17,11 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import cut, plain, shared_checkpoints
+from lorespan.llm.common import cut, perhaps, plain, shared_checkpoints
 
 _SPANS = "array<struct<start:long,end:long>>"
-#: Bits of the bitmap of wanted blobs (16 MB).
-BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -70,20 +68,6 @@ def blob(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def perhaps(keys: DataFrame, rows: DataFrame, key: str = "blob") -> DataFrame:
-    """Adds _perhaps to rows, without a shuffle: true where the key is one of keys, and for a few others.
-
-    The keys' hashes are marked in a bitmap of BITS bits, which is broadcast and whose size does not
-    grow with the data. A join has the last word on those marked.
-    """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
-    marks = keys.select(at(key).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_marks"))
-    place = F.bitmap_bit_position(at(key))
-    byte = F.conv(F.hex(F.substring("_marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at(key)) == F.col("_bucket"), "left")
-    return met.select(*rows.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias("_perhaps"))
-
-
 def scan(versions: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
     """New ledger rows (blob, rule, found) for the blobs of versions (path, text) and the rules that the ledger lacks.
 
@@ -99,7 +83,7 @@ def scan(versions: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> D
         seen = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = todo.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
         todo = cut(todo.select("blob", "path", "todo"))
-        named = perhaps(todo, named).where("_perhaps")
+        named = perhaps(todo, named, "blob").where("_perhaps")
     else:
         todo = todo.withColumn("todo", wanted)
     todo = todo.select(F.struct("blob", "path").alias("key"), "todo")
@@ -158,7 +142,7 @@ def redacted(text: Column, spans_: Column) -> Column:
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs, in all their columns, with the secrets of text replaced and n_chars following where a text changed. Texts without findings aren't shuffled for that."""
     _, found = findings(docs.select(F.col("doc_id").alias("path"), "text"), rules)
-    rows = perhaps(found, docs.select(F.struct(*docs.columns).alias("_doc"), blob(F.coalesce("text", F.lit(""))).alias("blob")))
+    rows = perhaps(found, docs.select(F.struct(*docs.columns).alias("_doc"), blob(F.coalesce("text", F.lit(""))).alias("blob")), "blob")
     text = F.col("_doc.text")
     hits = rows.where("_perhaps").join(found, "blob", "left").select("_doc", F.col("spans").isNotNull().alias("_hit"), F.when(F.col("spans").isNotNull(), redacted(text, F.col("spans"))).otherwise(text).alias("_text"))
     every = hits.unionByName(rows.where("not _perhaps").select("_doc", F.lit(False).alias("_hit"), text.alias("_text")))

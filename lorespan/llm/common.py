@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a bitmap of wanted keys (16 MB).
+BITS = 1 << 27
 #: Texts are worked on in groups of about so many bytes.
 CHUNK_BYTES = 1 << 18
 
@@ -111,6 +113,20 @@ def plain(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("text", "html") else F.col(c) for c in cols))
 
 
+def perhaps(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Adds _perhaps to rows, without a shuffle: true where the key is one of keys, and for a few others.
+
+    The keys' hashes are marked in a bitmap of BITS bits, which is broadcast and whose size does not
+    grow with the data. A join has the last word on those marked.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    marks = keys.select(at(key).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_marks"))
+    place = F.bitmap_bit_position(at(key))
+    byte = F.conv(F.hex(F.substring("_marks", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at(key)) == F.col("_bucket"), "left")
+    return met.select(*rows.columns, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)).alias("_perhaps"))
+
+
 def utf8(column: pa.Array) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

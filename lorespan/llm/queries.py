@@ -89,7 +89,8 @@ FROM d LEFT JOIN f ON f.doc_id = d.doc_id
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = surrogates.pseudonymise(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("lorespan.surrogates.key", "a key for checks, and no secret")
+    rows = surrogates.pseudonymise(table(spark, sf_dir, "documents"), key)
     listed = F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return rows.select("doc_id", F.size("entities").cast("long").alias("n_entities"), listed.alias("entities"), "text")
 
@@ -130,7 +131,7 @@ def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = telephony.archive(docs, f"{shared_checkpoints(spark)}/media-{uuid.uuid4().hex}")
-    return stored.withColumn("pcm_bytes", F.length("pcm").cast("long")).drop("pcm", "fault")
+    return stored.drop("fault")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

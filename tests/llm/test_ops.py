@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import hmac
+import ipaddress
 import random
 import re
 import struct
@@ -13,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lorespan.llm import blob_ledger, cotraining, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, toxicity
+from lorespan.llm import blob_ledger, common, cotraining, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, toxicity
 
 WORDS = [f"w{i}" for i in range(400)]
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -244,9 +246,9 @@ def test_a_second_run_moves_no_text(spark):
 
 def test_perhaps_has_all_keys(spark):
     rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("blob"), "id")
-    got = {r.id for r in blob_ledger.perhaps(rows.where("id % 10 = 0"), rows).where("_perhaps").collect()}
+    got = {r.id for r in common.perhaps(rows.where("id % 10 = 0"), rows, "blob").where("_perhaps").collect()}
     assert set(range(0, 5000, 10)) <= got and len(got) < 520
-    assert blob_ledger.perhaps(rows.limit(0), rows).where("_perhaps").count() == 0
+    assert common.perhaps(rows.limit(0), rows, "blob").where("_perhaps").count() == 0
 
 
 def test_secrets_edge_cases(spark):
@@ -542,6 +544,15 @@ def test_a_round_takes_the_surest_of_all_rows(spark):
     assert len(got) == len(want) > 25 and {(r["view"], r["label"], r["key"]) for r in got} == want
 
 
+def test_unlabelled_rows_are_all_others(spark, monkeypatch):
+    """Also where the bitmap is so full that it takes most for labelled."""
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for bits in (1 << 27, 64):
+        monkeypatch.setattr(common, "BITS", bits)
+        got = [r.doc_id for r in cotraining._unlabelled(rows.union(rows.limit(1)), rows.where("doc_id % 3 = 1").select("doc_id")).collect()]
+        assert sorted(got) == sorted([0, *(i for i in range(400) if i % 3 != 1)])
+
+
 def test_training_does_not_depend_on_the_order_of_rows(spark):
     rng = random.Random(10)
     rows = [(i % 90, " ".join(rng.choice(WORDS[: 40 + 40 * (i % 2)]) for _ in range(15)), "en", f"s{i % 3}", i) for i in range(200)]
@@ -617,11 +628,11 @@ def test_media_round_trip(spark):
 def test_archive_holds_what_it_was_given(spark, tmp_path, tag):
     texts = [None, "", "é" * 40, "xyz " * 3000]
     got = telephony.archive(docs_of(spark, texts), str(tmp_path / "a"), tag).collect()
-    media = {r.doc_id: bytes(r.media) for r in spark.read.parquet(str(tmp_path / "a" / "media")).collect()}
+    media = {r.doc_id: bytes(r.media) for r in spark.read.parquet(str(tmp_path / "a")).collect()}
     for r in got:
         data = telephony.payload(texts[r.doc_id])
         assert telephony.unwav(media[r.doc_id])[3] == data and r.payload_sha256 == hashlib.sha256(data).hexdigest()
-        assert r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest() and len(telephony.unwav(bytes(r.pcm))[3]) == r.pcm_bytes if "pcm_bytes" in r else True
+        assert r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest() and r.pcm_sha256 == hashlib.sha256(telephony.unwav(bytes(r.pcm))[3]).hexdigest()
         if tag == telephony.ADPCM:
             slow = [x for i in range(0, len(data), 64) for x in slow_adpcm(data[i : i + 64])]
             assert telephony.unwav(bytes(r.pcm))[3][::4] == np.array(slow, "<i2").tobytes()[::2]
@@ -785,7 +796,7 @@ def test_surrogates(spark):
         "Mr. John Smith met Mrs. Smith; г-жа Анна Иванова. Card 4111 1111 1111 1111 and 4111111111111111.",
         None, "", "nothing here, v 3.14", "again ab.42@mail3.example.com",
     ]
-    rows = surrogates.pseudonymise(docs_of(spark, texts)).collect()
+    rows = surrogates.pseudonymise(docs_of(spark, texts), "k").collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == len(texts) and got[4].text == texts[4] and got[2].text == "" and got[3].text == ""
     for i in (0, 1, 5):
@@ -814,7 +825,7 @@ def test_surrogates_of_bare_names_titles_and_national_numbers(spark):
         "Call (555) 123-4567, 555-123-4567, 1-555-123-4568, 020 7946 0958 or 01 23 45 67 89; card 3782 822463 10005.",
         "Smith and 12 345 678 or 1.234.567 stay.",
     ]
-    got = {r.doc_id: r for r in surrogates.pseudonymise(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs_of(spark, texts), "k").collect()}
     found = {i: [(e.kind, texts[i][e.start : e.end]) for e in got[i].entities] for i in got}
     m, f = "given_m_latin", "family_latin"
     assert found[0] == [(m, "John"), (f, "Smith"), (f, "Smith"), (m, "JOHN"), (m, "John"), (f, "Smith")]
@@ -825,20 +836,100 @@ def test_surrogates_of_bare_names_titles_and_national_numbers(spark):
     assert not re.search("4567|4568|0958|10005", got[2].text) and found[3] == [] and got[3].text == texts[3]
 
 
+def found_in(spark, texts):
+    rows = surrogates.pseudonymise(docs_of(spark, texts), "k").collect()
+    return {r.doc_id: [(e.kind, texts[r.doc_id][e.start : e.end], e.new) for e in r.entities] for r in rows}
+
+
+def test_kinds_are_found_and_keep_their_form(spark):
+    texts = [
+        "+49 30 1234567, +33 1 23 45 67 89, +1 212 555 0199, +358 9 1234567 or (212) 555-0199",
+        "172.16.4.5 8.8.8.8 10.1.2.3 192.168.0.1 172.32.0.1 999.1.1.1 1.2.3.4.5",
+        "2001:db8::1, fe80::1:2, 2001:0db8:85a3:0000:0000:8a2e:0370:7334 at 12:30:45, a::b, std::vec",
+        "josé@correo.es иван@почта.рф x@y a@b.c",
+        "DE89 3704 0044 0532 0130 00 GB29NWBK60161331926819 and DE00 3704 0044 0532 0130 00",
+        "123-45-6789 and 4111 1111 1111 1111",
+    ]
+    got = found_in(spark, texts)
+    private = re.compile(r"10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.")
+    assert [x[1] for x in got[0]] == texts[0].replace(" or ", ", ").split(", ")
+    for (_, old, new), code in zip(got[0], ("+49", "+33", "+1", "+358", ""), strict=True):
+        assert new.startswith(code) and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old) and new != old
+    assert [x[1] for x in got[1]] == ["172.16.4.5", "8.8.8.8", "10.1.2.3", "192.168.0.1", "172.32.0.1"]
+    for kind, old, new in got[1]:
+        assert bool(private.match(old)) == bool(private.match(new)) == (kind == "ip_private") and all(0 <= int(x) < 256 for x in new.split("."))
+    assert ipaddress.ip_address(got[1][0][2]) in ipaddress.ip_network("172.16.0.0/12") and got[1][3][2].startswith("192.168.")
+    assert [x[1] for x in got[2]] == ["2001:db8::1", "fe80::1:2", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"]
+    for _, old, new in got[2]:
+        assert ipaddress.ip_address(new) != ipaddress.ip_address(old) and new.split(":")[0] == old.split(":")[0]
+    assert [x[1] for x in got[3]] == ["josé@correo.es", "иван@почта.рф", "a@b.c"]
+    assert re.fullmatch(r"[a-z]{4}@[a-z]+\.example\.es", got[3][0][2]) and re.fullmatch(r"[а-я]{4}@[a-z]+\.example\.рф", got[3][1][2])
+    mod97 = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97
+    assert [x[1] for x in got[4]] == ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "DE00 3704 0044 0532 0130 00"]
+    assert [mod97(x[2]) for x in got[4]][:2] == [1, 1] and all(a[:2] == b[:2] and [c.isalpha() for c in a] == [c.isalpha() for c in b] for _, a, b in got[4])
+    assert [(k, re.sub(r"\d", "0", new)) for k, _, new in got[5]] == [("ssn", "000-00-0000"), ("card", "0000 0000 0000 0000")]
+
+
+def test_names_by_context_and_repeats(spark):
+    texts = [
+        "John Smith met Dr. Anna Lee and Mr. 李.", "Yesterday Zork Blarney came; Paris Texas stayed.", "My name is Zork Blarney. Zork left.", "ЗОРК, господин Зорк Бларни, д-р Анна Ли",
+        "Mrs Zork Quill", "Ms Zork Quill", "John F. Kennedy's speech", "Later Today The Weather",
+    ]
+    got = found_in(spark, texts)
+    assert [(k, o) for k, o, _ in got[0]] == [("given_m_latin", "John"), ("family_latin", "Smith"), ("given_f_latin", "Anna"), ("family_latin", "Lee"), ("family_han", "李")]
+    assert all("\u4e00" <= c <= "\u9fff" for c in got[0][4][2])
+    # the same person in other texts, in whatever order they are found; the gender is that of the most mentions
+    assert [(k, o) for k, o, _ in got[1]] == [("given_f_latin", "Zork"), ("family_latin", "Blarney")] and got[1] == got[2][:2] and got[2][2] == got[2][0]
+    assert {n for x in (1, 2, 4, 5) for _, o, n in got[x] if o == "Zork"} == {got[1][0][2]}
+    assert [o for _, o, _ in got[3]] == ["ЗОРК", "Зорк", "Бларни", "Анна", "Ли"] and all(re.fullmatch("[А-Яа-я]+", n) for *_, n in got[3]) and got[3][0][2] == got[3][1][2].upper()
+    assert [o for _, o, _ in got[6]] == ["John", "Kennedy"] and got[7] == []
+
+
+def test_hmac_is_the_standard_one(spark):
+    for key in ("k", "κλειδί", "long " * 30):
+        row = spark.range(1).select(surrogates._hmac(key, F.lit("message é")).alias("h")).first()
+        assert row.h == hmac.new(key.encode(), "message é".encode(), "sha256").hexdigest()
+
+
+def test_private_addresses_are_permuted(spark):
+    """All addresses of a range get different ones of the same range."""
+    df = spark.range(1 << 16).select(F.concat(F.lit("192.168."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("a"))
+    got = df.select(surrogates._permuted("k", F.col("a"), 16).alias("b"))
+    assert got.distinct().count() == 1 << 16 == got.where("b like '192.168.%'").count()
+
+
 def test_surrogates_stay_distinct(spark):
-    """More names than short surrogates: all differ, and none is a real one."""
-    names = [f"{a}{b}{c}".capitalize() for a in surrogates.SYLLABLES["latin"] for b in surrogates.SYLLABLES["latin"] for c in ("x", "z")]
-    entities = spark.createDataFrame([("family_latin", n.lower()) for n in names] + [("ssn", f"{i:09d}") for i in range(300)], "kind string, canon string")
-    got = surrogates.assign(entities, "k").collect()
-    assert len(got) == len(names) + 300 and len({(r.kind, r.surrogate) for r in got}) == len(got)
-    assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.canon) for r in got}
-    other = {r.canon: r.surrogate for r in surrogates.assign(entities, "other key").collect()}
+    """More names than short surrogates: all differ, and none is a real one; numbers keep their length in all rounds."""
+    names = [f"{a}{b}{c}".capitalize() for a in surrogates.SCRIPTS["latin"][1] for b in surrogates.SCRIPTS["latin"][1] for c in ("x", "z")]
+    phones = [f"+4930{i:03d}" for i in range(300)]  # of 900 forms
+    rows = [("family_latin", n.lower()) for n in names] + [("ssn", f"{i:09d}") for i in range(300)] + [("phone", p) for p in phones] + [("ip_private", f"10.0.0.{i}") for i in range(50)]
+    entities = spark.createDataFrame(rows, "kind string, canon string")
+    with common.Scratch(spark) as scratch:
+        got = surrogates.assign(entities, "k", scratch).collect()
+        assert len(got) == len(rows) and len({(r.kind, r.surrogate) for r in got}) == len(got)
+        assert not {(r.kind, r.surrogate) for r in got if r.kind != "ip_private"} & {(r.kind, r.canon) for r in got}
+        assert all(len(r.surrogate) == len(r.canon) for r in got if r.kind in ("ssn", "phone"))
+        other = {r.canon: r.surrogate for r in surrogates.assign(entities, "other key", scratch).collect()}
     assert sum(other[r.canon] == r.surrogate for r in got) < len(got) / 10
 
 
+def test_surrogates_of_text_are_edits_in_place(spark):
+    """Over the given documents: the new text is the old one with its spans replaced, and other texts are as they were."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    old = {r.doc_id: r.text for r in docs.collect()}
+    rows = surrogates.pseudonymise(docs, "k").collect()
+    assert Counter(r.doc_id for r in rows) == Counter(old.keys()) and any(r.entities for r in rows)
+    for r in rows:
+        at, out = 0, ""
+        for e in r.entities:
+            assert e.start >= at and e.end > e.start and e.new
+            out, at = out + old[r.doc_id][at : e.start] + e.new, e.end
+        assert r.text == out + old[r.doc_id][at:]
+
+
 def test_surrogates_edge_cases(spark):
-    assert Counter(r.doc_id for r in surrogates.pseudonymise(odd(spark)).collect()) == Counter([1, 2, 3, 4, 4, 5, None])
-    assert surrogates.pseudonymise(odd(spark).limit(0)).count() == 0
+    assert Counter(r.doc_id for r in surrogates.pseudonymise(odd(spark), "k").collect()) == Counter([1, 2, 3, 4, 4, 5, None])
+    assert surrogates.pseudonymise(odd(spark).limit(0), "k").count() == 0
 
 
 # --- preference
