@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import Scratch, chunks, small_batches, words
+from lorespan.llm.common import Scratch, chunks, perhaps, small_batches, words
 
 #: Labelled rows that the model is fitted on at most, the first by hash.
 LABELLED = 6000
@@ -350,6 +350,15 @@ def surest_of(features: DataFrame, views: tuple[View, View], given: tuple[Given,
     return rows
 
 
+def _unlabelled(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows whose doc_id isn't among marks (distinct). Texts stay where they are, but for a few that a bitmap takes for labelled ones."""
+    flagged = perhaps(marks, rows, "doc_id")
+    taken = flagged.where("_perhaps").drop("_perhaps")
+    wrongly = taken.select("doc_id").distinct().join(marks, "doc_id", "left_anti")
+    back = perhaps(wrongly, taken, "doc_id").where("_perhaps").drop("_perhaps").join(wrongly, "doc_id", "left_semi")
+    return flagged.where("not _perhaps").drop("_perhaps").unionByName(back)
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     """A model of at most so many labelled documents and of all unlabelled ones; held-out labels are never read.
 
@@ -368,7 +377,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     names = [x.split()[0] for x in _SEEN.split(", ")]
     seen = _views({c: [r[c] for r in found] for c in names})
     with Scratch(docs.sparkSession) as scratch:
-        free = rows.join(marks, "doc_id", "left_anti") if len(np.unique(y)) == 2 else rows.limit(0)
+        free = _unlabelled(rows, scratch.cut(marks.select("doc_id"))) if len(np.unique(y)) == 2 else rows.limit(0)
         features = scratch.keep(_featured(free.select(F.xxhash64(*rows.columns).alias("key"), *(c for c in rows.columns if c != "doc_id"))))
 
         def surest(views, given):
