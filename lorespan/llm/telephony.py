@@ -214,9 +214,7 @@ def decode(media: DataFrame, times: int = 2) -> DataFrame:
 
 
 def archive(docs: DataFrame, folder: str, tag: int = MULAW, times: int = 2) -> DataFrame:
-    """The rows of decode(store(docs)), by way of two Parquet tables in folder: media, as stored, and pcm, made of what is read back from it, without the media again."""
+    """The rows of decode(store(docs)) without media, by way of a Parquet table of media in folder: all but n_bytes is made of what is read back from it. Resampled PCM is stored with the result, as its column pcm."""
     spark = docs.sparkSession
-    write = lambda rows, name: rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-    write(store(docs, tag), "media")
-    write(decode(spark.read.parquet(f"{folder}/media"), times).drop("media"), "pcm")
-    return spark.read.parquet(f"{folder}/pcm")
+    store(docs, tag).write.option("compression", "zstd").parquet(folder)
+    return decode(spark.read.parquet(folder), times).drop("media")
