@@ -10,14 +10,13 @@ from lorespan.functions.text import content_terms, ended, let, overlap, sentence
 from lorespan.functions.vectors import dot
 from lorespan.settings import DEFAULT, Settings
 
-# Signs of a cancellation rule, words of policies in general, and cities of documents that do not name them.
+# Signs of a cancellation rule, and words of policies in general.
 RULE_SIGNS = (
     "cancellations made", "cancellations between", "cancellations inside", "incur no charge", "percent of the venue fee", "full venue fee", "cancellation inside",
     "reschedule, not a cancellation", "one free reschedule", "applicable cancellation tier", "must be authorised",
 )
 POLICY_WORDS = ("policy", "rules", "fee", "charge", "notice")
 POLICY_FOCUS = "policy policies cancellation cancel venue rules fee fees charge charges notice standard event events reschedule".split()
-CITY_DOCUMENTS = {"pune": ("doc_01", "doc_05"), "bangalore": ("doc_02",), "bengaluru": ("doc_02",)}
 _SEATS = r"(?i)([A-Z][A-Za-z0-9&' -]+?)\s+(?:seats|accommodates?)\s+(\d+)(\s+people\b)?([^.]*\.)"
 _SEATS_OPEN = r"(?i)([A-Z][A-Za-z0-9&' -]+?)\s+(?:seats|accommodates?)\s+(\d+)(?:\s+people\b)?"
 
@@ -105,16 +104,16 @@ def _claim(evidence: Column, read, join) -> Column:
     return let(F.filter(each, lambda e: F.size(e["found"]) > 0), lambda good: F.when(F.size(good) > 0, F.struct(text(good).alias("text"), F.slice(F.transform(good, lambda e: e["chunk_id"]), 1, 5).alias("ids"))))
 
 
-def place_names(query: Column, evidence: Column) -> Column:
-    """Names of places that seat enough, from chunks (doc_id, text) of the city asked for or of documents known to be of it."""
+def place_names(query: Column, evidence: Column, city_documents: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Names of places that seat enough, from chunks (doc_id, text) of the city asked for or of documents known to be of it (city_documents: their ids in small letters by city)."""
     q = F.lower(query)
     city = F.coalesce(*(F.when(F.contains(q, F.lit(c)), F.lit(c)) for c in ALL_CITIES))
-    hint = F.create_map(*(x for c, docs in CITY_DOCUMENTS.items() for x in (F.lit(c), F.array(*map(F.lit, docs)))))
+    hint = F.create_map(*(x for c, docs in city_documents.items() for x in (F.lit(c), F.array(*map(F.lit, docs))))) if city_documents else F.lit(None).cast("map<string,array<string>>")
     of_city = lambda e: city.isNull() | _names_city(city, F.lower(e["text"])) | F.coalesce(F.array_contains(F.try_element_at(hint, city), F.lower(e["doc_id"])), F.lit(False))
 
     def names(e):
         found = F.arrays_zip(F.regexp_extract_all(e["text"], F.lit(_SEATS_OPEN), F.lit(1)).alias("name"), F.regexp_extract_all(e["text"], F.lit(_SEATS_OPEN), F.lit(2)).alias("seats"))
-        return F.transform(F.filter(found, lambda x: F.coalesce(x["seats"].try_cast("long") >= required_people(query), F.lit(False))), lambda x: strip(x["name"]))
+        return F.transform(F.filter(found, lambda x: F.coalesce(x["seats"].try_cast("long") >= F.coalesce(required_people(query), F.lit(0)), F.lit(False))), lambda x: strip(x["name"]))
 
     every = F.flatten(F.transform(F.filter(evidence, of_city), names))
     return F.when(is_capacity(query), _first_of_equals(F.filter(every, lambda n: n != ""))).otherwise(F.array().cast("array<string>"))

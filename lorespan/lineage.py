@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the checkpoint folder from now on: the shared one that the session names in spark.checkpoint.dir, or, where none is named, one of our own."""
+    """The same rows, read from the checkpoint folder from now on: the shared one that the session names in spark.checkpoint.dir, or, in a local session that names none, one of our own. What is kept there goes with the application."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.checkpoint(eager=True)

@@ -1,12 +1,15 @@
 """Retrieval for a whole table of queries at once: BM25, vectors, rank fusion, reranking.
 
-Postings meet query terms in an equi-join. Vectors meet queries block by block: a block of query
-vectors, whose size is fixed, is broadcast, and each batch of the index gives its own best, so that
-neither side is crossed with the other row by row. Every ranking has a total order ending in an id.
+The index is made once, from one pass over the chunks, and kept. For a search it lies in blocks of
+chunks: a block has the terms and vectors of its chunks as arrays. Queries are packed into blocks, too,
+and each pair of blocks is scored by numpy; a task hands on the best of each query only, so that no
+scores of all chunks are shuffled, a common term is spread over all blocks, and the plan is the same
+for any number of queries. Every ranking has a total order ending in an id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,21 +20,25 @@ from pyspark.sql import functions as F
 from lorespan.functions.text import index_tokens, strip, term_set, tokens
 from lorespan.functions.text import singular
 from lorespan.functions.vectors import dot, encoder
+from lorespan.lineage import cut
 from lorespan.settings import DEFAULT, Settings
 
-#: Query vectors that are broadcast at once.
-BLOCK = 2048
+#: Chunks and terms of a block of the index, and queries of a block, at most (a larger chunk is a block of its own).
+BLOCK_ROWS, BLOCK_TERMS, BLOCK_QUERIES = 4096, 1 << 20, 512
+#: Scores are compared by so many digits, so that a rank doesn't depend on the order of a sum.
+DIGITS = 9
 
 
 @dataclass(frozen=True)
 class Index:
-    """chunks (chunk_id, doc_id, section, text, citation), postings (term, chunk_id, tf, doc_len), terms (term, df, idf), stats (n_chunks, avg_len), vectors (chunk_id, vec)."""
+    """chunks (chunk_id, doc_id, section, text, citation), postings (term, chunk_id, tf, doc_len), terms (term, df, idf), stats (n_chunks, avg_len), vectors (chunk_id, vec), blocks (see pack)."""
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     vectors: DataFrame
+    blocks: DataFrame
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -48,16 +55,78 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf. The idf has a floor just over 0."""
-    rows = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n_chunks")))
+    """term, df, idf of postings. The idf has a floor just over 0."""
+    return _idf(posts.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def _idf(frequency: DataFrame, stats: DataFrame) -> DataFrame:
+    rows = frequency.join(F.broadcast(stats.select("n_chunks")))  # one row
     n = F.greatest(F.col("n_chunks"), F.lit(1))
     return rows.select("term", "df", F.greatest(F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
 
 
+def pack(rows: DataFrame, key: str) -> DataFrame:
+    """Blocks of rows (key; terms: array<long> of hashed terms, repeats included, and vec: array<float>, either may be missing): ids in order, and, as bytes, the vectors, and term, place among the ids and tf of each posting, in order of term, with the length of each place.
+
+    A row with a null vector gets one of zeros. Rows stay in their partitions.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    with_terms, with_vec = "terms" in rows.columns, "vec" in rows.columns
+    arrow = pa.int64() if kind == "bigint" else pa.string()
+
+    def packed(ids: list, found: list, vectors: list) -> pa.RecordBatch:
+        order = sorted(range(len(ids)), key=lambda i: ids[i])
+        size = np.array([len(found[i]) for i in order], np.int64) if with_terms else np.zeros(len(ids), np.int64)
+        terms = np.concatenate([np.zeros(0, np.int64), *(found[i] for i in order)]) if with_terms else np.zeros(0, np.int64)
+        place = np.repeat(np.arange(len(ids)), size)
+        by = np.lexsort((place, terms))
+        terms, place = terms[by], place[by]
+        first = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (place[1:] != place[:-1])]) if len(terms) else np.zeros(0, np.int64)
+        tf = np.diff(np.r_[first, len(terms)])
+        width = max((len(v) for v in vectors if v is not None), default=0) if with_vec else 0
+        matrix = np.zeros((len(ids), width), np.float32)
+        for at, i in enumerate(order):
+            if with_vec and vectors[i] is not None:
+                matrix[at] = vectors[i]
+        parts = (terms[first], place[first].astype(np.int32), tf.astype(np.int32), size.astype(np.int32), matrix)
+        return pa.RecordBatch.from_arrays([pa.array([[ids[i] for i in order]], pa.list_(arrow)), pa.array([width], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], [x.split()[0] for x in _BLOCK.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found, vectors, n = [], [], [], 0
+        for batch in batches:
+            keys = batch.column(key).to_pylist()
+            own = batch.column("terms").to_pylist() if with_terms else [()] * len(keys)
+            vecs = batch.column("vec").to_pylist() if with_vec else [None] * len(keys)
+            for i, k in enumerate(keys):
+                t = np.array(own[i] if own[i] is not None else (), np.int64)
+                if ids and (len(ids) >= BLOCK_ROWS or n + len(t) > BLOCK_TERMS):
+                    yield packed(ids, found, vectors)
+                    ids, found, vectors, n = [], [], [], 0
+                ids.append(k)
+                found.append(t)
+                vectors.append(vecs[i])
+                n += len(t)
+        if ids:
+            yield packed(ids, found, vectors)
+
+    names = [key, *(c for c in ("terms", "vec") if c in rows.columns)]
+    return rows.where(F.col(key).isNotNull()).select(*names).mapInArrow(run, _BLOCK.replace("ids array<string>", f"ids array<{kind}>"))
+
+
+_BLOCK = "ids array<string>, width int, term binary, place binary, tf binary, length binary, matrix binary"
+
+
 def build(chunks: DataFrame, settings: Settings = DEFAULT) -> Index:
-    posts, stats = postings(chunks), corpus_stats(chunks)
+    """The index of chunks, kept in the checkpoint folder: chunks are read, split into terms and, unless vectors aren't used, encoded once."""
     dense_text = F.concat(F.col("section"), F.lit(". "), F.col("text"))
-    return Index(chunks, posts, term_stats(posts, stats), stats, chunks.select("chunk_id", encoder(settings.dim)(dense_text).alias("vec")))
+    terms = F.transform(tokens(F.concat_ws(" ", "doc_id", "section", "text")), singular)
+    vec = encoder(settings)(dense_text) if settings.use_dense else F.lit(None).cast("array<float>")
+    base = cut(chunks.select("chunk_id", terms.alias("terms"), vec.alias("vec")))
+    posts = base.select("chunk_id", F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "doc_len")
+    stats = cut(base.agg(F.count("*").alias("n_chunks"), F.coalesce(F.avg(F.size("terms")), F.lit(0.0)).alias("avg_len")))
+    frequency = base.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    blocks = pack(base.select("chunk_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"), "vec"), "chunk_id")
+    return Index(chunks, posts, cut(_idf(frequency, stats)), stats, base.select("chunk_id", "vec"), cut(blocks))
 
 
 def ranked(scores: DataFrame, by: list[str], key: str, top: int, score: str = "score") -> DataFrame:
@@ -76,59 +145,122 @@ def bm25(queries: DataFrame, index: Index, settings: Settings = DEFAULT) -> Data
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def sparse_top(queries: DataFrame, index: Index, top: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    return ranked(bm25(queries, index, settings), ["query_id"], "chunk_id", top or settings.sparse_top).withColumn("source", F.lit("sparse"))
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, top: int, key: str = "chunk_id") -> DataFrame:
-    """query_id, key, score: the top cosines of queries (query_id, vec) with vectors (key, vec), ties by key; null vectors have none."""
-    spark = queries.sparkSession
-    key_type = vectors.schema[key].dataType.simpleString()
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    out, block = None, []
-
-    def of_block(rows):
-        sent = spark.sparkContext.broadcast((np.array([r["vec"] for r in rows], np.float64), [r["query_id"] for r in rows]))
-
-        def run(batches):
-            q, ids = sent.value
-            size = np.linalg.norm(q, axis=1)
-            q = q / np.where(size < 1e-9, 1, size)[:, None]
-            for batch in batches:
-                keys = batch.column(0)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if not len(flat):
+def _asked(rows: DataFrame, *columns: str) -> DataFrame:
+    """Blocks of queries (query_id and columns): one row each, with an array of the queries."""
+    many = rows.count()
+    slot = F.pmod(F.xxhash64("query_id"), F.lit(-(-many // BLOCK_QUERIES) or 1))
+    return rows.groupBy(slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct("query_id", *columns))).alias("queries"))
+
+
+def _best(pairs: DataFrame, score: Callable, top: int, id_type: str, key: str, key_type: str) -> DataFrame:
+    """query_id, key, score, rank: the top rows of each query by score, then key, over pairs of a block of queries and one of the index. score(queries, block): (ids of queries, places by row, scores by row, with None for all places)."""
+    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+
+    def reduced(found: list[pa.Table]) -> pa.Table:
+        """The best of each query, of what was found in some blocks."""
+        rows = pa.concat_tables(found).sort_by([("query_id", "ascending"), ("score", "descending"), (key, "ascending")])
+        ids = rows["query_id"].combine_chunks().dictionary_encode()
+        code = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).indices.to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        place = np.arange(len(code)) - np.repeat(start, np.diff(np.r_[start, len(code)]))
+        return rows.take(pa.array(np.flatnonzero(place < top)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[pa.Table]] = {}
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                names, at, places, scores = score(row)
+                if not len(at):
                     continue
-                x = flat.reshape(len(keys), -1)
-                norm = np.linalg.norm(x, axis=1)
-                s = q @ (x / np.where(norm < 1e-9, 1, norm)[:, None]).T
-                k = min(top, s.shape[1])
-                # all that tie with the last of the best go on, for ties are settled by key
-                cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                at_q, at_x = np.nonzero(s >= cut[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at_q], queries_type), keys.take(pa.array(at_x)), pa.array(s[at_q, at_x])], ["query_id", key, "score"])
-
-        return vectors.where("vec is not null").select(key, "vec").mapInArrow(run, f"query_id {id_type}, {key} {key_type}, score double")
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    queries_type = to_arrow_type(queries.schema["query_id"].dataType)
-    for row in queries.where("vec is not null").select("query_id", "vec").toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            out = of_block(block) if out is None else out.unionByName(of_block(block))
-            block = []
-    if block or out is None:
-        out = of_block(block) if out is None and block else out if not block else out.unionByName(of_block(block))
-    if out is None:
-        return spark.createDataFrame([], f"query_id {id_type}, {key} {key_type}, score double, rank int")
+                scores = np.round(scores, DIGITS)
+                # ids of a block are in order, so the place settles ties
+                by = np.lexsort((places, -scores, at))
+                at, places, scores = at[by], places[by], scores[by]
+                start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                kept = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)])) < top
+                ids = row["ids"].values
+                part = pa.table({"query_id": pa.array([names[j] for j in at[kept]], arrow_id), key: ids.take(pa.array(places[kept])), "score": pa.array(scores[kept])})
+                own = found.setdefault(row["slot"].as_py(), [])
+                own.append(part)
+                if len(own) > 16:
+                    found[row["slot"].as_py()] = [reduced(own)]
+        for own in found.values():
+            yield from reduced(own).to_batches()
+
+    out = pairs.mapInArrow(run, f"query_id {id_type}, {key} {key_type}, score double")
     return ranked(out, ["query_id"], key, top)
 
 
+def _matrix(row: dict) -> np.ndarray:
+    width = row["width"].as_py()
+    return np.frombuffer(row["matrix"].as_buffer(), np.float32).reshape(-1, width) if width else np.zeros((0, 0), np.float32)
+
+
+def sparse_top(queries: DataFrame, index: Index, top: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """The best of bm25 for each query, without the scores of the rest."""
+    top = top or settings.sparse_top
+    k1, b = settings.k1, settings.b
+    wanted = queries.select("query_id", F.explode(index_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = wanted.join(index.terms, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("term"), (F.col("qtf") * F.col("idf")).alias("weight")))).alias("terms"))
+    asked = _asked(wanted, "terms").join(F.broadcast(index.stats.select("avg_len")))  # one row
+
+    def score(row: dict):
+        queries_ = row["queries"].as_py()
+        names = [q["query_id"] for q in queries_]
+        size = [len(q["terms"]) for q in queries_]
+        own = np.repeat(np.arange(len(names)), size)
+        terms = np.array([t["term"] for q in queries_ for t in q["terms"]], np.int64)
+        weight = np.array([t["weight"] for q in queries_ for t in q["terms"]], float)
+        held = np.frombuffer(row["term"].as_buffer(), np.int64)
+        place, tf, length = (np.frombuffer(row[c].as_buffer(), np.int32) for c in ("place", "tf", "length"))
+        low, high = np.searchsorted(held, terms, "left"), np.searchsorted(held, terms, "right")
+        n = high - low
+        hit = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        if not len(hit):
+            return names, hit, hit, hit
+        average = row["avg_len"].as_py() or 1.0
+        f = tf[hit].astype(float)
+        part = np.repeat(weight, n) * f * (k1 + 1.0) / (f + k1 * (1.0 - b + b * length[place[hit]] / average))
+        cell = np.repeat(own, n).astype(np.int64) * len(length) + place[hit]
+        cells, back = np.unique(cell, return_inverse=True)
+        return names, cells // len(length), cells % len(length), np.bincount(back, part)
+
+    pairs = index.blocks.select("ids", "term", "place", "tf", "length").crossJoin(asked)
+    return _best(pairs, score, top, queries.schema["query_id"].dataType.simpleString(), "chunk_id", "string").withColumn("source", F.lit("sparse"))
+
+
+def nearest(queries: DataFrame, blocks: DataFrame, top: int, key: str = "chunk_id") -> DataFrame:
+    """query_id, key, score, rank: the top cosines of queries (query_id, vec) with the vectors in blocks of key (see pack), ties by key; null vectors of queries have none."""
+    key_type = blocks.schema["ids"].dataType.elementType.simpleString()
+    asked = _asked(queries.where("vec is not null"), "vec")
+
+    def score(row: dict):
+        found = row["queries"].values
+        names = found.field("query_id").to_pylist()
+        vectors = found.field("vec")
+        x = _matrix(row).astype(np.float64)
+        q = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
+        if not len(x):
+            return names, np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None] * (np.linalg.norm(m, axis=1) >= 1e-9)[:, None]
+        s = np.round(unit(q) @ unit(x).T, DIGITS)
+        k = min(top, s.shape[1])
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
+        # of those that tie with the last of the best, the first by key
+        more, same = s > least, s == least
+        keep = more | same & (np.cumsum(same, axis=1) <= k - more.sum(axis=1)[:, None])
+        at, places = np.nonzero(keep)
+        return names, at, places, s[at, places]
+
+    pairs = blocks.select("ids", "width", "matrix").crossJoin(asked)
+    return _best(pairs, score, top, queries.schema["query_id"].dataType.simpleString(), key, key_type)
+
+
 def dense_top(queries: DataFrame, index: Index, top: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """As sparse_top, by cosine; what isn't over 0 is left out after the cut."""
-    encoded = queries.select("query_id", encoder(settings.dim)(F.col("text")).alias("vec"))
-    return nearest(encoded, index.vectors, top or settings.dense_top).where("score > 0").withColumn("source", F.lit("dense"))
+    encoded = cut(queries.select("query_id", encoder(settings)(F.col("text")).alias("vec")))
+    return nearest(encoded, index.blocks, top or settings.dense_top).where("score > 0").withColumn("source", F.lit("dense"))
 
 
 def rrf(lists: DataFrame, k: int = DEFAULT.rrf_k) -> DataFrame:
@@ -152,10 +284,10 @@ def rerank(candidates: DataFrame, queries: DataFrame, index: Index, settings: Se
     top = settings.final_top
     if not settings.use_reranker:
         return candidates.where(F.col("rank") <= top).select("query_id", "chunk_id", (1.0 / F.col("rank")).alias("score"), "rank", F.lit("fused").alias("source"))
-    asked = queries.select("query_id", term_set(F.col("text")).alias("q_terms"), encoder(settings.dim)(F.col("text")).alias("q_vec"))
-    held = index.chunks.select("chunk_id", term_set(F.concat_ws(" ", "section", "text")).alias("c_terms"))
-    rows = candidates.select("query_id", "chunk_id").join(asked, "query_id").join(held, "chunk_id").join(index.vectors, "chunk_id")
-    scored = rows.select("query_id", "chunk_id", rerank_score(F.col("q_terms"), F.col("c_terms"), dot(F.col("q_vec"), F.col("vec"))).alias("score"))
+    asked = queries.select("query_id", term_set(F.col("text")).alias("q_terms"), encoder(settings)(F.col("text")).alias("q_vec"))
+    rows = candidates.select("query_id", "chunk_id").join(asked, "query_id").join(index.chunks.select("chunk_id", "section", "text"), "chunk_id").join(index.vectors, "chunk_id")
+    c_terms = term_set(F.concat_ws(" ", "section", "text"))
+    scored = rows.select("query_id", "chunk_id", F.round(rerank_score(F.col("q_terms"), c_terms, dot(F.col("q_vec"), F.col("vec"))), DIGITS).alias("score"))
     return ranked(scored, ["query_id"], "chunk_id", top).withColumn("source", F.lit("reranked"))
 
 

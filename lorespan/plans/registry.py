@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,10 +40,11 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+SPARSE, MD5 = replace(DEFAULT, use_dense=False), replace(DEFAULT, digest="md5")
+
+
 def _sparse_index(spark: SparkSession, sf_dir: str) -> rt.Index:
-    chunks = _documents(spark, sf_dir)
-    posts, stats = rt.postings(chunks), rt.corpus_stats(chunks)
-    return rt.Index(chunks, posts, rt.term_stats(posts, stats), stats, chunks)
+    return rt.build(_documents(spark, sf_dir), SPARSE)
 
 
 def _micros(column: str):
@@ -90,30 +92,29 @@ def corpus_stats(spark, sf_dir):
 
 
 def term_stats(spark, sf_dir):
-    return _sparse_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    chunks = _documents(spark, sf_dir)
+    return rt.term_stats(rt.postings(chunks), rt.corpus_stats(chunks)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _bm25_top(spark, sf_dir, top=10):
-    scores = rt.bm25(_queries(spark, sf_dir), _sparse_index(spark, sf_dir))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+def _bm25_top(spark, sf_dir, top=10, index=None):
+    return rt.sparse_top(_queries(spark, sf_dir), index or _sparse_index(spark, sf_dir), top).drop("source")
 
 
 def bm25_topk(spark, sf_dir):
     return _bm25_top(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-def _overlap_top(spark, sf_dir):
+def _overlap_top(spark, sf_dir, index):
     """A second list: documents by the number of different query terms they have."""
-    index = _sparse_index(spark, sf_dir)
     q = _queries(spark, sf_dir).select("query_id", F.explode(F.array_distinct(tx.index_tokens(F.col("text")))).alias("term"))
     shared = q.join(index.postings.select("term", "chunk_id"), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
     return rt.ranked(shared, ["query_id"], "chunk_id", 10)
 
 
 def _lists(spark, sf_dir, second):
-    a = _bm25_top(spark, sf_dir).select("query_id", F.lit(0).alias("list_no"), "rank", "chunk_id", F.lit(1.0).alias("weight"))
-    b = _overlap_top(spark, sf_dir).select("query_id", F.lit(1).alias("list_no"), "rank", "chunk_id", F.lit(second).alias("weight"))
+    index = _sparse_index(spark, sf_dir)
+    a = _bm25_top(spark, sf_dir, index=index).select("query_id", F.lit(0).alias("list_no"), "rank", "chunk_id", F.lit(1.0).alias("weight"))
+    b = _overlap_top(spark, sf_dir, index).select("query_id", F.lit(1).alias("list_no"), "rank", "chunk_id", F.lit(second).alias("weight"))
     return a.unionByName(b)
 
 
@@ -195,7 +196,7 @@ u AS (SELECT query_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY query_id)) AS v
 
 def dense_knn_topk(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    found = rt.nearest(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), rows, 10, "vec_id")
+    found = rt.nearest(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), rt.pack(rows, "vec_id"), 10, "vec_id")
     return found.select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
@@ -388,9 +389,9 @@ FROM (SELECT id, {_strip("text")} AS t FROM ({_SAID_SQL}))""",
 WITH n AS (
   SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'),
     lambda w: regexp_full_match(w, '[A-Z][a-zA-Z][a-zA-Z]+') AND NOT list_contains([{", ".join(f"'{w}'" for w in rq.NO_NAMES)}], w)), lambda w: 'ent:' || lower(w)))) AS names FROM documents)
-SELECT doc_id, CAST(len(names) AS BIGINT) AS n_names, array_to_string(names[1:20], ' ') AS names FROM n""",
+SELECT doc_id, CAST(len(names) AS BIGINT) AS n_names, array_to_string(names, ' ') AS names FROM n""",
     "spoken_chunks": f"WITH {_SPOKEN} SELECT session_id, turn_id, seq, round(seq * 0.3::DOUBLE, 3) AS t, text, seq = n - 1 AS is_final, CASE WHEN seq = n - 1 THEN 1.2 ELSE 0.0 END::DOUBLE AS silence_s, 'chunk' AS kind FROM c",
-    "buffer_prefixes": f"WITH {_SPOKEN} SELECT session_id, turn_id, seq, string_agg(text, ' ') OVER (PARTITION BY session_id, turn_id ORDER BY seq) AS buffer FROM c WHERE seq < 6",
+    "buffer_prefixes": f"WITH {_SPOKEN} SELECT session_id, turn_id, seq, string_agg(text, ' ') OVER (PARTITION BY session_id, turn_id ORDER BY seq) AS buffer FROM c",
     "ordered_distinct_types": "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS types FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1) GROUP BY user_id",
     "session_gap_turns": """
 WITH l AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),

@@ -28,6 +28,7 @@ class Settings:
     k1: float = 1.5
     b: float = 0.75
     dim: int = 512
+    digest: str = "blake2b"
     usd_1k_in: float = 0.003
     usd_1k_out: float = 0.015
     usd_retrieval: float = 0.00002

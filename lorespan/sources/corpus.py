@@ -10,7 +10,7 @@ from lorespan.operators.retrieval import Index, build
 from lorespan.settings import DEFAULT, Settings
 
 TRANSCRIPT = "session_id string, turn_id long, seq int, t double, text string, is_final boolean, silence_s double, kind string"
-_TABLES = ("chunks", "postings", "terms", "stats", "vectors")
+_TABLES = ("chunks", "postings", "terms", "stats", "vectors", "blocks")
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Chunks, retrieval, turns, the controller and streams, end to end on a small corpus."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -70,8 +71,10 @@ def test_index_is_rebuilt_if_it_does_not_fit(spark, index, tmp_path):
 def test_bm25_equals_the_formula(spark):
     texts = {"d1": "venue venue fee", "d2": "fee table", "d3": "lake"}
     chunks = spark.createDataFrame([(i, "", "", t, "") for i, t in texts.items()], "chunk_id string, doc_id string, section string, text string, citation string")
+    index = rt.build(chunks)
     posts, stats = rt.postings(chunks), rt.corpus_stats(chunks)
-    index = rt.Index(chunks, posts, rt.term_stats(posts, stats), stats, chunks)
+    assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, posts.collect())) and index.stats.collect() == stats.collect()
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, rt.term_stats(posts, stats).collect()))
     queries = spark.createDataFrame([(1, "venues fee fee unknown"), (2, "")], "query_id int, text string")
     got = {r.chunk_id: r.score for r in rt.bm25(queries, index).collect()}
     idf = lambda df: max(math.log(1 + (3 - df + 0.5) / (df + 0.5)), 1e-6)
@@ -87,14 +90,43 @@ def test_fusion(spark):
     assert rt.rrf(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_sparse_top_equals_all_scores(spark, monkeypatch, block):
+    """The best of each query over many small blocks, against bm25 over all pairs."""
+    monkeypatch.setattr(rt, "BLOCK_ROWS", block)
+    monkeypatch.setattr(rt, "BLOCK_QUERIES", block)
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(("fee", "fees", "venue", "lake", "hall", "policy", "x1", "y2")) for _ in range(n))
+    chunks = spark.createDataFrame([(f"c{i}", "d", "", text(rng.choice((0, 1, 4, 4, 9))), "") for i in range(60)], "chunk_id string, doc_id string, section string, text string, citation string").repartition(3)
+    index = rt.build(chunks, Settings(use_dense=False))
+    queries = spark.createDataFrame([(i, text(rng.choice((0, 1, 3)))) for i in range(12)] + [(50, "nothing known"), (51, None)], "query_id int, text string")
+    want = {}
+    for r in rt.bm25(queries, index).collect():
+        want.setdefault(r.query_id, []).append((-round(r.score, 9), r.chunk_id))
+    got = {}
+    for r in rt.sparse_top(queries, index, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+    assert got == {k: sorted(v)[:7] for k, v in want.items()}
+    assert rt.sparse_top(queries.limit(0), index).count() == 0 and rt.sparse_top(queries, rt.build(chunks.limit(0))).count() == 0
+
+
 def test_nearest_is_exact_with_ties(spark, monkeypatch):
-    monkeypatch.setattr(rt, "BLOCK", 2)
-    vectors = [(i, [float(i % 3), 1.0]) for i in range(30)] + [(99, [0.0, 0.0]), (98, None)]
-    df = spark.createDataFrame(vectors, "vec_id long, vec array<double>").repartition(5)
-    q = spark.createDataFrame([(i, v) for i, v in vectors[:5]], "query_id long, vec array<double>")
-    got = {(r.query_id, r["rank"]): r.vec_id for r in rt.nearest(q, df, 4, "vec_id").collect()}
-    assert [got[0, r] for r in (1, 2, 3, 4)] == [0, 3, 6, 9] and [got[2, r] for r in (1, 2, 3, 4)] == [2, 5, 8, 11]
-    assert rt.nearest(q.limit(0), df, 4, "vec_id").count() == 0
+    for block in (2, 4096):
+        monkeypatch.setattr(rt, "BLOCK_ROWS", block)
+        monkeypatch.setattr(rt, "BLOCK_QUERIES", block)
+        vectors = [(i, [float(i % 3), 1.0]) for i in range(30)] + [(99, [0.0, 0.0]), (98, None)]
+        df = spark.createDataFrame(vectors, "vec_id long, vec array<double>").repartition(5)
+        q = spark.createDataFrame([(i, v) for i, v in vectors[:5]], "query_id long, vec array<double>")
+        got = {(r.query_id, r["rank"]): r.vec_id for r in rt.nearest(q, rt.pack(df, "vec_id"), 4, "vec_id").collect()}
+        assert [got[0, r] for r in (1, 2, 3, 4)] == [0, 3, 6, 9] and [got[2, r] for r in (1, 2, 3, 4)] == [2, 5, 8, 11]
+        assert rt.nearest(q.limit(0), rt.pack(df, "vec_id"), 4, "vec_id").count() == 0
+
+
+def test_plans_do_not_grow_with_queries(spark, monkeypatch):
+    monkeypatch.setattr(rt, "BLOCK_QUERIES", 2)
+    df = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    size = lambda n: len(rt.nearest(df.where(f"vec_id < {n}").withColumnRenamed("vec_id", "query_id"), rt.pack(df, "vec_id"), 3, "vec_id")._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(2) == size(40)
 
 
 def test_search_and_its_switches(spark, index):
@@ -186,7 +218,8 @@ def spoken(spark):
 
 
 def test_controller_rules():
-    say = lambda turn, text, t=9.0, silence=0.0, final=False, **s: ct.step(turn, text, t, silence, final, Settings(**s))
+    found = {"in Pune for the whole team": ["ent:pune"], "of 30": ["num:30"], "Find a venue": [], "x": [], "": [], "done.": []}
+    say = lambda turn, text, t=9.0, silence=0.0, final=False, **s: ct.step(turn, text, found.get(text, []), t, silence, final, Settings(**s))
     turn, a = say(ct.Turn(), "Find a venue")
     assert a.decision == ct.WAIT and a.reason.startswith("buffer_too_short")
     turn, a = say(turn, "in Pune for the whole team")
@@ -206,9 +239,9 @@ def test_controller_never_speculates_after_the_end(parts):
     turn, t = ct.Turn(), 0.0
     for p in parts:
         before = turn
-        turn, a = ct.step(turn, p, t, 0.0, False)
+        turn, a = ct.step(turn, p, [f"ent:{p.lower()}"] if p == "Pune" else [], t, 0.0, False)
         assert a.decision != ct.SPECULATE or not turn.buffer.endswith(".")
-        assert turn.buffer == " ".join(x for x in (before.buffer, p) if x) and a.entities == ct.find_entities(turn.buffer)
+        assert turn.buffer == " ".join(x for x in (before.buffer, p) if x) and a.entities == (["ent:pune"] if "Pune" in turn.buffer else [])
         t += 0.3
 
 
@@ -218,7 +251,7 @@ def test_batch_equals_stream(spark, tmp_path):
     for seq in range(rows.agg(F.max("seq")).first()[0] + 1):
         rows.where(F.col("seq") == seq).coalesce(1).write.mode("append").json(folder)
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    stream = ct.decision_stream(corpus.transcript_stream(spark, folder))
+    stream = ct.decision_stream(corpus.transcript_stream(spark, folder), expire=False)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination(120)
     batch = ct.decisions(rows, stop_at_end=False)
     key = lambda df: sorted(tuple(r) for r in df.select("session_id", "turn_id", "seq", "decision", "buffer").collect())

@@ -1,5 +1,8 @@
 """Column functions on tiny inputs with values worked out by hand."""
 
+import re
+
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from lorespan.functions import requests as rq
 from lorespan.functions import text as tx
 from lorespan.functions import vectors as vc
 from lorespan.settings import Settings
-from lorespan.streaming.controller import find_entities
+from lorespan.streaming import controller as ct
 
 
 def one(spark, make, *values):
@@ -103,13 +106,15 @@ def test_claims_read_off_evidence(spark):
     assert fits("catering in Pune", "catering is in pune", 0.5) and not fits("catering in Pune", "catering in Mumbai", 0.9)
     assert not fits("parental leave policy", "the cancellation policy", 0.9) and fits("parental leave policy", "leave policy", 0.9)
     named = F.array(F.struct(F.lit("Doc_01").alias("doc_id"), F.lit("Lake Hall seats 40 people.").alias("text")), F.struct(F.lit("Doc_09").alias("doc_id"), F.lit("Far Hall seats 90 people.").alias("text")))
-    assert one(spark, lambda q: ev.place_names(q, named), "a venue in Pune for 30 people") == ["Lake Hall"]
+    assert one(spark, lambda q: ev.place_names(q, named, {"pune": ("doc_01",)}), "a venue in Pune for 30 people") == ["Lake Hall"]
+    assert one(spark, lambda q: ev.place_names(q, named), "a venue in Pune for 30 people") == []
+    assert one(spark, lambda q: ev.place_names(q, named), "venue capacity") == ["Lake Hall", "Far Hall"]
 
 
 def test_vectors(spark):
     plain = vc.encode_text("venue capacity", 64)
     assert float((plain.astype(float) ** 2).sum()) == pytest.approx(1, abs=1e-6) and not vc.encode_text("", 64).any()
-    assert one(spark, lambda a: vc.encoder(64)(a), "venue capacity") == pytest.approx(plain.tolist())
+    assert one(spark, lambda a: vc.encoder(Settings(dim=64))(a), "venue capacity") == pytest.approx(plain.tolist())
     sparse = one(spark, lambda a: vc.md5_vector(a, 64), "venue capacity")
     assert sum(v * v for v in sparse.values()) == pytest.approx(1)
     assert one(spark, lambda a, b: vc.map_dot(vc.md5_vector(a, 64), vc.md5_vector(b, 64)), "venue", "venue") == pytest.approx(1)
@@ -125,7 +130,40 @@ def test_settings():
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(alphabet="aB1 .₹,éPune30people%", max_size=30), min_size=1, max_size=4))
-def test_entities_agree_in_both_forms(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for r in df.select("t", rq.entities(F.col("t")).alias("e")).collect():
-        assert r.e == find_entities(r.t)
+def test_entities_of_chunks_add_up_to_those_of_the_buffer(spark, texts):
+    parts = [t.strip() for t in texts]
+    whole = " ".join(t for t in parts if t)
+    found = [r.e for r in spark.createDataFrame([(i, t) for i, t in enumerate([*parts, whole])], "i int, t string").select("i", rq.entities(F.col("t")).alias("e")).orderBy("i").collect()]
+    turn = ct.Turn()
+    for t, e in zip(parts, found[:-1], strict=True):
+        turn, a = ct.step(turn, t, e, 0.0, 0.0, False)
+    assert turn.buffer == whole and list(turn.entities) == found[-1]
+    again = vc.summed(vc.words_in(whole), 512)
+    assert np.allclose(turn.vector, again)
+
+
+def test_both_forms_of_md5_vectors_agree(spark):
+    for text in ("a venue for 30 people, a venue", "x", "", "éa b", "word " * 40):
+        sparse = one(spark, lambda a: vc.md5_vector(a, 64), text)
+        dense = vc.encode_text(text, 64, "md5")
+        assert dense.tolist() == pytest.approx([sparse.get(i, 0.0) for i in range(64)], abs=1e-6)
+
+
+def brute_vector(text, dim):
+    """The sum over features one by one, by BLAKE2b."""
+    import hashlib
+
+    words = re.findall("[a-z0-9]+", text.lower())
+    named = [("w:" + w, 1.0) for w in words] + [("c:" + f"^{w}$"[i : i + 4], 0.45) for w in words for i in range(len(w) - 1)] + [(f"b:{a}_{b}", 0.8) for a, b in zip(words, words[1:])]
+    out = np.zeros(dim)
+    for name, weight in named:
+        h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big")
+        out[h % dim] += weight if h >> 63 else -weight
+    return out / (np.linalg.norm(out) or 1.0)
+
+
+def test_vectors_equal_brute_force(spark):
+    texts = ["venue capacity in Pune", "a a a b", "", "30 people, 30 seats! " * 20, "éàü x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", vc.encoder(Settings())("t").alias("v")).collect()
+    for r in rows:
+        assert r.v == pytest.approx(brute_vector(texts[r.i], 512).tolist(), abs=1e-6)
