@@ -267,7 +267,7 @@ def rrf(lists: DataFrame, k: int = DEFAULT.rrf_k) -> DataFrame:
     """query_id, chunk_id, score of ranked lists (query_id, list_no, rank, chunk_id, weight). Inside a list an id counts at its first place, and repeats take no place."""
     first = lists.groupBy("query_id", "list_no", "weight", "chunk_id").agg(F.min("rank").alias("at"))
     place = F.row_number().over(Window.partitionBy("query_id", "list_no").orderBy("at", "chunk_id")) - 1
-    return first.withColumn("place", place).groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") / (k + F.col("place") + 1)).alias("score"))
+    return first.withColumn("place", place).groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") / (k + F.col("place") + 1)), 12).alias("score"))
 
 
 def fused_top(lists: DataFrame, top: int = DEFAULT.fused_top, k: int = DEFAULT.rrf_k) -> DataFrame:

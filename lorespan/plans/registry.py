@@ -12,6 +12,7 @@ from lorespan.functions import evidence as ev
 from lorespan.functions import requests as rq
 from lorespan.functions import text as tx
 from lorespan.functions import vectors as vc
+from lorespan.lineage import cut
 from lorespan.operators import chunking, evaluation, patching, subqueries
 from lorespan.operators import retrieval as rt
 from lorespan.plans import turns as tn
@@ -55,10 +56,10 @@ def _micros(column: str):
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the conversations and the fixed turns."""
     own = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(SAID)], "id long, text string")
-    return _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").unionByName(own)
+    return _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), "text").unionByName(own)
 
 
-_SAID_SQL = "SELECT conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{t}')" for i, t in enumerate(SAID)) + ") AS v(id, text)"
+_SAID_SQL = "SELECT conv_id * 1000000 + turn AS id, text FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{t}')" for i, t in enumerate(SAID)) + ") AS v(id, text)"
 _TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 _SINGULAR = "CASE WHEN length({0}) > 5 AND {0} LIKE '%ies' THEN {0}[1:-4] || 'y' WHEN length({0}) > 4 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' AND {0} NOT LIKE '%us' THEN {0}[1:-2] ELSE {0} END"
 _POSTINGS = f"""
@@ -146,9 +147,15 @@ def hybrid_search(spark, sf_dir):
     return rt.search(_queries(spark, sf_dir), rt.build(_documents(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
+def hybrid_search_md5(spark, sf_dir):
+    """hybrid_search with the hash that SQL has, too."""
+    found = rt.search(_queries(spark, sf_dir), rt.build(_documents(spark, sf_dir), MD5), MD5)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
 def ablation_arms(spark, sf_dir):
-    found = evaluation.ablations(_queries(spark, sf_dir), rt.build(_documents(spark, sf_dir)))
-    return found.groupBy("arm", "query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+    found = evaluation.ablations(_queries(spark, sf_dir), rt.build(_documents(spark, sf_dir), MD5), MD5)
+    return found.groupBy("arm", "query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"), F.min_by("chunk_id", "rank").alias("first"))
 
 
 def fused_evidence(spark, sf_dir):
@@ -224,15 +231,16 @@ def entity_names(spark, sf_dir):
 
 
 def entity_extract(spark, sf_dir):
-    return _said(spark, sf_dir).select("id", rq.entities(F.col("text")).alias("entities"))
+    return _said(spark, sf_dir).select("id", F.array_join(rq.entities(F.col("text")), "|").alias("entities"))
 
 
 def clause_split(spark, sf_dir):
-    return _said(spark, sf_dir).select("id", rq.clauses(F.col("text")).alias("clauses"))
+    return _said(spark, sf_dir).select("id", F.array_join(rq.clauses(F.col("text")), "|").alias("clauses"))
 
 
 def near_dup_greedy(spark, sf_dir):
-    return subqueries.decompose(_said(spark, sf_dir).withColumnRenamed("text", "utterance")).select("id", "sub_queries")
+    rows = subqueries.decompose(_said(spark, sf_dir).withColumnRenamed("text", "utterance"), MD5)
+    return rows.select("id", F.array_join("sub_queries", "|").alias("sub_queries"))
 
 
 def capacity_extract(spark, sf_dir):
@@ -254,6 +262,25 @@ def controller_decisions(spark, sf_dir):
     return controller.decisions(spoken_chunks(spark, sf_dir))
 
 
+def controller_steps(spark, sf_dir):
+    """The decisions alone, to the end of each turn."""
+    return controller.decisions(spoken_chunks(spark, sf_dir), stop_at_end=False).select("session_id", "turn_id", "seq", "decision", F.size("entities").cast("long").alias("n_entities"))
+
+
+def speculated_turns(spark, sf_dir):
+    """What is looked up while turns are being said, and how much of it the turns use."""
+    index = _sparse_index(spark, sf_dir)
+    decided = cut(controller.decisions(spoken_chunks(spark, sf_dir)))
+    spoken = cut(tn.speculate(decided, index, SPARSE))
+    said = controller.utterances(decided).select(F.concat_ws(":", "session_id", F.col("turn_id").cast("string")).alias("turn_id"), "utterance")
+    asked = cut(subqueries.decompose(said, SPARSE).select("turn_id", "sub_queries"))
+    hits, reused = tn.look_up_after(asked, spoken, index, SPARSE)
+    before = spoken.groupBy("turn_id").agg(F.count("*").alias("n_before"), F.sum("calls").alias("calls_before"), F.round(F.min("at"), 3).alias("first_at"))
+    found = hits.groupBy("turn_id").agg(F.count_distinct("chunk_id").alias("n_chunks"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return asked.join(before, "turn_id", "left").join(reused, "turn_id", "left").join(found, "turn_id", "left").select("turn_id", F.size("sub_queries").alias("n_sub_queries"), *(zero(c) for c in ("n_before", "calls_before", "n_reused", "n_chunks")), "first_at")
+
+
 def turn_utterances(spark, sf_dir):
     rows = controller.utterances(controller.decisions(spoken_chunks(spark, sf_dir), stop_at_end=False))
     return controller.latency(rows, F.col("ended_at") + 0.1)
@@ -325,9 +352,9 @@ def answered_turns(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        token_counts, plural_tokens, corpus_stats, term_stats, bm25_topk, rrf_fusion, weighted_rrf, rerank_lexical, hybrid_search, ablation_arms, fused_evidence, doc_paragraph_chunks,
+        token_counts, plural_tokens, corpus_stats, term_stats, bm25_topk, rrf_fusion, weighted_rrf, rerank_lexical, hybrid_search, hybrid_search_md5, ablation_arms, fused_evidence, doc_paragraph_chunks,
         term_overlap, support_score, hashed_vectors, hashed_cosine, dense_knn_topk, live_index_semijoin, unlabelled_antijoin, presentation_class, request_flags, entity_names, entity_extract,
-        clause_split, near_dup_greedy, capacity_extract, spoken_chunks, buffer_prefixes, controller_decisions, turn_utterances, ordered_distinct_types, session_gap_turns,
+        clause_split, near_dup_greedy, capacity_extract, spoken_chunks, buffer_prefixes, controller_decisions, controller_steps, speculated_turns, turn_utterances, ordered_distinct_types, session_gap_turns,
         latency_median_by_type, recall_rollup, cost_by_turn_class, token_estimates, text_numbers, first_seen_roles, live_sessions, shortened, answered_turns,
     )
 }
@@ -415,3 +442,163 @@ l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY session_id ORDER B
 SELECT session_id, state FROM l WHERE state IS NOT NULL AND seen + 432000 > (SELECT max(seen) FROM w)""",
 }
 
+
+
+def _squeeze(column: str) -> str:
+    return f"trim(regexp_replace(coalesce({column}, ''), '\\s+', ' ', 'g'))"
+
+
+def _clean(column: str) -> str:
+    leads = "|".join(x.replace("'", "''") for x in tx.LEADS)
+    return f"trim(trim(regexp_replace({_squeeze(column)}, '(?i)^(?:(?:{leads})\\s+)+', '')), ' ,.;')"
+
+
+#: Characters that words are made of, as the patterns of requests have it.
+_W = r"\p{L}\p{N}\p{M}_"
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _entities(text: str) -> str:
+    """The sorted entities of a text."""
+    words = f"regexp_split_to_array({text}, '[^{_W}]+')"
+    low = f"regexp_split_to_array(lower({text}), '[^{_W}]+')"
+    numbers = [f"regexp_extract_all({text}, '(?:^|[^{_W}])(\\d+(?:[.,]\\d+)?)([{_W}]*)', {i})" for i in (1, 2)]
+    slots = [w for w in rq.SLOTS if w != "%"]
+    return f"""list_sort(list_distinct(list_concat(list_concat(
+      list_transform(regexp_extract_all({text}, '[$₹€£]\\s?\\d[\\d,]*(?:\\.\\d+)?'), lambda m: 'money:' || regexp_replace(m, '\\s+', '', 'g')),
+      list_transform(list_filter(list_zip({numbers[0]}, {numbers[1]}), lambda z: z[2] = ''), lambda z: 'num:' || z[1])), list_concat(
+      list_transform(list_filter({words}, lambda w: regexp_full_match(w, '[A-Z][a-zA-Z][a-zA-Z]+') AND NOT list_contains({_listed(rq.NO_NAMES)}, w)), lambda w: 'ent:' || lower(w)),
+      list_transform(list_filter({_listed(slots)}, lambda w: list_contains({low}, w)), lambda w: 'slot:' || w)))))"""
+
+
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
+_PARTS = f"""list_filter(list_transform(regexp_split_to_array(whole, '(?i){rq.CLAUSE}'), lambda p: trim(p, ' ,.;')), lambda p: p <> '')"""
+#: Vectors of texts, as in hybrid search.
+_DENSE = f"""
+src AS (SELECT CAST(doc_id AS VARCHAR) AS id, false AS asked, source || '. ' || text AS x FROM documents UNION ALL SELECT CAST(item_id AS VARCHAR), true, text FROM benchmark),
+vt AS (SELECT id, asked, {_TOKENS.format("x")} AS t FROM src),
+vw AS (SELECT id, asked, t, unnest(range(1, len(t) + 1)) AS i FROM vt),
+vf AS (
+  SELECT id, asked, 'w:' || t[i] AS f, 1.0::DOUBLE AS x FROM vw
+  UNION ALL SELECT id, asked, 'c:' || substr(p, j, 4), 0.45 FROM (SELECT id, asked, '^' || t[i] || '$' AS p, unnest(range(1, length(t[i]))) AS j FROM vw WHERE length(t[i]) > 1)
+  UNION ALL SELECT id, asked, 'b:' || t[i] || '_' || t[i + 1], 0.8 FROM vw WHERE i < len(t)),
+vs AS (SELECT id, asked, CAST(('0x' || substr(md5(f), 1, 8))::BIGINT % 512 AS INTEGER) AS i, sum(CASE WHEN substr(md5(f), 9, 1) IN ('8','9','a','b','c','d','e','f') THEN x ELSE -x END) AS v FROM vf GROUP BY ALL),
+vu AS (SELECT id, asked, i, v / sqrt(sum(v * v) OVER (PARTITION BY id, asked)) AS v FROM vs),
+cosines AS (SELECT q.id AS query_id, c.id AS chunk_id, sum(q.v * c.v) AS cosine FROM vu q JOIN vu c ON q.i = c.i WHERE q.asked AND NOT c.asked GROUP BY ALL),
+qs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_distinct({_TOKENS.format("text")}) AS q FROM benchmark WHERE trim(text) <> ''),
+ds AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, list_distinct({_TOKENS.format("concat_ws(' ', source, text)")}) AS c FROM documents),
+sparse AS (SELECT CAST(query_id AS VARCHAR) AS query_id, chunk_id, rank FROM top),
+dense AS (
+  SELECT query_id, chunk_id, rank FROM (
+    SELECT query_id, chunk_id, round(coalesce(cosine, 0), 8) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(cosine, 0), 8) DESC, chunk_id) AS rank
+    FROM (SELECT query_id, chunk_id FROM qs, ds) LEFT JOIN cosines USING (query_id, chunk_id)) WHERE rank <= 10 AND s > 0),
+arms AS (SELECT * FROM (VALUES ('hybrid', true, true, true), ('dense_only', false, true, true), ('sparse_only', true, false, true), ('no_reranker', true, true, false)) AS a(arm, use_sparse, use_dense, use_reranker)),
+lists AS (SELECT arm, use_reranker, query_id, chunk_id, rank FROM arms, sparse WHERE use_sparse UNION ALL SELECT arm, use_reranker, query_id, chunk_id, rank FROM arms, dense WHERE use_dense),
+fused AS (SELECT arm, use_reranker, query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS s FROM lists GROUP BY ALL),
+cand AS (SELECT *, row_number() OVER (PARTITION BY arm, query_id ORDER BY s DESC, chunk_id) AS place FROM fused QUALIFY place <= 8),
+judged AS (
+  SELECT arm, query_id, chunk_id, CASE WHEN NOT use_reranker THEN 1.0::DOUBLE / place WHEN len(q) = 0 THEN 0 ELSE 0.6 * len(list_intersect(q, c)) / len(q) + 0.4 * greatest(coalesce(cosine, 0), 0) END AS score
+  FROM cand JOIN qs USING (query_id) JOIN ds USING (chunk_id) LEFT JOIN cosines USING (query_id, chunk_id)),
+final AS (SELECT arm, query_id, chunk_id, score, row_number() OVER (PARTITION BY arm, query_id ORDER BY round(score, 7) DESC, chunk_id) AS rank FROM judged QUALIFY rank <= 5)
+"""
+#: Buffers of turns, chunk by chunk, with what the rules look at.
+_STEPS = f"""{_SPOKEN},
+bufs AS (SELECT session_id, turn_id, seq, n, round(seq * 0.3::DOUBLE, 3) AS t, text, string_agg(text, ' ') OVER (PARTITION BY session_id, turn_id ORDER BY seq) AS buffer FROM c),
+own AS (SELECT *, {_entities("text")} AS found FROM bufs),
+ents AS (
+  SELECT session_id, turn_id, seq, count(e) AS n_entities FROM (
+    SELECT o.session_id, o.turn_id, o.seq, f.e FROM own o LEFT JOIN (
+      SELECT session_id, turn_id, e, min(seq) AS first FROM (SELECT session_id, turn_id, seq, unnest(found) AS e FROM own) GROUP BY ALL) f
+      ON f.session_id = o.session_id AND f.turn_id = o.turn_id AND f.first <= o.seq) GROUP BY ALL),
+ruled AS (
+  SELECT b.*, n_entities, b.seq = b.n - 1 OR regexp_matches(buffer, '[.?!]$') AS ended,
+    length(buffer) >= 28 AND (n_entities >= 1 OR len(list_filter(string_split(buffer, ' '), lambda w: length(w) > 3)) >= 5) AS ready
+  FROM bufs b JOIN ents USING (session_id, turn_id, seq))
+"""
+_CLAUSES = f"""
+WITH s AS (SELECT id, {_clean("text")} AS whole FROM ({_SAID_SQL})),
+p AS (SELECT id, whole, {_PARTS} AS parts FROM s),
+j AS (
+  SELECT id, whole, CASE WHEN len(parts) = 0 THEN [whole] ELSE string_split(list_reduce(parts, lambda acc, x:
+    acc || CASE WHEN len(list_filter(string_split(x, ' '), lambda w: w <> '')) < 3 THEN ' ' ELSE chr(1) END || x), chr(1)) END AS joined FROM p),
+k AS (SELECT id, whole, list_transform(joined[1:4], lambda x: coalesce(nullif({_clean("x")}, ''), x)) AS kept FROM j),
+c AS (
+  SELECT id, whole, kept, list_filter({_listed(rq.PLACES)}, lambda x: contains(lower(kept[1]), x))[1] AS place,
+    list_filter(list_transform(string_split(whole, ' '), lambda w: regexp_replace(w, '[^A-Za-z0-9%.-]', '', 'g')), lambda w: list_contains({_listed(rq.CITIES)}, lower(w))) AS cities FROM k),
+x AS (SELECT *, array_to_string(list_concat(list_filter([place], lambda q: q IS NOT NULL), cities), ' ') AS suffix FROM c),
+r AS (
+  SELECT id, CASE WHEN whole = '' THEN [] WHEN len(kept) <= 1 THEN kept ELSE list_transform(kept, lambda part, i: CASE WHEN i = 1 OR suffix = '' THEN part ELSE
+    CASE WHEN coalesce(list_contains(regexp_extract_all(lower(part), '[{_W}]+'), place), false)
+      AND (len(cities) = 0 OR len(list_filter(cities, lambda y: list_contains(regexp_extract_all(lower(part), '[{_W}]+'), regexp_replace(lower(y), '[^a-z0-9]', '', 'g')))) > 0)
+      THEN part ELSE part || ' ' || suffix END END) END AS raw, whole, suffix FROM x)
+SELECT id, array_to_string(CASE WHEN len(raw) <= 1 THEN raw ELSE list_transform(raw, lambda m, i: CASE WHEN i = 1 OR suffix = '' THEN m ELSE coalesce(nullif({_clean("m")}, ''), m) END) END, '|') AS clauses FROM r"""
+SQL |= {
+    "entity_extract": f"SELECT id, array_to_string({_entities('text')}, '|') AS entities FROM ({_SAID_SQL})",
+    "clause_split": _CLAUSES,
+    "near_dup_greedy": f"""
+WITH s AS (SELECT id, text, string_split(clauses, '|') AS q FROM ({_CLAUSES}) JOIN ({_SAID_SQL}) USING (id)),
+e AS (SELECT id, unnest(range(1, len(q) + 1)) AS k, unnest(q) AS x FROM s),
+vt AS (SELECT id, k, {_TOKENS.format("x")} AS t FROM e),
+vw AS (SELECT id, k, t, unnest(range(1, len(t) + 1)) AS i FROM vt),
+vf AS (
+  SELECT id, k, 'w:' || t[i] AS f, 1.0::DOUBLE AS x FROM vw
+  UNION ALL SELECT id, k, 'c:' || substr(p, j, 4), 0.45 FROM (SELECT id, k, '^' || t[i] || '$' AS p, unnest(range(1, length(t[i]))) AS j FROM vw WHERE length(t[i]) > 1)
+  UNION ALL SELECT id, k, 'b:' || t[i] || '_' || t[i + 1], 0.8 FROM vw WHERE i < len(t)),
+vs AS (SELECT id, k, CAST(('0x' || substr(md5(f), 1, 8))::BIGINT % 512 AS INTEGER) AS i, sum(CASE WHEN substr(md5(f), 9, 1) IN ('8','9','a','b','c','d','e','f') THEN x ELSE -x END) AS v FROM vf GROUP BY ALL),
+vu AS (SELECT id, k, i, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY id, k)), 0) AS v FROM vs),
+far AS (SELECT a.id, a.k AS a, b.k AS b, sum(a.v * b.v) >= 0.85 AS near FROM vu a JOIN vu b ON a.id = b.id AND a.i = b.i AND a.k < b.k GROUP BY ALL),
+n AS (SELECT id, coalesce(bool_or(near) FILTER (a = 1 AND b = 2), false) AS n12, coalesce(bool_or(near) FILTER (a = 1 AND b = 3), false) AS n13, coalesce(bool_or(near) FILTER (a = 2 AND b = 3), false) AS n23,
+  coalesce(bool_or(near) FILTER (a = 1 AND b = 4), false) AS n14, coalesce(bool_or(near) FILTER (a = 2 AND b = 4), false) AS n24, coalesce(bool_or(near) FILTER (a = 3 AND b = 4), false) AS n34 FROM far GROUP BY id),
+g AS (
+  SELECT s.id, text, q, NOT coalesce(n12, false) AS k2, NOT (coalesce(n13, false) OR (NOT coalesce(n12, false) AND coalesce(n23, false))) AS k3, coalesce(n14, false) AS n14, coalesce(n24, false) AS n24, coalesce(n34, false) AS n34
+  FROM s LEFT JOIN n ON n.id = s.id)
+SELECT id, CASE WHEN len(list_filter(q, lambda x: x <> '')) = 0 THEN coalesce(nullif({_clean("text")}, ''), trim(text)) ELSE
+  array_to_string(list_filter(q, lambda x, i: x <> '' AND CASE i WHEN 1 THEN true WHEN 2 THEN k2 WHEN 3 THEN k3 ELSE NOT (n14 OR (k2 AND n24) OR (k3 AND n34)) END), '|') END AS sub_queries FROM g""",
+    "fused_evidence": f"""WITH {_BM25},
+h AS (SELECT query_id % 10 AS turn_id, query_id AS query_no, rank, chunk_id, round(score, 9) AS score FROM top WHERE rank <= 5),
+f AS (SELECT turn_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS s, max(score) AS best FROM h GROUP BY ALL),
+t AS (SELECT f.*, text FROM f JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id QUALIFY row_number() OVER (PARTITION BY turn_id, text ORDER BY s DESC, chunk_id) = 1)
+SELECT turn_id, chunk_id, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY s DESC, chunk_id) AS INTEGER) AS rank, round(s + 0.001 * best, 6) AS score FROM t
+QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY s DESC, chunk_id) <= 5""",
+    "capacity_extract": r"""
+WITH d AS (SELECT doc_id, text || ' Lake Hall seats 40 people at most. ' AS x FROM documents),
+g AS (SELECT doc_id, %s FROM d),
+z AS (SELECT doc_id, list_filter(list_transform(range(1, len(g1) + 1), lambda i: CASE WHEN coalesce(TRY_CAST(g2[i] AS BIGINT) >= 30, false)
+  THEN trim(g1[i], ' ' || chr(9) || chr(10) || chr(13)) || ' seats ' || TRY_CAST(g2[i] AS BIGINT) || CASE WHEN g3[i] <> '' THEN ' people' ELSE '' END || g4[i] END), lambda y: y IS NOT NULL) AS found FROM g)
+SELECT doc_id, array_to_string(list_filter(found, lambda y, i: list_position(list_transform(found, lambda w: lower(w)), lower(y)) = i), ' ') AS claim FROM z"""
+    % ", ".join(f"regexp_extract_all(x, '{ev._SEATS.replace(chr(39), chr(39) * 2)}', {i}) AS g{i}" for i in (1, 2, 3, 4)),
+    "doc_paragraph_chunks": r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS ps FROM documents),
+r AS (
+  SELECT doc_id, string_split(list_reduce(ps, lambda acc, x: acc || CASE WHEN
+      len(regexp_extract_all(string_split(acc, chr(1))[-1], '\S+')) + len(regexp_extract_all(x, '\S+')) > 90 THEN chr(1) ELSE chr(10) || chr(10) END || x), chr(1)) AS packs
+  FROM p WHERE len(ps) > 0),
+t AS (SELECT doc_id, list_filter(list_transform(packs, lambda x: trim(regexp_replace(x, '(?m)^#{1,6}\s+(.*)$', '\1', 'g'))), lambda x: len(regexp_extract_all(x, '\S+')) >= 15) AS kept FROM r),
+u AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM t)
+SELECT doc_id || '#c' || i AS chunk_id, doc_id, 'intro' AS section, trim(regexp_replace(kept[i], '\s+', ' ', 'g')) AS text, doc_id || ' intro' AS citation FROM u""",
+    "shortened": f"""
+WITH s AS (SELECT id, text, coalesce(({_SENTENCES})[1], text) AS first FROM ({_SAID_SQL})),
+w AS (SELECT *, regexp_extract_all(first, '\\S+') AS ws FROM s)
+SELECT id, CASE WHEN len(ws) > 28 THEN regexp_replace(array_to_string(ws[1:28], ' '), '[,;]+$', '') || '…' ELSE first END AS short,
+  '• ' || trim(regexp_replace(text, '^[• ]+', ''), ' ' || chr(9) || chr(10) || chr(13)) AS bullet FROM w""",
+    "hybrid_search_md5": f"WITH {_BM25}, {_DENSE} SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM final WHERE arm = 'hybrid'",
+    "ablation_arms": f"WITH {_BM25}, {_DENSE} SELECT arm, CAST(query_id AS BIGINT) AS query_id, count(*) AS n, round(max(score), 4) AS best, min_by(chunk_id, rank) AS first FROM final GROUP BY arm, query_id",
+    "turn_utterances": f"""WITH {_STEPS},
+u AS (
+  SELECT session_id, turn_id, max_by(buffer, seq) AS utterance, coalesce(min_by(t, seq) FILTER (ended), max(t)) AS ended_at,
+    min_by(t, seq) FILTER (ready AND NOT ended) AS started_at, min_by(buffer, seq) FILTER (ready AND NOT ended) AS provisional FROM ruled GROUP BY ALL)
+SELECT *, round((ended_at + 0.1 - ended_at) * 1000, 2) AS ttft_ms, coalesce(round(greatest(0.0, (ended_at - started_at) * 1000), 2), 0.0) AS early_start_ms FROM u""",
+    "controller_steps": f"""WITH RECURSIVE {_STEPS},
+walk AS (
+  SELECT session_id, turn_id, -1 AS seq, '' AS decision, CAST(-1e9 AS DOUBLE) AS spoke_at, CAST(0 AS BIGINT) AS spoke_len, CAST(0 AS BIGINT) AS n_entities FROM ruled WHERE seq = 0
+  UNION ALL
+  SELECT session_id, turn_id, seq, decision, CASE WHEN decision = 'provisional_retrieve' THEN t ELSE spoke_at END, CASE WHEN decision = 'provisional_retrieve' THEN CAST(length(buffer) AS BIGINT) ELSE spoke_len END, n_entities FROM (
+    SELECT r.session_id, r.turn_id, r.seq, r.t, r.buffer, r.n_entities, w.spoke_at, w.spoke_len, CASE WHEN ended THEN 'retrieve' WHEN ready AND r.t - w.spoke_at >= 0.3 AND (w.spoke_len = 0 OR
+      len(list_intersect(regexp_extract_all(lower(substr(buffer, w.spoke_len + 1)), '[^\\s.,?!:;()\\[\\]{{}}]+'), {_listed(sorted(controller.JOINING))})) > 0
+      AND len(list_intersect(regexp_extract_all(lower(substr(buffer, w.spoke_len + 1)), '[^\\s.,?!:;()\\[\\]{{}}]+'), {_listed(sorted(controller.ASKING))})) > 0) THEN 'provisional_retrieve' ELSE 'wait' END AS decision
+    FROM walk w JOIN ruled r ON r.session_id = w.session_id AND r.turn_id = w.turn_id AND r.seq = w.seq + 1))
+SELECT session_id, turn_id, CAST(seq AS INTEGER) AS seq, decision, n_entities FROM walk WHERE seq >= 0""",
+}
