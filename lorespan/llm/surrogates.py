@@ -434,7 +434,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     shared_checkpoints(spark)
     docs = plain(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
     with Scratch(spark) as scratch:
-        seen = scratch.keep(docs.select("doc_id", "hash", extracted(F.col("text")).alias("x")).select("doc_id", "hash", "x.*").where("size(found) > 0 or size(pairs) > 0"))
+        # exploded, and not filtered after, since a filter would be moved before the search and do it once more
+        any_ = F.filter(F.array(extracted(F.col("text"))), lambda x: (F.size(x["found"]) > 0) | (F.size(x["pairs"]) > 0))
+        seen = scratch.keep(docs.select("doc_id", "hash", F.explode(any_).alias("x")).select("doc_id", "hash", "x.*"))
         found = seen.select("doc_id", "hash", F.explode("found").alias("m")).select("doc_id", "hash", "m.*").select(*_NAME_ROW)
         found = scratch.cut(found.unionByName(_repeated(seen, scratch)))
         told = lambda g: F.count_if(F.col("gender") == g)
