@@ -19,7 +19,8 @@ against the best connected class of each of its signatures, on exact sets; (4) c
 classes that share a signature but no component are compared by parity sketches, those that can
 be similar on exact sets, and components follow again. So a group of n near copies takes about n
 tests, and no link between components is lost. A sketch has at least two bits a feature; each
-feature flips one of them, so sketches differ in no more bits than the sets in features.
+feature flips one of them, so sketches differ in no more bits than the sets in features. Classes that
+come to (5) by a signature which many share are compared under their rarest features instead.
 
 Set keys and features are 64-bit hashes; nothing else is approximate.
 """
@@ -235,8 +236,8 @@ def shared_signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
     return docs.mapInArrow(emit, "block int, pairs binary").repartition("block").mapInArrow(meet, "sig long, key long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
-    """Of pairs (a, b) of class nodes, those whose sets are similar. Sets are made of the texts of the nodes in question only."""
+def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """node, items: the sets of class nodes, made of the texts of these nodes only."""
 
     def run(batches):
         for batch in batches:
@@ -246,9 +247,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sim: Simila
                 part = out[i : i + 200]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.list_(pa.int64()))], ["node", "items"])
 
-    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key"), "node").select(F.col("node").alias("doc_id"), "key"))
+    wanted = scratch.cut(nodes.select("node").distinct().join(classes.select("node", "key"), "node").select(F.col("node").alias("doc_id"), "key"))
     few = wanted.count() <= BROADCAST_NODES
-    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "key", "text").mapInArrow(run, "node long, items array<long>")
+    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "key", "text").mapInArrow(run, "node long, items array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, b) of class nodes, those whose sets are similar."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, classes, sim, scratch)
     left, right = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     both = F.size(F.array_intersect("items_a", "items_b"))
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("items_a") + F.size("items_b") - both) * sim.percent).select("a", "b").distinct()
@@ -337,7 +343,8 @@ def _linked(docs: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     scratch.drop(others)
     del mixed
     tidy(spark)
-    rest = scratch.cut(_likely(_met(apart, classes, sim).join(first, ["a", "b"], "left_anti"), classes, sim))
+    met = _met(_narrowed(apart, known, classes, sim, scratch), classes, sim)
+    rest = scratch.cut(_likely(met.join(first, ["a", "b"], "left_anti"), classes, sim))
     scratch.drop(apart, first)
     tidy(spark)
     more = scratch.cut(_verified(rest, known, classes, sim, scratch))
@@ -347,6 +354,29 @@ def _linked(docs: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def _narrowed(apart: DataFrame, docs: DataFrame, classes: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """Rows (sig, node, n, label) by which classes of different components are to be compared: as they are where at most HOT classes share a signature; where more do, a class comes under its rarest features instead.
+
+    Two similar sets of n and m features have one of the n - ceil(s n) + 1 rarest of the one (s: the
+    least similarity) in common with as many of the other, if rarity is the same order for both. A
+    passage that makes a signature hot, as a licence does, is not rare; so a million texts with little
+    else in common are not compared with each other.
+    """
+    count = apart.groupBy("sig").agg(F.count("*").alias("many"))
+    hot = count.where(F.col("many") > HOT).select("sig")
+    crowd = scratch.cut(apart.join(hot, "sig").select("node", "n", "label").distinct())
+    if crowd.isEmpty():
+        return apart
+    found = scratch.keep(_sets_of(crowd, docs, classes, sim, scratch))
+    features = found.select("node", F.explode("items").alias("feature"))
+    common = features.groupBy("feature").agg(F.count("*").alias("many"))
+    ordered = features.join(common, "feature").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "feature"))).alias("items"))
+    rarest = F.slice("items", F.lit(1), (F.size("items") - F.ceil(F.size("items") * sim.percent / 100) + 1).cast("int"))
+    rows = ordered.select("node", F.explode(F.filter(rarest, lambda x: x["many"] > 1)).alias("x")).select(F.col("x.feature").alias("sig"), "node").join(crowd, "node").select("sig", "node", "n", "label")
+    apart_too = rows.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
+    return scratch.cut(apart.join(hot, "sig", "left_anti").unionByName(rows.join(apart_too, "sig")))
+
+
 def _met(apart: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs (a, b) of nodes of rows (sig, node, n, label) that share a signature, aren't in one component and can be similar by their short sketches."""
     at = apart.join(classes.select("node", *_WORDS, "middle"), "node")

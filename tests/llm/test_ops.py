@@ -73,6 +73,45 @@ def test_near_duplicates_equal_brute_force(spark, width, percent, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, width, percent)
 
 
+def crowd_of(n, rng):
+    """Texts with one passage in common, a few of them near copies."""
+    header = " ".join(f"licence{i}" for i in range(120))
+    texts = [header + " " + " ".join(rng.choice(WORDS) for _ in range(rng.choice((30, 45, 60)))) for _ in range(n)]
+    for i in range(0, n, 10):
+        words = texts[i].split()
+        words[-3] = "changed"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_many_texts_with_a_passage_in_common_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = crowd_of(120, rng)
+    for hot in (50, 3):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        found = jaccard.near_duplicates(docs_of(spark, texts), 5, 80).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(list(enumerate(texts)), 5, 80)
+
+
+def test_a_crowd_is_compared_under_rare_features(spark, monkeypatch):
+    """Rows to compare grow with a crowd, not pairs: all classes under one signature, in components of their own."""
+    rng = random.Random(15)
+    sim = jaccard.Similarity(5, 80)
+    sizes = {}
+    for n in (200, 400):
+        texts = crowd_of(n, rng)
+        docs = docs_of(spark, texts)
+        with common.Scratch(spark) as scratch:
+            classes = scratch.cut(jaccard.profile(docs, sim).select("key", "n_shingles", "spare", F.col("doc_id").alias("node"), *jaccard._WORDS, "sketch", "middle"))
+            apart = scratch.cut(classes.select(F.lit(1).cast("long").alias("sig"), "node", F.col("n_shingles").alias("n"), F.col("node").alias("label")))
+            rows = jaccard._narrowed(apart, docs, classes, sim, scratch)
+            sizes[n] = rows.alias("x").join(rows.alias("y"), "sig").where("x.node < y.node").count()
+            met = {(r.a, r.b) for r in jaccard._met(rows, classes, sim).collect()}
+            # every near copy meets its original
+            assert {(i, n + i // 10) for i in range(0, n, 10)} <= met
+    assert sizes[400] < 4 * 400 * 10 and sizes[400] < 3 * sizes[200] + 1000
+
+
 def test_signatures_are_shared_by_all_similar_sets():
     rng = np.random.default_rng(5)
     for n in (7, 12, 30, 100, 450):
