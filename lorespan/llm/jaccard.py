@@ -45,6 +45,8 @@ from lorespan.llm.common import Scratch, chunks, cut, mix, plain, shingles, smal
 N2, K2 = 3, 1
 #: How many classes make a signature hot.
 HOT = 50
+#: Frequent features that are told apart by their counts (16 MB).
+FREQUENT = 1 << 20
 #: Nodes whose sets are wanted that are broadcast, 16 bytes each; beyond, texts are shuffled to them.
 BROADCAST_NODES = 4_000_000
 #: Signatures that a task gathers before it packs them.
@@ -355,26 +357,42 @@ def _linked(docs: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
 
 
 def _narrowed(apart: DataFrame, docs: DataFrame, classes: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
-    """Rows (sig, node, n, label) by which classes of different components are to be compared: as they are where at most HOT classes share a signature; where more do, a class comes under its rarest features instead.
+    """Rows (sig, node, n, label) by which classes of different components are to be compared: under their rarest features instead of their signatures.
 
-    Two similar sets of n and m features have one of the n - ceil(s n) + 1 rarest of the one (s: the
-    least similarity) in common with as many of the other, if rarity is the same order for both. A
-    passage that makes a signature hot, as a licence does, is not rare; so a million texts with little
-    else in common are not compared with each other.
+    Two similar sets of n and m features have one of the n - ceil(s n) + 1 first of the one (s: the
+    least similarity) in common with as many of the other, if first is by the same order for both. In
+    this order frequent features come last, by their counts, of which the FREQUENT highest are broadcast;
+    others come by hash. A passage that makes a signature hot, as a licence does, is last; so a million
+    texts with little else in common are not compared with each other.
     """
-    count = apart.groupBy("sig").agg(F.count("*").alias("many"))
-    hot = count.where(F.col("many") > HOT).select("sig")
-    crowd = scratch.cut(apart.join(hot, "sig").select("node", "n", "label").distinct())
-    if crowd.isEmpty():
-        return apart
+    crowd = scratch.cut(apart.select("node", "n", "label").distinct())
     found = scratch.keep(_sets_of(crowd, docs, classes, sim, scratch))
-    features = found.select("node", F.explode("items").alias("feature"))
-    common = features.groupBy("feature").agg(F.count("*").alias("many"))
-    ordered = features.join(common, "feature").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "feature"))).alias("items"))
-    rarest = F.slice("items", F.lit(1), (F.size("items") - F.ceil(F.size("items") * sim.percent / 100) + 1).cast("int"))
-    rows = ordered.select("node", F.explode(F.filter(rarest, lambda x: x["many"] > 1)).alias("x")).select(F.col("x.feature").alias("sig"), "node").join(crowd, "node").select("sig", "node", "n", "label")
-    apart_too = rows.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
-    return scratch.cut(apart.join(hot, "sig", "left_anti").unionByName(rows.join(apart_too, "sig")))
+    counts = found.select(F.explode("items").alias("feature")).groupBy("feature").agg(F.count("*").alias("many")).where(F.col("many") > HOT)
+    top = counts.orderBy(F.col("many").desc(), "feature").limit(FREQUENT).select("feature").toArrow()
+    frequent = top["feature"].to_numpy()[::-1]  # the rarest of them first
+    by_value = np.argsort(frequent, kind="stable")
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[by_value], by_value))
+
+    def run(batches):
+        known, rank = sent.value
+        for batch in batches:
+            nodes, sigs = [], []
+            for node, items in zip(batch.column("node").to_pylist(), batch.column("items"), strict=True):
+                x = items.values.to_numpy(zero_copy_only=False)
+                place = np.full(len(x), -1, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    place = np.where(known[at] == x, rank[at], -1)
+                first = np.lexsort((x, place))[: len(x) - -(-len(x) * sim.percent // 100) + 1]
+                sigs.append(x[first])
+                nodes.append(np.full(len(first), node, np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+
+    rows = found.mapInArrow(run, "sig long, node long")
+    rows = scratch.keep(rows.join(crowd, "node").select("sig", "node", "n", "label"))
+    mixed = rows.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
+    return scratch.cut(rows.join(mixed, "sig"))
 
 
 def _met(apart: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
