@@ -47,6 +47,8 @@ N2, K2 = 3, 1
 HOT = 50
 #: Frequent features that are told apart by their counts (16 MB).
 FREQUENT = 1 << 20
+#: Features that a task counts at once.
+COUNTED = 1 << 22
 #: Nodes whose sets are wanted that are broadcast, 16 bytes each; beyond, texts are shuffled to them.
 BROADCAST_NODES = 4_000_000
 #: Signatures that a task gathers before it packs them.
@@ -362,12 +364,30 @@ def _narrowed(apart: DataFrame, docs: DataFrame, classes: DataFrame, sim: Simila
     Two similar sets of n and m features have one of the n - ceil(s n) + 1 first of the one (s: the
     least similarity) in common with as many of the other, if first is by the same order for both. In
     this order frequent features come last, by their counts, of which the FREQUENT highest are broadcast;
-    others come by hash. A passage that makes a signature hot, as a licence does, is last; so a million
+    others come by hash. (Any order gives the same pairs in the end. So a feature that a task sees once
+    among COUNTED isn't counted there, and is not shuffled.) A passage that makes a signature hot, as a licence does, is last; so a million
     texts with little else in common are not compared with each other.
     """
     crowd = scratch.cut(apart.select("node", "n", "label").distinct())
     found = scratch.keep(_sets_of(crowd, docs, classes, sim, scratch))
-    counts = found.select(F.explode("items").alias("feature")).groupBy("feature").agg(F.count("*").alias("many")).where(F.col("many") > HOT)
+
+    def seen(batches):
+        parts, n = [], 0
+
+        def again():
+            feature, many = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(feature[many > 1]), pa.array(many[many > 1])], ["feature", "many"])
+
+        for batch in batches:
+            parts.append(batch.column("items").flatten().to_numpy(zero_copy_only=False).copy())
+            n += len(parts[-1])
+            if n >= COUNTED:
+                yield again()
+                parts, n = [], 0
+        if n:
+            yield again()
+
+    counts = found.select("items").mapInArrow(seen, "feature long, many long").groupBy("feature").agg(F.sum("many").alias("many")).where(F.col("many") > HOT)
     top = counts.orderBy(F.col("many").desc(), "feature").limit(FREQUENT).select("feature").toArrow()
     frequent = top["feature"].to_numpy()[::-1]  # the rarest of them first
     by_value = np.argsort(frequent, kind="stable")
@@ -391,6 +411,7 @@ def _narrowed(apart: DataFrame, docs: DataFrame, classes: DataFrame, sim: Simila
 
     rows = found.mapInArrow(run, "sig long, node long")
     rows = scratch.keep(rows.join(crowd, "node").select("sig", "node", "n", "label"))
+    scratch.drop(found, crowd)
     mixed = rows.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("sig")
     return scratch.cut(rows.join(mixed, "sig"))
 
