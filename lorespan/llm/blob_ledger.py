@@ -50,7 +50,7 @@ RULES = (
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end>> of the rule's matches in text."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     pieces = F.split(text, rule.pattern, -1)
     steps = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
