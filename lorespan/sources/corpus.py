@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from lorespan.operators.retrieval import Index, build
 from lorespan.settings import DEFAULT, Settings
 
 TRANSCRIPT = "session_id string, turn_id long, seq int, t double, text string, is_final boolean, silence_s double, kind string"
+_LOG = logging.getLogger(__name__)
 _TABLES = ("chunks", "postings", "terms", "stats", "vectors", "blocks")
 
 
@@ -40,25 +44,50 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _folder(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete versions in a folder, the latest last."""
+    where, files = _folder(spark, path)
+    if not files.exists(where):
+        return []
+    found = [x.getPath().getName() for x in files.listStatus(where)]
+    return sorted(n for n in found if n.startswith("v") and files.exists(_folder(spark, f"{path}/{n}/_COMPLETE")[0]))
+
+
 def write_index(index: Index, path: str) -> None:
-    for name in _TABLES:
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    """Stores an index as a new version, which counts from the moment that all its tables are there; then older ones go."""
+    spark = index.chunks.sparkSession
+    old = _versions(spark, path)
+    name = f"v{time.time_ns():020d}"
+    for table in _TABLES:
+        getattr(index, table).write.parquet(f"{path}/{name}/{table}")
+    mark, files = _folder(spark, f"{path}/{name}/_COMPLETE")
+    files.create(mark).close()
+    for x in old:
+        files.delete(_folder(spark, f"{path}/{x}")[0], True)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in _TABLES))
+    """The latest complete version of a stored index; an error if there is none."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no index in {path}")
+    return Index(*(spark.read.parquet(f"{path}/{found[-1]}/{table}") for table in _TABLES))
 
 
 def open_index(spark: SparkSession, path: str, chunks: DataFrame, settings: Settings = DEFAULT) -> Index:
     """The stored index, or, if it is missing or has other chunks or vectors of another length, one built of chunks and stored."""
-    from pyspark.errors import AnalysisException
-
     try:
         index = read_index(spark, path)
         one = index.vectors.select(F.size("vec").alias("n")).first()
         if one and one["n"] == settings.dim and index.chunks.count() == index.vectors.count() == chunks.count():
             return index
-    except AnalysisException:
+    except FileNotFoundError:
         pass
     write_index(build(chunks, settings), path)
     return read_index(spark, path)
@@ -96,14 +125,15 @@ def write_events(events: DataFrame, folder: str) -> None:
 
 
 def fan_out(stream: DataFrame, sinks: list, checkpoint: str):
-    """Starts a stream that hands each micro-batch to all sinks (functions of a DataFrame). A sink that fails is left out from then on."""
+    """Starts a stream that hands each micro-batch to all sinks (functions of a DataFrame). A sink that fails is logged and left out for the rest of this run; a new run tries all again."""
     alive = list(sinks)
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         for sink in list(alive):
             try:
                 sink(batch)
-            except Exception:  # noqa: BLE001  a reader that went away must not stop the others
+            except Exception:  # a reader that went away must not stop the others
+                _LOG.exception("a sink failed on batch %d and gets no more of this run", number)
                 alive.remove(sink)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

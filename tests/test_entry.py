@@ -8,7 +8,10 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SAME = ["token_counts", "bm25_topk", "weighted_rrf", "dense_knn_topk", "hashed_cosine", "entity_names", "session_gap_turns", "cost_by_turn_class"]
+SAME = [
+    "token_counts", "bm25_topk", "weighted_rrf", "dense_knn_topk", "hashed_cosine", "entity_names", "session_gap_turns", "cost_by_turn_class", "entity_extract", "clause_split", "near_dup_greedy",
+    "fused_evidence", "hybrid_search_md5", "ablation_arms", "turn_utterances", "controller_steps", "shortened", "capacity_extract", "doc_paragraph_chunks", "buffer_prefixes",
+]
 
 
 def test_names_and_flagship(spark):
