@@ -119,7 +119,7 @@ def test_a_controller_that_waits_answers_later(spark):
 
 def test_a_report_is_whole_or_an_error(spark, tmp_path):
     rows = spark.range(3).withColumnRenamed("id", "n")
-    assert evaluation.report({"ids": rows}, str(tmp_path)).count("\n| ") == 3 and spark.read.json(str(tmp_path / "ids")).count() == 3
+    assert evaluation.report({"ids": rows}, str(tmp_path)).count("\n| ") == 4 and spark.read.json(str(tmp_path / "ids")).count() == 3
     with pytest.raises(ValueError, match="more than"):
         evaluation.report({"ids": rows}, most=2)
 
