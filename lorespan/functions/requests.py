@@ -32,6 +32,17 @@ NEW_INFORMATION = r"\b(what|which|when|where|who|why|how much|how many|cost|pric
 CORRECTION = r"\b(actually|instead|make (?:that|it)|change (?:that|it)|wait|sorry|scratch that|correction|rather|no,|update that|also make|and make (?:that|it)|i meant)\b"
 ELLIPSIS = r"^(?:and|but|also|plus|with|without|for|in|at|on|make|change|add|remove)\b"
 NOT_TOPICAL = "what when where which this that with from about make need want know".split()
+# How decisions on turns are accounted for.
+WHY = {
+    "no_form": "no_transform_intent_detected",
+    "new": "transform_verb_present_but_new_information_requested",
+    "empty": "empty_utterance",
+    "no_answer": "no_prior_answer_to_transform",
+    "no_state": "no_prior_state",
+    "correction": "correction_marker_detected",
+    "ellipsis": "ellipsis+topic",
+    "topic": "new_topic",
+}
 # What separates clauses.
 CLAUSE = r"\s*(?:,\s*and\s+|\s+and\s+also\s+|\s+and\s+|;\s*|\s+also\s+|\s+plus\s+|\s+as\s+well\s+as\s+|\?\s*)"
 SECOND_INTENT = r"(?:retrieve|tell me|give me|show me|get|find)\s+(?:the\s+)?cancellation\s+policy\b"
@@ -88,13 +99,13 @@ def presentation(text: Column, has_state: Column) -> Column:
 
 def _presentation(t: Column, has_state: Column) -> Column:
     made = lambda yes, reason, kind: F.struct(F.lit(yes).alias("suppressed"), reason.alias("reason"), kind.alias("transform"))
-    out = made(False, F.lit("no_transform_intent_detected"), F.lit(""))
+    out = made(False, F.lit(WHY["no_form"]), F.lit(""))
     for kind, pattern in reversed(PRESENTATION):
         found = F.lower(F.regexp_extract(t, "(?i)" + pattern, 0))
         out = F.when(t.rlike("(?i)" + pattern), made(True, F.concat(F.lit(f"{kind}: matched '"), found, F.lit("'")), F.lit(kind))).otherwise(out)
-    new = made(False, F.lit("transform_verb_present_but_new_information_requested"), F.lit(""))
+    new = made(False, F.lit(WHY["new"]), F.lit(""))
     out = let(out, lambda o: F.when(o["suppressed"] & t.rlike("(?i)" + NEW_INFORMATION), new).otherwise(o))
-    return F.when(t == "", made(False, F.lit("empty_utterance"), F.lit(""))).when(~F.coalesce(has_state, F.lit(False)), made(False, F.lit("no_prior_answer_to_transform"), F.lit(""))).otherwise(out)
+    return F.when(t == "", made(False, F.lit(WHY["empty"]), F.lit(""))).when(~F.coalesce(has_state, F.lit(False)), made(False, F.lit(WHY["no_answer"]), F.lit(""))).otherwise(out)
 
 
 def is_correction(text: Column) -> Column:
@@ -112,8 +123,8 @@ def refines(text: Column, prior: Column, claims: Column, topic: Column) -> Colum
     lexical = let(topical_terms(t), lambda new: F.size(F.array_intersect(new, old)) / F.greatest(F.size(new), F.lit(1)))
     same = t.rlike("(?i)" + ELLIPSIS) & (topic > 0.20) & (lexical >= 0.25)
     made = lambda yes, reason: F.struct(yes.alias("refine"), reason.alias("reason"))
-    topical = let(same, lambda x: made(x, F.when(x, "ellipsis+topic").otherwise("new_topic")))
-    return F.when((t == "") | (F.size(claims) <= 0) | claims.isNull(), made(F.lit(False), F.lit("no_prior_state"))).when(is_correction(t), made(F.lit(True), F.lit("correction_marker_detected"))).otherwise(topical)
+    topical = let(same, lambda x: made(x, F.when(x, WHY["ellipsis"]).otherwise(WHY["topic"])))
+    return F.when((t == "") | (F.size(claims) <= 0) | claims.isNull(), made(F.lit(False), F.lit(WHY["no_state"]))).when(is_correction(t), made(F.lit(True), F.lit(WHY["correction"]))).otherwise(topical)
 
 
 def clauses(text: Column, most: int = DEFAULT.max_sub_queries) -> Column:

@@ -26,7 +26,6 @@ from dataclasses import dataclass
 from math import lgamma, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,7 +137,10 @@ def log_odds(counts: DataFrame, n1: int, n0: int) -> dict[str, float]:
     if not beginnings:
         return kept
     word = F.regexp_replace("feature", "^=", "")
-    begins = F.arrays_overlap(F.array(*(F.substring(word, 1, n) for n in PREFIXES)), F.array(*map(F.lit, beginnings))) if len(beginnings) < 200 else F.lit(True)
+    begins = F.lit(False)
+    for n in PREFIXES:
+        if own := [b for b in beginnings if len(b) == n]:
+            begins = begins | F.substring(word, 1, n).isin(own)
     longer = (r["feature"] for r in counts.where("clean > 0").where(begins).select("feature").toLocalIterator())
     return kept | {f: 0.0 for f in longer if f not in kept and any(f.removeprefix("=")[:n] in kept for n in PREFIXES)}
 
@@ -204,7 +206,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(cell(0, 1).alias("t0"), cell(0, 0).alias("c0"), cell(1, 1).alias("t1"), cell(1, 0).alias("c1"))
 
 
-def _searched(rows: DataFrame, odds: list[dict[str, float]]) -> pd.DataFrame:
+def _searched(rows: DataFrame, odds: list[dict[str, float]]) -> dict[str, list]:
     """toxic, size, gains and scores of segments of each document, by tokens that the other half taught."""
 
     def run(batches):
@@ -219,7 +221,7 @@ def _searched(rows: DataFrame, odds: list[dict[str, float]]) -> pd.DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["toxic", "size", "n_gains", "gains", "scores"])
 
     found = rows.select("half", "toxic", "text").mapInArrow(run, "toxic int, size long, n_gains long, gains double, scores array<double>")
-    return found.toPandas().sort_values(["toxic", "size", "gains"], kind="stable")
+    return found.toArrow().to_pydict()
 
 
 def fit(rows: DataFrame) -> Model:
@@ -235,13 +237,13 @@ def fit(rows: DataFrame) -> Model:
         model = Model(log_odds(counts.select("feature", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), n1, n0))
         halves = [log_odds(counts.select("feature", F.col(f"t{h}").alias("toxic"), F.col(f"c{h}").alias("clean")), n.get((h, 1), 0), n.get((h, 0), 0)) for h in (0, 1)]
         found = _searched(own, halves)
-    clean = found[found["toxic"] == 0]
-    n_gains, gains = int(clean["n_gains"].sum()), float(clean["gains"].sum())
-    model.lam = _lambda(max(n_gains, 1) / max(int(clean["size"].sum()), 2), gains / n_gains if n_gains else TOP / 2, DRIFT)
-    best = [max(x, default=0.0) for x in clean["scores"]]
-    model.k = max(1e-6, len(clean) / max(1e-9, sum(max(1, int(m)) * np.exp(-model.lam * s) for m, s in zip(clean["size"], best, strict=True))))
-    x = np.array([model.inputs(list(s), int(m)) for s, m in zip(found["scores"], found["size"], strict=True)])
-    model.weights = _logistic(x, found["toxic"].to_numpy(float))
+    # in order, so that sums don't depend on where rows were scored
+    rows_ = sorted(zip(*(found[c] for c in ("toxic", "size", "n_gains", "gains", "scores")), strict=True))
+    clean = [r for r in rows_ if not r[0]]
+    n_gains, gains = sum(r[2] for r in clean), sum(r[3] for r in clean)
+    model.lam = _lambda(max(n_gains, 1) / max(sum(r[1] for r in clean), 2), gains / n_gains if n_gains else TOP / 2, DRIFT)
+    model.k = max(1e-6, len(clean) / max(1e-9, sum(max(1, r[1]) * np.exp(-model.lam * max(r[4], default=0.0)) for r in clean)))
+    model.weights = _logistic(np.array([model.inputs(r[4], r[1]) for r in rows_]), np.array([r[0] for r in rows_], float))
     return model
 
 
@@ -270,13 +272,15 @@ def _result(model: Model, text: str, scores: Scores) -> tuple[float, list[dict]]
 def score(text: Column, model: Model) -> Column:
     """struct<score double, passages array<struct<first_word, last_word, score>>> of a text column; null is empty."""
 
-    @F.pandas_udf("score double, passages array<struct<first_word:int,last_word:int,score:double>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    passage = pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("score", pa.float64())])
+
+    @F.arrow_udf("score double, passages array<struct<first_word:int,last_word:int,score:double>>")
+    def run(texts: pa.Array) -> pa.Array:
         scores = _SCORES.setdefault("now", Scores({}))
         if scores.odds is not model.odds and scores.odds != model.odds:
             scores = _SCORES["now"] = Scores(model.odds)
-        rows = [_result(model, t, scores) for t in texts]
-        return pd.DataFrame({"score": [p for p, _ in rows], "passages": [s for _, s in rows]})
+        rows = [_result(model, t, scores) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([p for p, _ in rows], pa.float64()), pa.array([s for _, s in rows], pa.list_(passage))], ["score", "passages"])
 
     return run(text)
 

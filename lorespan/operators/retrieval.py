@@ -215,16 +215,29 @@ def sparse_top(queries: DataFrame, index: Index, top: int | None = None, setting
         held = np.frombuffer(row["term"].as_buffer(), np.int64)
         place, tf, length = (np.frombuffer(row[c].as_buffer(), np.int32) for c in ("place", "tf", "length"))
         low, high = np.searchsorted(held, terms, "left"), np.searchsorted(held, terms, "right")
-        n = high - low
-        hit = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        if not len(hit):
-            return names, hit, hit, hit
         average = row["avg_len"].as_py() or 1.0
-        f = tf[hit].astype(float)
-        part = np.repeat(weight, n) * f * (k1 + 1.0) / (f + k1 * (1.0 - b + b * length[place[hit]] / average))
-        cell = np.repeat(own, n).astype(np.int64) * len(length) + place[hit]
-        cells, back = np.unique(cell, return_inverse=True)
-        return names, cells // len(length), cells % len(length), np.bincount(back, part)
+        below = k1 * (1.0 - b + b * length / average)
+        # as many queries at a time as meet a bounded number of postings and chunks
+        met = np.cumsum(np.bincount(own, high - low, len(names)))
+        ends = [0]
+        while ends[-1] < len(names):
+            done = met[ends[-1] - 1] if ends[-1] else 0
+            ends.append(min(max(ends[-1] + 1, int(np.searchsorted(met, done + BLOCK_TERMS, "right"))), ends[-1] + 1 + BLOCK_TERMS // max(1, len(length))))
+        out = []
+        for first, last in zip(ends, ends[1:], strict=False):
+            at = np.flatnonzero((own >= first) & (own < last))
+            n = (high - low)[at]
+            hit = np.repeat(low[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            if not len(hit):
+                continue
+            f = tf[hit].astype(float)
+            part = np.repeat(weight[at], n) * f * (k1 + 1.0) / (f + below[place[hit]])
+            scores = np.bincount(np.repeat(own[at] - first, n) * len(length) + place[hit], part)
+            cells = np.flatnonzero(scores)
+            out.append((first + cells // len(length), cells % len(length), scores[cells]))
+        if not out:
+            return names, *(np.zeros(0, int),) * 3
+        return names, *(np.concatenate(x) for x in zip(*out, strict=True))
 
     pairs = index.blocks.select("ids", "term", "place", "tf", "length").crossJoin(asked)
     return _best(pairs, score, top, queries.schema["query_id"].dataType.simpleString(), "chunk_id", "string").withColumn("source", F.lit("sparse"))
