@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import blob_ledger, cotraining, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, toxicity
+from lorespan.llm import blob_ledger, cotraining, decontam, html_density, jaccard, mixing, preference, surrogates, telephony, token_blocks, toxicity, vector_codes
 from lorespan.llm.common import cut, shared_checkpoints, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -189,6 +189,55 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{shared_checkpoints(spark)}/tokens-{uuid.uuid4().hex}"
+    token_blocks.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), 2, by_words=True)
+    return token_blocks.documents(token_blocks.segments(spark, folder), with_ids=False)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+_OP12_PARTS, _OP12_ENTRIES = vector_codes.PARTS, vector_codes.ENTRIES
+
+
+def _op12_round(n: int) -> str:
+    """One assignment of all parts to the codebooks b{n}, and the codebooks b{n + 1} after it."""
+    return f"""
+a{n} AS MATERIALIZED (
+  SELECT r, p, min([d, e]) AS m FROM (
+    SELECT x.r, x.p, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM x JOIN b{n} AS b ON b.p = x.p) GROUP BY r, p),
+c{n} AS (
+  SELECT p, e, i, sum(y) AS s, count(*) AS n FROM (
+    SELECT x.p, a.m[2] AS e, unnest(x.v) AS y, unnest(range(len(x.v))) AS i FROM x JOIN a{n} AS a ON a.r = x.r AND a.p = x.p)
+  GROUP BY p, e, i),
+b{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(any_value(c.v), any_value(b.v)) AS v FROM b{n} AS b LEFT JOIN (
+    SELECT p, e, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY i) AS v FROM c{n} GROUP BY p, e) AS c ON c.p = b.p AND c.e = b.e
+  GROUP BY b.p, b.e),"""
+
+
+OP12_SQL = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+x AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {_OP12_PARTS}) + 1:(p + 1) * (len(v) // {_OP12_PARTS})] AS v FROM k, (SELECT unnest(range({_OP12_PARTS})) AS p)),
+f AS (SELECT min([r]) AS r, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS e FROM (
+  SELECT vec_id, r, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS o FROM k) WHERE o = 1 GROUP BY vec_id),
+b0 AS MATERIALIZED (SELECT x.p, CAST(f.e AS BIGINT) AS e, x.v FROM f JOIN x ON x.r = f.r[1] WHERE f.e < {_OP12_ENTRIES}),
+{"".join(_op12_round(n) for n in range(vector_codes.ROUNDS + 1))}
+o AS (SELECT r, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a{vector_codes.ROUNDS} GROUP BY r),
+h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(v, ',') AS t FROM b{vector_codes.ROUNDS}))
+SELECT k.vec_id, o.code, o.error, CAST(sum(o.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.codebooks_sha256
+FROM k JOIN o ON o.r = k.r CROSS JOIN h
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference": op1_preference,
     "op2_blob_ledger": op2_blob_ledger,
@@ -200,6 +249,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_text_density": op9_text_density,
     "op10_mixing": op10_mixing,
+    "op11_token_blocks": op11_token_blocks,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -207,4 +258,5 @@ SQL: dict[str, str] = {
     "op2_blob_ledger": OP2_SQL,
     "op4_ngram_jaccard": OP4_SQL,
     "op7_decontamination": OP7_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
