@@ -21,6 +21,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from lorespan.llm.common import plain, small_batches
 BLOCK, PERCENTILE, SEGMENT = 128, 90, 1 << 18
 #: Bytes of texts that a Python worker gets at once.
 BATCH = 8 << 20
-#: Words whose ids a worker remembers, and the most bytes of such a word.
-MEMORY, WORD = 1 << 18, 48
+#: Words whose ids a worker remembers, characters from which on a word is asked for by itself, and the mark between others: a number, so that it is never a part of a word.
+MEMORY, WORD, MARK = 1 << 19, 64, "½"
 
 _HEAD = struct.Struct("<8sIIQ")
 _MAGIC = b"PFORIDS1"
@@ -117,52 +118,122 @@ def decode(segment: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
 
 # --- texts to ids
 
+# Classes of ASCII characters: 1 white space, 2 letters, 3 digits, 4 all others; 0 what isn't ASCII.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[:128] = 4
+_CLASS[[32, *range(9, 14)]] = 1
+_CLASS[[*range(65, 91), *range(97, 123)]] = 2
+_CLASS[48:58] = 3
+
+
+def _apart(texts: pa.Array) -> pa.Array:
+    """texts with a space wherever letters, digits and other ASCII characters meet, but for an apostrophe before a letter; A-Z in lower case, but before what isn't ASCII (it may combine with the letter)."""
+    _, off, data = texts.buffers()
+    offsets = np.frombuffer(off, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy() if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    kind = _CLASS[raw]
+    following = np.zeros(len(raw), np.uint8)
+    following[:-1] = kind[1:]
+    raw[(raw >= 65) & (raw <= 90) & (following > 0)] += 32
+    meet = np.flatnonzero((kind > 1) & (following > 1) & (kind != following) & ~((raw == 39) & (following == 2))) + 1
+    moved = offsets - offsets[0]
+    moved += np.searchsorted(meet, moved)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved.astype(np.int32)), pa.py_buffer(np.insert(raw, meet, 32)))
+
 
 class Encoder:
     """Ids of texts by a file of the tokenizers library, as encode(text, add_special_tokens=False) gives them.
 
-    by_words says that the tokenizer never joins what white space parts, and then drops the space; such a
-    one is asked once for each different word of a batch, and a bounded number of short words is
-    remembered, which gives the same ids.
+    by_words says of a tokenizer that it makes lower case, parts words from what white space, digits and
+    signs surround them, but for an apostrophe and what follows it, and drops white space. Such a one
+    is asked once for each different word of a batch, for many of them in one text with a mark between
+    them, and a bounded number of words is remembered. This gives the same ids.
     """
 
     def __init__(self, path: str, by_words: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_words, self.known = Tokenizer.from_file(path), by_words, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for a in range(0, len(texts), 1000) for e in self.tokenizer.encode_batch_fast(texts[a : a + 1000], add_special_tokens=False)]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self._ids(MARK)
+        self.by_words = by_words and len(self.mark) == 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.sizes, self.flat = [], []
+        self.n_ids = 0
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Gives each of these new words a slot."""
+        odd = [w for w in words if MARK in w or len(w) > WORD]
+        usual = [w for w in words if not (MARK in w or len(w) > WORD)]
+        for a in range(0, len(usual), 500):
+            some = usual[a : a + 500]
+            ids = np.array(self._ids(f" {MARK} ".join([*some, ""])), np.uint32)
+            cuts = np.flatnonzero(ids == self.mark[0])
+            if len(cuts) != len(some):
+                odd += some
+                continue
+            self.flat.append(np.delete(ids, cuts))
+            self.sizes.append(np.diff(cuts, prepend=-1) - 1)
+            self.slots.update(zip(some, range(len(self.slots), len(self.slots) + len(some)), strict=True))
+        for w in odd:
+            self.flat.append(np.array(self._ids(w), np.uint32))
+            self.sizes.append(np.array([len(self.flat[-1])]))
+            self.slots[w] = len(self.slots)
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's with the end id after them, and how many each has."""
-        ending = np.array([end], np.uint32)
-        if not self.by_words:
-            found = [np.r_[x, ending] for t in texts.to_pylist() for x in self._ids([t])]
-            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
-        split = pc.ascii_split_whitespace(texts)
+        found = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        special = np.zeros(len(texts), bool)
+        for content in self.special if self.by_words else []:
+            special |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            if special[at] or not self.by_words:
+                ids, counts = np.array([*self._ids(texts[at].as_py()), end], np.uint32), None
+                counts, to = np.array([len(ids)]), at + 1
+            else:
+                to = at + int(np.argmax(np.append(special[at:], True)))
+                ids, counts = self._of_words(texts[at:to], end)
+            found[0].append(ids)
+            found[1].append(counts)
+            at = to
+        return np.concatenate(found[0]), np.concatenate(found[1])
+
+    def _of_words(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.slots) > MEMORY or self.n_ids > 8 * MEMORY:
+            self._forget()
+        split = pc.ascii_split_whitespace(_apart(texts))
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        fresh = dict(zip(new, self._ids(new), strict=True))
-        each = [*(fresh[w] if w in fresh else self.known[w] for w in distinct), ending]
-        if len(self.known) + len(fresh) > MEMORY:
-            self.known = {}
-        self.known.update((w, x) for w, x in list(fresh.items())[:MEMORY] if len(w) <= WORD)
-        sizes = np.array([len(x) for x in each], np.int64)
-        flat, begin = np.concatenate(each), np.cumsum(sizes) - sizes
+        self._learn([w for w in distinct if w not in self.slots])
+        self.flat, self.sizes = [np.concatenate([np.zeros(0, np.uint32), *self.flat])], [np.concatenate([np.zeros(0, np.int64), *self.sizes])]
+        self.n_ids = len(self.flat[0])
+        flat, sizes = np.append(self.flat[0], np.uint32(end)), np.append(self.sizes[0], 1)
+        begin = np.cumsum(sizes) - sizes
+        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
         per_text = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(per_text)
-        codes = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(distinct))
+        codes = np.insert(slots[words.indices.to_numpy(zero_copy_only=False)], ends, len(sizes) - 1)
         total = np.concatenate(([0], np.cumsum(sizes[codes])))
-        after = ends + np.arange(1, len(ends) + 1)
-        counts = np.diff(total[np.concatenate(([0], after))])
+        counts = np.diff(total[np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))])
         return flat[_places(begin[codes], sizes[codes])], counts
 
 
+@cache
+def _encoder(path: str, by_words: bool) -> Encoder:
+    """The one of this worker, so that what it has learnt serves the next task, too."""
+    return Encoder(path, by_words)
+
+
 # --- tables
 
 
@@ -184,7 +255,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, *, by_words: bool =
     dealt = keyed.repartitionByRange(order, "_hash", "_row").sortWithinPartitions(order, "_hash", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, part, first = Encoder(path, by_words), TaskContext.get().partitionId(), 0
+        to_ids, part, first = _encoder(path, by_words), TaskContext.get().partitionId(), 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def closed() -> pa.RecordBatch:
