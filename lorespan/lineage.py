@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the checkpoint folder from now on: the shared one that the session names in spark.checkpoint.dir, or, in a local session that names none, one of our own. What is kept there goes with the application."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application in the shared one that the session names in spark.checkpoint.dir, or, in a local session that names none, one of our own. What is kept there goes with the application."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,4 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     folder = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from the shared folder from now on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
