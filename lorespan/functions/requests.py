@@ -67,7 +67,8 @@ def entities(text: Column) -> Column:
     proper = F.array_except(F.regexp_extract_all(t, F.lit(r"(?U)\b[A-Z][a-zA-Z]{2,}\b"), F.lit(0)), F.array(*map(F.lit, NO_NAMES)))
     names = F.transform(proper, lambda w: F.concat(F.lit("ent:"), F.lower(w)))
     low = F.lower(t)
-    slots = F.filter(F.array(*(F.when(low.rlike(rf"(?U)\b{w}\b"), f"slot:{w}") for w in SLOTS)), lambda s: s.isNotNull())
+    # no slot is a part of another one's words, so one search meets them all
+    slots = F.transform(F.regexp_extract_all(low, F.lit(rf"(?U)\b(?:{'|'.join(SLOTS)})\b"), F.lit(0)), lambda w: F.concat(F.lit("slot:"), w))
     return F.array_sort(F.array_distinct(F.concat(money, numbers, names, slots)))
 
 

@@ -1,4 +1,4 @@
-"""Cuts in long plans."""
+"""Cuts in long plans, and rows dealt out to idle cores."""
 
 from __future__ import annotations
 
@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the shared folder from now on."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows in as many partitions as there are cores, if they come in fewer; where there are enough, nothing is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

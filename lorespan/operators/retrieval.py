@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lorespan.functions.text import index_tokens, strip, term_set, tokens
 from lorespan.functions.text import singular
 from lorespan.functions.vectors import dot, encoder
-from lorespan.lineage import cut
+from lorespan.lineage import cut, spread
 from lorespan.settings import DEFAULT, Settings
 
 #: Chunks and terms of a block of the index, and queries of a block, at most (a larger chunk is a block of its own).
@@ -121,7 +121,7 @@ def build(chunks: DataFrame, settings: Settings = DEFAULT) -> Index:
     dense_text = F.concat(F.col("section"), F.lit(". "), F.col("text"))
     terms = F.transform(tokens(F.concat_ws(" ", "doc_id", "section", "text")), singular)
     vec = encoder(settings)(dense_text) if settings.use_dense else F.lit(None).cast("array<float>")
-    base = cut(chunks.select("chunk_id", terms.alias("terms"), vec.alias("vec")))
+    base = cut(spread(chunks).select("chunk_id", terms.alias("terms"), vec.alias("vec")))
     posts = base.select("chunk_id", F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "doc_len")
     stats = cut(base.agg(F.count("*").alias("n_chunks"), F.coalesce(F.avg(F.size("terms")), F.lit(0.0)).alias("avg_len")))
     frequency = base.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))

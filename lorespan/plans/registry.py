@@ -12,7 +12,7 @@ from lorespan.functions import evidence as ev
 from lorespan.functions import requests as rq
 from lorespan.functions import text as tx
 from lorespan.functions import vectors as vc
-from lorespan.lineage import cut
+from lorespan.lineage import cut, spread
 from lorespan.operators import chunking, evaluation, patching, subqueries
 from lorespan.operators import retrieval as rt
 from lorespan.plans import turns as tn
@@ -34,7 +34,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks of their own."""
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("section"), "text", F.col("source").alias("citation"))
+    return spread(_t(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("section"), "text", F.col("source").alias("citation"))
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def _micros(column: str):
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the conversations and the fixed turns."""
     own = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(SAID)], "id long, text string")
-    return _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), "text").unionByName(own)
+    return spread(_t(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), "text").unionByName(own)
 
 
 _SAID_SQL = "SELECT conv_id * 1000000 + turn AS id, text FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{t}')" for i, t in enumerate(SAID)) + ") AS v(id, text)"
@@ -164,7 +164,7 @@ def fused_evidence(spark, sf_dir):
 
 
 def doc_paragraph_chunks(spark, sf_dir):
-    return chunking.chunks(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")), delimiter="\n")
+    return chunking.chunks(spread(_t(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("raw")), delimiter="\n")
 
 
 def term_overlap(spark, sf_dir):
@@ -227,7 +227,7 @@ def request_flags(spark, sf_dir):
 
 def entity_names(spark, sf_dir):
     names = F.filter(rq.entities(F.col("text")), lambda e: e.startswith("ent:"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(names).cast("long").alias("n_names"), F.array_join(names, " ").alias("names"))
+    return spread(_t(spark, sf_dir, "documents")).select("doc_id", F.size(names).cast("long").alias("n_names"), F.array_join(names, " ").alias("names"))
 
 
 def entity_extract(spark, sf_dir):
@@ -250,7 +250,7 @@ def capacity_extract(spark, sf_dir):
 
 
 def spoken_chunks(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("turn_id"), F.col("text").alias("utterance"))
+    rows = spread(_t(spark, sf_dir, "conversations")).select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("turn_id"), F.col("text").alias("utterance"))
     return corpus.spoken(rows)
 
 
@@ -341,7 +341,7 @@ def shortened(spark, sf_dir):
 
 
 def answered_turns(spark, sf_dir):
-    index = rt.build(chunking.chunks(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")), delimiter="\n"))
+    index = rt.build(chunking.chunks(spread(_t(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("raw")), delimiter="\n"))
     own = spark.createDataFrame([(f"t{i}", f"s{i}", 0, t) for i, t in enumerate(SAID)], "turn_id string, session_id string, turn long, utterance string")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
     session = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))

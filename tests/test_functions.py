@@ -1,5 +1,6 @@
 """Column functions on tiny inputs with values worked out by hand."""
 
+import random
 import re
 
 import numpy as np
@@ -11,6 +12,7 @@ from lorespan.functions import evidence as ev
 from lorespan.functions import requests as rq
 from lorespan.functions import text as tx
 from lorespan.functions import vectors as vc
+from lorespan.lineage import spread
 from lorespan.settings import Settings
 from lorespan.streaming import controller as ct
 
@@ -167,3 +169,26 @@ def test_vectors_equal_brute_force(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", vc.encoder(Settings())("t").alias("v")).collect()
     for r in rows:
         assert r.v == pytest.approx(brute_vector(texts[r.i], 512).tolist(), abs=1e-6)
+
+
+def test_texts_of_a_batch_share_a_dictionary(monkeypatch):
+    """Whatever is encoded with a text, in one piece or many, in either hash, and whatever the worker remembers."""
+    rnd = random.Random(2)
+    texts = [None, "", "İ ẞ K 30%", "x" * 3000] + [" ".join(rnd.choice(["a", "be", "venue", "30", "é", "venues,"]) for _ in range(rnd.randrange(40))) for _ in range(60)]
+    for digest in ("blake2b", "md5"):
+        whole = vc.encode_texts(texts, 96, digest)
+        for t, v in zip(texts, whole, strict=True):
+            assert np.array_equal(vc.encode_text(t, 96, digest), v)
+            assert np.array_equal(vc.scaled(vc.summed(vc.words_in(t), 96, digest)), v)
+        monkeypatch.setattr(vc, "CHUNK", 50)
+        monkeypatch.setattr(vc, "MEMORY", 3)
+        assert np.array_equal(vc.encode_texts(texts, 96, digest), whole)
+        monkeypatch.undo()
+    assert vc.encode_texts([], 96).shape == (0, 96)
+
+
+def test_rows_are_dealt_out_only_if_cores_are_idle(spark):
+    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 9)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many) is many
+    assert sorted(r.id for r in spread(few).collect()) == list(range(100))
