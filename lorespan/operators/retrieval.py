@@ -5,6 +5,10 @@ chunks: a block has the terms and vectors of its chunks as arrays. Queries are p
 and each pair of blocks is scored by numpy; a task hands on the best of each query only, so that no
 scores of all chunks are shuffled, a common term is spread over all blocks, and the plan is the same
 for any number of queries. Every ranking has a total order ending in an id.
+
+A block knows how well its chunks can do at most: the highest frequency of each term and the least length
+among its chunks; the centre and the radius of its vectors. A task holds that against the worst of the
+best that it has found for a query so far, and doesn't score the block for a query that can't gain by it.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +29,11 @@ from lorespan.lineage import cut, spread
 from lorespan.settings import DEFAULT, Settings
 
 #: Chunks and terms of a block of the index, and queries of a block, at most (a larger chunk is a block of its own).
-BLOCK_ROWS, BLOCK_TERMS, BLOCK_QUERIES = 4096, 1 << 20, 512
-#: Scores are compared by so many digits, so that a rank doesn't depend on the order of a sum.
-DIGITS = 9
+BLOCK_ROWS, BLOCK_TERMS, BLOCK_QUERIES = 1024, 1 << 20, 512
+#: Scores are compared by so many digits, so that a rank doesn't depend on the order of a sum; a bound is held to be higher by SLACK than it is.
+DIGITS, SLACK = 9, 1e-8
+#: Vectors that others are gathered around.
+PIVOTS = 64
 
 
 @dataclass(frozen=True)
@@ -66,9 +73,10 @@ def _idf(frequency: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def pack(rows: DataFrame, key: str) -> DataFrame:
-    """Blocks of rows (key; terms: array<long> of hashed terms, repeats included, and vec: array<float>, either may be missing): ids in order, and, as bytes, the vectors, and term, place among the ids and tf of each posting, in order of term, with the length of each place.
+    """Blocks of rows (key; terms: array<long> of hashed terms, repeats included, and vec: array<float>, either may be missing): ids in order, and, as bytes, the vectors, and term, place among the ids and tf of each posting, in order of term, with the length of each place; and what bounds the scores: the highest tf and the least length for each term, the centre of the vectors (of length 1) and the greatest distance to it.
 
-    A row with a null vector gets one of zeros. Rows stay in their partitions.
+    A row with a null vector gets one of zeros. Rows stay in their partitions; if they have a column cell (see
+    gathered), a block has those of one cell.
     """
     kind = rows.schema[key].dataType.simpleString()
     with_terms, with_vec = "terms" in rows.columns, "vec" in rows.columns
@@ -88,20 +96,28 @@ def pack(rows: DataFrame, key: str) -> DataFrame:
         for at, i in enumerate(order):
             if with_vec and vectors[i] is not None:
                 matrix[at] = vectors[i]
-        parts = (terms[first], place[first].astype(np.int32), tf.astype(np.int32), size.astype(np.int32), matrix)
-        return pa.RecordBatch.from_arrays([pa.array([[ids[i] for i in order]], pa.list_(arrow)), pa.array([width], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], [x.split()[0] for x in _BLOCK.split(", ")])
+        terms, place = terms[first], place[first]
+        new = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else first
+        most, least = (np.maximum.reduceat(tf, new), np.minimum.reduceat(size[place], new)) if len(terms) else (tf, size[place])
+        units = _unit(matrix.astype(np.float64))
+        centre = units.mean(axis=0)
+        radius = float(np.sqrt(((units - centre) ** 2).sum(axis=1)).max()) if width else 0.0
+        parts = (terms, place.astype(np.int32), tf.astype(np.int32), size.astype(np.int32), matrix, terms[new], most.astype(np.int32), least.astype(np.int32), centre)
+        return pa.RecordBatch.from_arrays([pa.array([[ids[i] for i in order]], pa.list_(arrow)), pa.array([width], pa.int32()), pa.array([radius]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], [x.split()[0] for x in _BLOCK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, vectors, n = [], [], [], 0
+        ids, found, vectors, n, cell = [], [], [], 0, None
         for batch in batches:
             keys = batch.column(key).to_pylist()
+            cells = batch.column("cell").to_pylist() if "cell" in batch.schema.names else [None] * len(keys)
             own = batch.column("terms").to_pylist() if with_terms else [()] * len(keys)
             vecs = batch.column("vec").to_pylist() if with_vec else [None] * len(keys)
             for i, k in enumerate(keys):
                 t = np.array(own[i] if own[i] is not None else (), np.int64)
-                if ids and (len(ids) >= BLOCK_ROWS or n + len(t) > BLOCK_TERMS):
+                if ids and (len(ids) >= BLOCK_ROWS or n + len(t) > BLOCK_TERMS or cells[i] != cell):
                     yield packed(ids, found, vectors)
                     ids, found, vectors, n = [], [], [], 0
+                cell = cells[i]
                 ids.append(k)
                 found.append(t)
                 vectors.append(vecs[i])
@@ -109,11 +125,42 @@ def pack(rows: DataFrame, key: str) -> DataFrame:
         if ids:
             yield packed(ids, found, vectors)
 
-    names = [key, *(c for c in ("terms", "vec") if c in rows.columns)]
+    names = [key, *(c for c in ("terms", "vec", "cell") if c in rows.columns)]
     return rows.where(F.col(key).isNotNull()).select(*names).mapInArrow(run, _BLOCK.replace("ids array<string>", f"ids array<{kind}>"))
 
 
-_BLOCK = "ids array<string>, width int, term binary, place binary, tf binary, length binary, matrix binary"
+_BLOCK = "ids array<string>, width int, radius double, term binary, place binary, tf binary, length binary, matrix binary, bound_term binary, bound_tf binary, bound_length binary, centre binary"
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zeros of what has hardly any length."""
+    norm = np.linalg.norm(m, axis=1)
+    return m / np.maximum(norm, 1e-300)[:, None] * (norm >= 1e-9)[:, None]
+
+
+def gathered(rows: DataFrame, key: str, pivots: int = PIVOTS) -> DataFrame:
+    """rows (key, vec) with the column cell, dealt and ordered by it, so that pack makes blocks of vectors that are near each other.
+
+    A cell has the rows that are nearest to one of a number of vectors, those with the least hashes of
+    their keys. It takes a shuffle of the rows, in which Spark splits what is too large for a task. Cells
+    are for speed alone: any would give the same results.
+    """
+    some = rows.where("vec IS NOT NULL AND size(vec) > 0").orderBy(F.xxhash64(key), key).limit(pivots).select("vec").collect()
+    width = max((len(r["vec"]) for r in some), default=0)
+    chosen = _unit(np.array([r["vec"] for r in some if len(r["vec"]) == width], float).reshape(-1, max(width, 1)))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("vec").to_pylist()
+            there = np.array([v is not None and len(v) == width > 0 for v in vectors], bool)
+            cell = np.full(len(vectors), -1, np.int32)
+            if there.any():
+                cell[there] = (_unit(np.array([v for v, t in zip(vectors, there, strict=True) if t], float)) @ chosen.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("vec"), pa.array(cell)], [key, "vec", "cell"])
+
+    found = rows.select(key, F.col("vec").cast("array<float>").alias("vec")).mapInArrow(run, f"{key} {kind}, vec array<float>, cell int")
+    return found.hint("rebalance", "cell").sortWithinPartitions("cell", key)
 
 
 def build(chunks: DataFrame, settings: Settings = DEFAULT) -> Index:
@@ -153,7 +200,12 @@ def _asked(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def _best(pairs: DataFrame, score: Callable, top: int, id_type: str, key: str, key_type: str) -> DataFrame:
-    """query_id, key, score, rank: the top rows of each query by score, then key, over pairs of a block of queries and one of the index. score(queries, block): (ids of queries, places by row, scores by row, with None for all places)."""
+    """query_id, key, score, rank: the top rows of each query by score, then key, over pairs of a block of queries and one of the index.
+
+    score(row, floor) gives the ids of the block's queries, and places among them, places in the index's
+    block and scores of what it found. floor is, for each query, a score below which none is of use: the
+    worst of the top that the task has found so far, or the queries' own field floor, if they have one.
+    """
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
 
     def reduced(found: list[pa.Table]) -> pa.Table:
@@ -165,12 +217,22 @@ def _best(pairs: DataFrame, score: Callable, top: int, id_type: str, key: str, k
         place = np.arange(len(code)) - np.repeat(start, np.diff(np.r_[start, len(code)]))
         return rows.take(pa.array(np.flatnonzero(place < top)))
 
+    def start_of(queries: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        values = queries.values
+        given = values.field("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False) if values.type.get_field_index("floor") >= 0 else np.full(len(values), -np.inf)
+        return given, np.full((len(values), top), -np.inf)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[pa.Table]] = {}
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for i in range(len(batch)):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                names, at, places, scores = score(row)
+                slot = row["slot"].as_py()
+                if slot not in known:
+                    known[slot] = start_of(row["queries"])
+                given, best = known[slot]
+                names, at, places, scores = score(row, np.maximum(given, best.min(axis=1)))
                 if not len(at):
                     continue
                 scores = np.round(scores, DIGITS)
@@ -178,13 +240,17 @@ def _best(pairs: DataFrame, score: Callable, top: int, id_type: str, key: str, k
                 by = np.lexsort((places, -scores, at))
                 at, places, scores = at[by], places[by], scores[by]
                 start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                kept = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)])) < top
-                ids = row["ids"].values
-                part = pa.table({"query_id": pa.array([names[j] for j in at[kept]], arrow_id), key: ids.take(pa.array(places[kept])), "score": pa.array(scores[kept])})
-                own = found.setdefault(row["slot"].as_py(), [])
+                nth = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+                kept = nth < top
+                better = np.full(best.shape, -np.inf)
+                better[at[kept], nth[kept]] = scores[kept]
+                both = np.concatenate((best, better), axis=1)
+                known[slot] = given, np.partition(both, top, axis=1)[:, top:]
+                part = pa.table({"query_id": pa.array([names[j] for j in at[kept]], arrow_id), key: row["ids"].values.take(pa.array(places[kept])), "score": pa.array(scores[kept])})
+                own = found.setdefault(slot, [])
                 own.append(part)
                 if len(own) > 16:
-                    found[row["slot"].as_py()] = [reduced(own)]
+                    found[slot] = [reduced(own)]
         for own in found.values():
             yield from reduced(own).to_batches()
 
@@ -197,26 +263,67 @@ def _matrix(row: dict) -> np.ndarray:
     return np.frombuffer(row["matrix"].as_buffer(), np.float32).reshape(-1, width) if width else np.zeros((0, 0), np.float32)
 
 
-def sparse_top(queries: DataFrame, index: Index, top: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """The best of bm25 for each query, without the scores of the rest."""
+def _with_floor(queries: DataFrame, fields: list[str], blocks: DataFrame, columns: list[str], promise: Callable, score: Callable, top: int, id_type: str, key: str, key_type: str, one_row: DataFrame) -> DataFrame:
+    """queries (query_id, fields), kept, with floor: the worst of the top in the block that promises most, null where that has fewer.
+
+    promise is a score of blocks in place of rows; ties go to any. one_row's columns are added to all pairs. The blocks must be kept ones.
+    """
+    queries = cut(queries)
+    numbered = blocks.withColumn("block", F.monotonically_increasing_id())
+    rest = [c for c in columns if c != "ids"]
+    first = _best(numbered.select(F.array("block").alias("ids"), *rest).crossJoin(_asked(queries, *fields)).crossJoin(F.broadcast(one_row)), promise, 1, id_type, "block", "bigint")
+    slot = F.pmod(F.xxhash64("query_id"), F.lit(64))
+    of_block = first.select("query_id", "block").join(queries, "query_id").groupBy("block", slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct("query_id", *fields))).alias("queries"))
+    # a slot is one of a block here, as a task may see several blocks
+    met = of_block.join(numbered.select("block", *columns), "block").withColumn("slot", F.col("block") * 64 + F.col("slot"))
+    seeds = _best(met.drop("block").crossJoin(F.broadcast(one_row)), score, top, id_type, key, key_type)
+    return cut(queries.join(seeds.where(F.col("rank") == top).select("query_id", F.col("score").alias("floor")), "query_id", "left"))
+
+
+def sparse_top(queries: DataFrame, index: Index, top: int | None = None, settings: Settings = DEFAULT, *, seeded: bool = False, skipped: Accumulator | None = None) -> DataFrame:
+    """The best of bm25 for each query, without the scores of the rest. With seeded each query first meets the block that could do best (as in nearest). skipped counts the pairs of a query and a block that share terms and weren't scored, since the block could not do well enough."""
     top = top or settings.sparse_top
     k1, b = settings.k1, settings.b
     wanted = queries.select("query_id", F.explode(index_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = wanted.join(index.terms, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("term"), (F.col("qtf") * F.col("idf")).alias("weight")))).alias("terms"))
-    asked = _asked(wanted, "terms").join(F.broadcast(index.stats.select("avg_len")))  # one row
+    average = index.stats.select("avg_len")  # one row
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    columns = ["ids", "term", "place", "tf", "length", "bound_term", "bound_tf", "bound_length"]
 
-    def score(row: dict):
+    def of_queries(row: dict):
+        """Ids of the queries; of all their terms the query, the term and the weight."""
         queries_ = row["queries"].as_py()
-        names = [q["query_id"] for q in queries_]
-        size = [len(q["terms"]) for q in queries_]
-        own = np.repeat(np.arange(len(names)), size)
-        terms = np.array([t["term"] for q in queries_ for t in q["terms"]], np.int64)
-        weight = np.array([t["weight"] for q in queries_ for t in q["terms"]], float)
+        own = np.repeat(np.arange(len(queries_)), [len(q["terms"]) for q in queries_])
+        terms = [t for q in queries_ for t in q["terms"]]
+        return [q["query_id"] for q in queries_], own, np.array([t["term"] for t in terms], np.int64), np.array([t["weight"] for t in terms], float)
+
+    def bounds(row: dict, n: int, own: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The most that a chunk of the block could have, were it the one of all highest frequencies and the least length."""
+        kinds, most, least = (np.frombuffer(row[f"bound_{c}"].as_buffer(), t) for c, t in (("term", np.int64), ("tf", np.int32), ("length", np.int32)))
+        kind = np.minimum(np.searchsorted(kinds, terms), max(len(kinds) - 1, 0))
+        there = kinds[kind] == terms if len(kinds) else np.zeros(len(terms), bool)
+        part = np.zeros(len(terms))
+        f = most[kind[there]].astype(float)
+        part[there] = weight[there] * f * (k1 + 1.0) / (f + k1 * (1.0 - b + b * least[kind[there]] / (row["avg_len"].as_py() or 1.0)))
+        return np.bincount(own, part, n)
+
+    def promise(row: dict, floor: np.ndarray):
+        names, *asked_ = of_queries(row)
+        every = np.arange(len(names))
+        return names, every, np.zeros(len(names), int), bounds(row, len(names), *asked_)
+
+    def score(row: dict, floor: np.ndarray):
+        names, own, terms, weight = of_queries(row)
         held = np.frombuffer(row["term"].as_buffer(), np.int64)
         place, tf, length = (np.frombuffer(row[c].as_buffer(), np.int32) for c in ("place", "tf", "length"))
         low, high = np.searchsorted(held, terms, "left"), np.searchsorted(held, terms, "right")
         average = row["avg_len"].as_py() or 1.0
         below = k1 * (1.0 - b + b * length / average)
+        bound = bounds(row, len(names), own, terms, weight)
+        useless = (bound > 0) & (bound + SLACK < floor)
+        if skipped is not None:
+            skipped.add(int(useless.sum()))
+        high = np.where(useless[own], low, high)
         # as many queries at a time as meet a bounded number of postings and chunks
         met = np.cumsum(np.bincount(own, high - low, len(names)))
         ends = [0]
@@ -239,35 +346,63 @@ def sparse_top(queries: DataFrame, index: Index, top: int | None = None, setting
             return names, *(np.zeros(0, int),) * 3
         return names, *(np.concatenate(x) for x in zip(*out, strict=True))
 
-    pairs = index.blocks.select("ids", "term", "place", "tf", "length").crossJoin(asked)
-    return _best(pairs, score, top, queries.schema["query_id"].dataType.simpleString(), "chunk_id", "string").withColumn("source", F.lit("sparse"))
+    fields = ["terms"]
+    if seeded:
+        wanted, fields = _with_floor(wanted, fields, index.blocks, columns, promise, score, top, id_type, "chunk_id", "string", average), ["terms", "floor"]
+    pairs = index.blocks.select(*columns).crossJoin(_asked(wanted, *fields).join(F.broadcast(average)))
+    return _best(pairs, score, top, id_type, "chunk_id", "string").withColumn("source", F.lit("sparse"))
 
 
-def nearest(queries: DataFrame, blocks: DataFrame, top: int, key: str = "chunk_id") -> DataFrame:
-    """query_id, key, score, rank: the top cosines of queries (query_id, vec) with the vectors in blocks of key (see pack), ties by key; null vectors of queries have none."""
-    key_type = blocks.schema["ids"].dataType.elementType.simpleString()
-    asked = _asked(queries.where("vec is not null"), "vec")
+def nearest(queries: DataFrame, blocks: DataFrame, top: int, key: str = "chunk_id", *, seeded: bool = False, skipped: Accumulator | None = None) -> DataFrame:
+    """query_id, key, score, rank: the top cosines of queries (query_id, vec) with the vectors in blocks of key (see pack), ties by key; null vectors of queries have none.
 
-    def score(row: dict):
+    A block is left out for a query if, by the triangle inequality, none of its vectors can reach the worst
+    of the top so far. With seeded each query first meets the block with the nearest centre, and begins
+    with what that gives; it pays where blocks have vectors that are near each other (see gathered), and
+    blocks must be kept ones. skipped counts pairs of a query and a block that weren't scored.
+    """
+    id_type, key_type = queries.schema["query_id"].dataType.simpleString(), blocks.schema["ids"].dataType.elementType.simpleString()
+    queries = queries.where("vec is not null").select("query_id", "vec")
+
+    def of_queries(row: dict) -> tuple[list, np.ndarray]:
         found = row["queries"].values
-        names = found.field("query_id").to_pylist()
-        vectors = found.field("vec")
-        x = _matrix(row).astype(np.float64)
-        q = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
-        if not len(x):
-            return names, np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None] * (np.linalg.norm(m, axis=1) >= 1e-9)[:, None]
-        s = np.round(unit(q) @ unit(x).T, DIGITS)
+        vectors = found.field("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return found.field("query_id").to_pylist(), _unit(vectors.reshape(len(found), -1))
+
+    def score(row: dict, floor: np.ndarray):
+        names, q = of_queries(row)
+        x, centre = _matrix(row).astype(np.float64), np.frombuffer(row["centre"].as_buffer(), np.float64)
+        if not row["width"].as_py():  # no row of the block has a vector
+            x, centre = np.zeros((len(row["ids"].values), q.shape[1])), np.zeros(q.shape[1])
+        near = np.maximum(0, np.sqrt(((q - centre) ** 2).sum(axis=1)) - row["radius"].as_py())
+        # vectors of length 1: cosine = 1 - distance^2 / 2; one of zeros has the cosine 0 with all
+        bound = np.where(q.any(axis=1), np.maximum(0, 1 - near**2 / 2), 0)
+        asked_ = np.flatnonzero(bound + SLACK >= floor)
+        if skipped is not None:
+            skipped.add(len(names) - len(asked_))
+        if not len(asked_):
+            return names, asked_, asked_, np.zeros(0)
+        s = np.round(q[asked_] @ _unit(x).T, DIGITS)
         k = min(top, s.shape[1])
         least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
         # of those that tie with the last of the best, the first by key
         more, same = s > least, s == least
         keep = more | same & (np.cumsum(same, axis=1) <= k - more.sum(axis=1)[:, None])
         at, places = np.nonzero(keep)
-        return names, at, places, s[at, places]
-
-    pairs = blocks.select("ids", "width", "matrix").crossJoin(asked)
-    return _best(pairs, score, top, queries.schema["query_id"].dataType.simpleString(), key, key_type)
+        return names, asked_[at], places, s[at, places]
+
+    def to_centre(row: dict, floor: np.ndarray):
+        names, q = of_queries(row)
+        every = np.arange(len(names))
+        return names, every, np.zeros(len(names), int), q @ np.frombuffer(row["centre"].as_buffer(), np.float64)
+
+    columns = ["ids", "width", "matrix", "centre", "radius"]
+    fields = ["vec"]
+    if seeded:
+        nothing = blocks.sparkSession.range(1).select()
+        queries, fields = _with_floor(queries, fields, blocks.where("width > 0"), columns, to_centre, score, top, id_type, key, key_type, nothing), ["vec", "floor"]
+    pairs = blocks.select(*columns).crossJoin(_asked(queries, *fields))
+    return _best(pairs, score, top, id_type, key, key_type)
 
 
 def dense_top(queries: DataFrame, index: Index, top: int | None = None, settings: Settings = DEFAULT) -> DataFrame:

@@ -203,7 +203,8 @@ u AS (SELECT query_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY query_id)) AS v
 
 def dense_knn_topk(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    found = rt.nearest(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), rt.pack(rows, "vec_id"), 10, "vec_id")
+    blocks = cut(rt.pack(rt.gathered(rows, "vec_id"), "vec_id"))
+    found = rt.nearest(rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), blocks, 10, "vec_id", seeded=True)
     return found.select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
