@@ -3,10 +3,11 @@
     python -m jobs.corpus_refresh --config jobs/corpus_refresh.json --documents IN --output OUT --checkpoint DIR
 
 IN is a folder (or file) of Parquet with doc_id, text and lang; files that are added later are taken by
-the next run. OUT has two tables. `versions` says which batch brought a document's text last, by its
-SHA-256; `chunks` has the chunks that each batch made. Both are partitioned by batch (chunks by language,
+the next run. OUT has three tables. `versions` says which batch brought a document's text last, by its
+SHA-256; `chunks` has the chunks that each batch made, `encoded` their terms and vectors, so that an index
+(`index`) is put together without reading an old text again. All are partitioned by batch (chunks by language,
 too) and written by dynamic partition overwrite, so a batch that failed and runs again replaces what it had
-written. A batch's versions are written after its chunks and only chunks of a known version count
+written. A batch's versions are written last and only chunks of a document's last version count
 (`current`), so a half-written batch is never seen. OUT and DIR belong together.
 """
 
@@ -16,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import log, main, stored
-from lorespan.operators import chunking
+from lorespan.operators import chunking, retrieval
 from lorespan.settings import DEFAULT, Settings
 
 PATHS = {"documents": "folder or file of Parquet with documents", "output": "folder of the tables versions and chunks", "checkpoint": "folder of the stream's checkpoint"}
 VERSIONS = "doc_id string, digest string, batch long"
+ENCODED = "chunk_id string, doc_id string, terms array<string>, vec array<float>, batch long"
 CHUNKS = "chunk_id string, doc_id string, section string, text string, citation string, batch long, lang string"
 
 
@@ -37,8 +39,19 @@ def current(spark: SparkSession, output: str) -> DataFrame:
     return rows.join(latest(spark, output).select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").select("chunk_id", "doc_id", "section", "text", "citation", "lang")
 
 
+def index(spark: SparkSession, output: str) -> retrieval.Index:
+    """The search index of current(spark, output), of the terms and vectors that were stored with each batch."""
+    base = stored(spark, f"{output}/encoded", ENCODED).join(latest(spark, output).select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
+    return retrieval.assemble(current(spark, output), base.select("chunk_id", "terms", "vec"))
+
+
+def put(rows: DataFrame, path: str, *by: str) -> None:
+    """Writes rows into the partitions that they belong to, in place of what those hold."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def take(docs: DataFrame, output: str, batch: int, settings: Settings, delimiter: str) -> dict:
-    """Writes the chunks and versions of a batch of documents, and says how many it read and wrote."""
+    """Writes chunks, what an index has of them, and versions of a batch of documents, and says how many it read and wrote."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
     # of several texts of one document in a batch, the greatest counts; equal ones meet in the map tasks
@@ -47,25 +60,27 @@ def take(docs: DataFrame, output: str, batch: int, settings: Settings, delimiter
     known = latest(spark, output, batch).select("doc_id", F.col("digest").alias("_known"))
     changed = one.join(known, "doc_id", "left").where(~F.col("digest").eqNullSafe(F.col("_known"))).withColumn("batch", F.lit(batch).cast("long")).persist()
     try:
-        cut = chunking.chunks(changed, settings, delimiter, keep=("batch", "lang"))
         # tasks are dealt by document, not by language, so a frequent language is written by many of them
-        cut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "lang").parquet(f"{output}/chunks")
-        changed.select("doc_id", "digest", "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{output}/versions")
+        put(chunking.chunks(changed, settings, delimiter, keep=("batch", "lang")), f"{output}/chunks", "batch", "lang")
+        new = stored(spark, f"{output}/chunks", CHUNKS).where(F.col("batch") == batch)
+        put(retrieval.encoded(new, settings, keep=("doc_id", "batch")), f"{output}/encoded", "batch")
+        put(changed.select("doc_id", "digest", "batch"), f"{output}/versions", "batch")
         read = rows.agg(F.count("*").alias("read"), F.count_if(F.col("doc_id").isNull()).alias("without_id")).first().asDict()
-        return {"batch": batch, **read, "changed": changed.count(), "chunks": stored(spark, f"{output}/chunks", CHUNKS).where(F.col("batch") == batch).count()}
+        return {"batch": batch, **read, "changed": changed.count(), "chunks": new.count()}
     finally:
         changed.unpersist()
 
 
-def refresh(spark: SparkSession, documents: str, output: str, checkpoint: str, *, chunk_words: int = DEFAULT.chunk_words, min_chunk_words: int = DEFAULT.min_chunk_words, delimiter: str = chunking.BLANK_LINE, files_per_batch: int = 64) -> dict:
+def refresh(spark: SparkSession, documents: str, output: str, checkpoint: str, *, chunk_words: int = DEFAULT.chunk_words, min_chunk_words: int = DEFAULT.min_chunk_words, delimiter: str = chunking.BLANK_LINE, vectors: bool = True, digest: str = "blake2b", files_per_batch: int = 64) -> dict:
     """Chunks the documents of files that came since the last run, and ends; returns how many it read and wrote.
 
     Files are taken files_per_batch at a time, each once: the stream's checkpoint is the mark. A
     document whose text is as before makes no chunks; one with another text makes a new version, which
     replaces the chunks of the old one, even by none. Rows without doc_id are counted and left out;
-    a null text is an empty one. A run without new files writes nothing.
+    a null text is an empty one. A run without new files writes nothing. vectors and digest say which
+    vectors are stored for the index; all runs into one output must agree on the options.
     """
-    settings = Settings(chunk_words=chunk_words, min_chunk_words=min_chunk_words)
+    settings = Settings(chunk_words=chunk_words, min_chunk_words=min_chunk_words, use_dense=vectors, digest=digest)
     done: list[dict] = []
 
     def each(batch: DataFrame, number: int) -> None:

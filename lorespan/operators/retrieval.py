@@ -163,12 +163,16 @@ def gathered(rows: DataFrame, key: str, pivots: int = PIVOTS) -> DataFrame:
     return found.hint("rebalance", "cell").sortWithinPartitions("cell", key)
 
 
-def build(chunks: DataFrame, settings: Settings = DEFAULT) -> Index:
-    """The index of chunks, kept in the checkpoint folder: chunks are read, split into terms and, unless vectors aren't used, encoded once."""
+def encoded(chunks: DataFrame, settings: Settings = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, terms (repeats included) and vec (null if vectors aren't used) of chunks, and their columns that keep names: what an index has of a chunk, whatever the others are."""
     dense_text = F.concat(F.col("section"), F.lit(". "), F.col("text"))
     terms = F.transform(tokens(F.concat_ws(" ", "doc_id", "section", "text")), singular)
     vec = encoder(settings)(dense_text) if settings.use_dense else F.lit(None).cast("array<float>")
-    base = cut(spread(chunks).select("chunk_id", terms.alias("terms"), vec.alias("vec")))
+    return spread(chunks).select("chunk_id", *keep, terms.alias("terms"), vec.alias("vec"))
+
+
+def assemble(chunks: DataFrame, base: DataFrame) -> Index:
+    """The index of chunks, of what `encoded` made of them; base is read several times. Statistics and blocks are kept in the checkpoint folder."""
     posts = base.select("chunk_id", F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "doc_len")
     stats = cut(base.agg(F.count("*").alias("n_chunks"), F.coalesce(F.avg(F.size("terms")), F.lit(0.0)).alias("avg_len")))
     frequency = base.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -176,6 +180,11 @@ def build(chunks: DataFrame, settings: Settings = DEFAULT) -> Index:
     return Index(chunks, posts, cut(_idf(frequency, stats)), stats, base.select("chunk_id", "vec"), cut(blocks))
 
 
+def build(chunks: DataFrame, settings: Settings = DEFAULT) -> Index:
+    """The index of chunks, kept in the checkpoint folder: chunks are read, split into terms and, unless vectors aren't used, encoded once."""
+    return assemble(chunks, cut(encoded(chunks, settings)))
+
+
 def ranked(scores: DataFrame, by: list[str], key: str, top: int, score: str = "score") -> DataFrame:
     """The top rows of each group by score, then key, with rank from 1."""
     order = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(key))

@@ -1,6 +1,7 @@
 """The two jobs: runs over growing copies, failures between writes, reruns, edge cases, the command line."""
 
 import json
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jobs import corpus_refresh, turn_evidence
 from jobs.common import main, stored
-from lorespan.operators import chunking
+from lorespan.operators import chunking, retrieval
 
 DOCS = "doc_id long, text string, lang string, source string"
 FEW = {"min_chunk_words": 1, "chunk_words": 4, "delimiter": "\n"}
@@ -86,6 +87,25 @@ def test_a_batch_is_the_same_if_it_runs_twice(spark, places):
     assert now(spark, places) == [("1#c1", "z", None), ("2#c1", "c", None)]
 
 
+def test_an_index_of_stored_batches_equals_one_made_anew(spark, places):
+    """After documents are added, changed, emptied and left as they are, in several runs."""
+    rnd = random.Random(4)
+    text = lambda: "\n".join(" ".join(rnd.choice(["venue", "fees", "pune", "parking", "menu", "30"]) for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(4)))
+    queries = spark.createDataFrame([(1, "venue fee"), (2, "parking in pune"), (3, "menu menu 30")], "query_id long, text string")
+    for _ in range(3):
+        add(spark, places, *((i, text()) for i in rnd.sample(range(25), 12)))
+        corpus_refresh.refresh(spark, **places, **FEW)
+    kept, new = corpus_refresh.index(spark, places["output"]), retrieval.build(corpus_refresh.current(spark, places["output"]))
+    for part in ("terms", "stats", "postings", "vectors"):
+        assert sorted(map(str, getattr(kept, part).collect())) == sorted(map(str, getattr(new, part).collect())), part
+    found = [sorted(map(str, retrieval.search(queries, x).collect())) for x in (kept, new)]
+    assert found[0] == found[1] and len(found[0]) > 5
+    # what an earlier run stored isn't made again
+    encoded = stored(spark, f"{places['output']}/encoded", corpus_refresh.ENCODED)
+    assert {r["batch"] for r in encoded.select("batch").distinct().collect()} == {0, 1, 2}
+    assert encoded.count() == stored(spark, f"{places['output']}/chunks", corpus_refresh.CHUNKS).count()
+
+
 def test_no_documents(spark, places):
     spark.createDataFrame([], DOCS).write.parquet(places["documents"])
     corpus_refresh.refresh(spark, **places)
