@@ -1,6 +1,7 @@
 """Speech to answers: look-ups while people speak, messages of sessions, streams, run logs."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from lorespan.operators import chunking, evaluation
 from lorespan.operators import retrieval as rt
 from lorespan.plans import live, telemetry
 from lorespan.plans import turns as tn
-from lorespan.settings import DEFAULT
+from lorespan.settings import DEFAULT, Settings
 from lorespan.sources import corpus
 from lorespan.streaming import controller as ct
 from tests.test_engine import BOTH, FOOD, HALLS
@@ -111,6 +112,46 @@ def test_a_stream_of_messages_is_answered(spark, index, tmp_path):
     assert {r.session_id: r.answer_version for r in live.latest_states(spark, folder).collect()} == {"b": 1}
 
 
+def test_a_batch_reads_a_whole_and_the_batches_since(spark, index, tmp_path, monkeypatch):
+    """Five batches, in which turns go on over several; what lies before the last whole may be gone, and a batch may run twice."""
+    folder = tmp_path / "out"
+    rows = [*said("a", 0, BOTH), *said("b", 0, "what is the parking like near the river"), *said("a", 20, "actually make it 50 people"), *said("c", 0, "catering for events is ordered a week ahead"), ("b", 40, 9.0, "reset", None, False, 0.0), *said("b", 50, "make it shorter"), *said("d", 0, "never ends in this")[:-1]]
+    answers, states, decided = live.answer_live(spark.createDataFrame(rows, MESSAGES), index)
+    part = F.when(F.col("session_id").isin("a", "b"), F.when(F.col("seq") < 2, 0).when(F.col("seq") < 20, 1).when(F.col("seq") < 22, 2).otherwise(4)).otherwise(F.when(F.col("seq") < 1, 1).otherwise(3))
+    decided = decided.withColumn("part", part).cache()
+    read, plain = [], live._batches
+    monkeypatch.setattr(live, "_batches", lambda spark, folder, name, schema, numbers: read.append((name, list(numbers))) or plain(spark, folder, name, schema, numbers))
+    for n in range(5):
+        del read[:]
+        if n == 4:
+            for name in ("decisions", "states"):
+                for gone in (0, 1):
+                    shutil.rmtree(folder / name / f"batch={gone}")
+        for _ in range(2 if n == 3 else 1):
+            live.take(decided.where(F.col("part") == n).drop("part"), n, index, str(folder), now=None, every=2)
+        assert all(len(numbers) <= 2 for _, numbers in read)
+    assert ("open", [2]) in read and ("decisions", [3]) in read
+    key = lambda r: (r.turn_id, r.kind, r.answer, r.answer_version)
+    got = spark.read.parquet(f"{folder}/answers/batch=*")
+    assert sorted(map(key, got.collect())) == sorted(map(key, answers.collect()))
+    opened = {(r.session_id, r.turn_id) for r in spark.read.parquet(f"{folder}/open/batch=4").collect()}
+    assert opened == {("d", 1)}
+    held = lambda df: {r.session_id: (r.answer_version, r.n_turns) for r in df.collect()}
+    assert held(spark.read.parquet(f"{folder}/all_states/batch=4")) == held(states)
+
+
+def test_sessions_that_say_nothing_are_forgotten(spark, index, tmp_path):
+    folder, live_s = str(tmp_path / "out"), Settings().session_ttl_s
+    decided = ct.live_turns(spark.createDataFrame([*said("a", 0, BOTH), *said("b", 0, "what is the parking like near the river")[:-1]], MESSAGES))
+    later = ct.live_turns(spark.createDataFrame(said("c", 0, "catering for events"), MESSAGES))
+    live.take(decided, 0, index, folder, now=1000.0, every=1)
+    live.take(decided.limit(0), 1, index, folder, now=1001.0, every=1)
+    assert {r.session_id for r in spark.read.parquet(f"{folder}/all_states/batch=1").collect()} == {"a"}
+    live.take(later, 2, index, folder, now=1001.0 + live_s, every=1)
+    assert {r.session_id for r in spark.read.parquet(f"{folder}/all_states/batch=2").collect()} == {"c"}
+    assert {r.session_id for r in spark.read.parquet(f"{folder}/open/batch=1").collect()} == {"b"} and spark.read.parquet(f"{folder}/open/batch=2").isEmpty()
+
+
 def test_a_controller_that_waits_answers_later(spark):
     said_ = corpus.spoken(spark.createDataFrame([("s", 1, BOTH), ("s", 2, "what is the parking like near the river bank")], "session_id string, turn_id long, utterance string"))
     got = {r["mode"]: r for r in evaluation.controller_arms(said_).collect()}
