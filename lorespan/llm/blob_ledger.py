@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.functions.text import let
 from lorespan.llm.common import cut, perhaps, plain, shared_checkpoints
 
 _SPANS = "array<struct<start:long,end:long>>"
@@ -47,21 +48,42 @@ RULES = (
 )
 
 
+def in_parts(items: Column) -> Column:
+    """Items of an array in order, as an array of about as many arrays as each has items.
+
+    A fold that appends to an array copies it at each step; done part by part, it takes time in
+    proportion to the items and the root of their number, not to their square.
+    """
+    root = lambda x: F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
+    starts = lambda x, n: F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1, n)).otherwise(F.array().cast("array<int>"))
+    return let(items, lambda x: let(root(x), lambda n: F.transform(starts(x, n), lambda i: F.slice(x, i + 1, n))))
+
+
+def before_parts(parts: Column, of_part, join) -> Column:
+    """For each part, join of of_part (a long) of those before it; 0 for the first."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    return F.aggregate(F.transform(parts, of_part), zero, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end>> of the rule's matches in text."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    pieces = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
+    gaps = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p))
+    found = let(whole, lambda w: F.zip_with(gaps, F.transform(F.arrays_zip(w.alias("w"), (part if rule.group else w).alias("p")), lambda m: F.struct(F.length(m["w"]).alias("n"), (F.length(m["p"]) >= rule.least).alias("kept"))), lambda gap, m: F.struct(gap.alias("gap"), m["n"].alias("n"), m["kept"].alias("kept"))))
+    steps = F.filter(found, lambda x: x["n"].isNotNull())  # the piece after the last match is no gap
+
+    def located(rows: Column, start: Column) -> Column:
+        def add(acc, x):
+            begin = acc["at"] + x["gap"]
+            end = begin + x["n"]
+            return F.struct(end.alias("at"), F.when(x["kept"], F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        kept = F.length(x["part"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(rows, F.struct(start.alias("at"), F.array().cast(_SPANS).alias("out")), add)["out"]
 
-    return F.when(text.rlike(rule.hint), F.aggregate(steps, zero, add)["out"]).otherwise(F.array().cast(_SPANS))
+    length = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + x["n"])
+    every = let(in_parts(steps), lambda parts: F.flatten(F.zip_with(parts, before_parts(parts, length, lambda a, b: a + b), located)))
+    return F.when(text.rlike(rule.hint), every).otherwise(F.array().cast(_SPANS))
 
 
 def blob(text: Column) -> Column:
@@ -105,14 +127,16 @@ def findings(versions: DataFrame, rules=RULES, ledger: DataFrame | None = None)
     kind = F.split("rule", "@")[0]
     named = every.where(F.col("rule").isin([r.name for r in rules])).where(F.size("found") > 0).select("blob", number.alias("no"), kind.alias("kind"), "found")
     named = named.select("blob", F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.col("no").alias("no"), x["end"].alias("end"), F.col("kind").alias("kind"))).alias("spans"))
-    return new, cut(named.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")))
+    # equal ones follow each other in order; array_distinct would compare each with all
+    once = lambda x: F.filter(x, lambda y, i: (i == 0) | (y != F.get(x, i - 1)))
+    return new, cut(named.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).select("blob", let(F.col("spans"), once).alias("spans")))
 
 
 def scan_paths(versions: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
     """path, blob, spans of each row of versions (path, text).
 
     A null text is an empty one, with no spans. Repeated rows come back as often. A null path is a
-    path like others. Texts may be of any length. Columns beside path and text are left aside. An
+    path like others. Texts may be of any length, and hold any number of matches. Columns beside path and text are left aside. An
     empty table gives an empty one.
     """
     _, found = findings(versions, rules, ledger)
@@ -127,16 +151,28 @@ def listed(spans_: Column) -> Column:
 
 
 def redacted(text: Column, spans_: Column) -> Column:
-    """The text with each span (overlapping ones together) replaced by [kind]."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with each span (overlapping ones together) replaced by [kind]. Spans are sorted."""
+    kept = "array<struct<at:long,start:long,kind:string>>"
+
+    def apart(rows: Column, start: Column) -> Column:
+        """Of a part of the spans those that don't begin inside what comes before, with the end of that."""
+
+        def add(acc, x):
+            fresh = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x["start"].alias("start"), x["kind"].alias("kind"))))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(rows, F.struct(start.alias("at"), F.array().cast(kept).alias("out")), add)["out"]
 
-    def add(acc, x):
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        fresh = F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def shown(rows: Column) -> Column:
+        """The pieces of text before the spans of a part, and what stands for these; cut out of the part's own text, so that no piece is looked for from the text's start."""
+        first, last = rows[0]["at"], F.element_at(rows, -1)["start"]
+        piece = lambda own, x: F.concat(F.substring(own, (x["at"] - first + 1).cast("int"), (x["start"] - x["at"]).cast("int")), F.lit("["), x["kind"], F.lit("]"))
+        return let(F.substring(text, (first + 1).cast("int"), (last - first).cast("int")), lambda own: F.array_join(F.transform(rows, lambda x: piece(own, x)), ""))
 
-    end = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.aggregate(spans_, zero, add, end)
+    most = lambda rows: F.array_max(F.transform(rows, lambda x: x["end"]))
+    alone = let(in_parts(spans_), lambda parts: F.flatten(F.zip_with(parts, before_parts(parts, most, F.greatest), apart)))
+    tail = F.substring(text, (F.coalesce(most(spans_), F.lit(0)) + 1).cast("int"), F.length(text))
+    return F.concat(let(in_parts(alone), lambda parts: F.array_join(F.transform(parts, shown), "")), tail)
 
 
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:

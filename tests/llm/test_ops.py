@@ -7,6 +7,7 @@ import ipaddress
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -296,6 +297,41 @@ def test_secrets_edge_cases(spark):
     assert blob_ledger.scan_paths(rows.limit(0)).count() == 0 and blob_ledger.scan(rows.limit(0)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """Spans and replacements take time in proportion to the matches, not to their square."""
+    n = 100_000
+    parts = [f"é {i * 7919:016x}" if i % 3 else f"ok {i:04x} AKIA{'Q' * 16}" for i in range(n)]
+    docs = docs_of(spark, ["\n".join(parts), "x" * 50])
+    began = time.monotonic()
+    got = {r.path: r.spans for r in blob_ledger.scan_paths(docs.select(F.col("doc_id").alias("path"), "text")).collect()}
+    assert time.monotonic() - began < 20
+    text = "\n".join(parts)
+    want = [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]{16,}", text)] + [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]{14,}", text)]
+    assert [(x.start, x.end, x.kind) for x in got[0]] == sorted(want) and got[1] == []
+    began = time.monotonic()
+    new = {r.doc_id: r.text for r in blob_ledger.redact(docs).collect()}
+    assert time.monotonic() - began < 20
+    assert new == {0: re.sub("[0-9a-f]{16,}", "[hex]", re.sub("AKIA[A-Z0-9]{14,}", "[access]", text)), 1: "x" * 50}
+
+
+def test_spans_that_overlap_are_replaced_together(spark):
+    """Against a fold over code points, for any number of spans."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        text = "".join(rnd.choice("aé😀 ") for _ in range(rnd.randrange(0, 60)))
+        spans = sorted({(a, k, rnd.randrange(a + 1, len(text) + 1)) for k in range(2) for a in rnd.sample(range(len(text)), min(len(text), rnd.randrange(9)))})
+        rows.append((i, text, [{"start": a, "no": k, "end": b, "kind": f"k{k}"} for a, k, b in spans]))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:long,no:int,end:long,kind:string>>")
+    for r in df.withColumn("new", blob_ledger.redacted(F.col("text"), F.col("spans"))).collect():
+        at, out = 0, ""
+        for x in r.spans:
+            if x.start >= at:
+                out += r.text[at : x.start] + f"[{x.kind}]"
+            at = max(at, x.end)
+        assert r.new == out + r.text[at:]
+
+
 def test_redaction(spark):
     rows = blob_ledger.redact(docs_of(spark, SECRETS))
     assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars"]
