@@ -119,24 +119,34 @@ def without_repeats(stream: DataFrame, at: str, late: str = "10 minutes") -> Dat
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(["session_id", "turn_id", "seq"])
 
 
-def write_events(events: DataFrame, folder: str) -> None:
-    """Run logs: JSON lines by session."""
-    events.write.mode("append").partitionBy("session_id").json(folder)
-
-
-def fan_out(stream: DataFrame, sinks: list, checkpoint: str):
-    """Starts a stream that hands each micro-batch to all sinks (functions of a DataFrame). A sink that fails is logged and left out for the rest of this run; a new run tries all again."""
+def write_events(events: DataFrame, folder: str, batch: int | None = None) -> None:
+    """Run logs: JSON lines by session. With the number of a stream's batch they are put in place of what an earlier try of it wrote; without, beside all others."""
+    if batch is None:
+        events.write.mode("append").partitionBy("session_id").json(folder)
+        return
+    numbered = events.withColumn("batch", F.lit(batch))
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "session_id").json(folder)
+
+
+def fan_out(stream: DataFrame, sinks: list, checkpoint: str, interval: str | None = None):
+    """Starts a stream that hands each micro-batch and its number to all sinks. A sink that fails is logged and left out for the rest of this run; a new run tries all again.
+
+    A batch can come again, with its number, after a failure; a sink that must have it once puts it in place of
+    the first (as write_events does). With an interval ("2 seconds") the stream goes on until it is
+    stopped; without, it ends with what is there.
+    """
     alive = list(sinks)
 
     def each(batch: DataFrame, number: int) -> None:
         for sink in list(alive):
             try:
-                sink(batch)
+                sink(batch, number)
             except Exception:  # a reader that went away must not stop the others
                 _LOG.exception("a sink failed on batch %d and gets no more of this run", number)
                 alive.remove(sink)
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def events_of(events: DataFrame, name: str) -> DataFrame:

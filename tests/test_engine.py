@@ -278,7 +278,7 @@ def test_sessions(spark, tmp_path):
     df.coalesce(1).write.json(str(tmp_path / "in"))
     stream = sessions.session_stream(spark.readStream.schema(df.schema).json(str(tmp_path / "in")), expire=False)
     seen = []
-    corpus.fan_out(stream, [lambda b: 1 / 0, lambda b: seen.extend(b.collect())], str(tmp_path / "mark")).awaitTermination(120)
+    corpus.fan_out(stream, [lambda b, n: 1 / 0, lambda b, n: seen.extend(b.collect())], str(tmp_path / "mark")).awaitTermination(120)
     assert sorted((r.session_id, r.version) for r in seen) == [("a", 1), ("a", 2), ("b", 1), ("c", 0), ("c", 1)]
 
 
@@ -286,6 +286,10 @@ def test_events(spark, tmp_path):
     rows = spark.createDataFrame([("s", "r", 1.23456, "q")], "session_id string, run_id string, t double, query string")
     events = corpus.event_rows(rows, "retrieval_started", F.col("t"), "query")
     corpus.write_events(events, str(tmp_path))
+    for _ in range(2):  # a batch that runs again leaves each event once
+        corpus.write_events(events, str(tmp_path / "numbered"), 3)
+    corpus.write_events(events.limit(1), str(tmp_path / "numbered"), 4)
+    assert spark.read.json(str(tmp_path / "numbered")).groupBy("batch").count().orderBy("batch").collect() == [(3, events.count()), (4, 1)]
     got = spark.read.json(str(tmp_path))
     assert corpus.events_of(got, "retrieval_started").first().timestamp_s == 1.2346 and corpus.events_of(got, "x").count() == 0
     (tmp_path / "q.jsonl").write_text('{"id": "a"}\n\n{"id": "b"}\n')
