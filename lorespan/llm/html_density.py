@@ -10,11 +10,15 @@ node's density sum adds up its children's densities. The node with the largest s
 least density on its path to the body is the threshold below which other nodes count as noise. The
 content is the largest-sum node of each subtree above the threshold, and of it all but parts that
 are marked as something else (navigation, adverts, forms, comments and the like). Where the text with
-the largest sum stands in paragraphs, others without any aren't of it, however dense.
+the largest sum stands in paragraphs, others without any aren't of it, however dense. The title and
+headings right before the content belong to it, and so do columns beside it whose paragraphs are like its own.
 
 A mark is an element or a role of that meaning, or a class or id all of whose words say so ("ad",
-"cookie-notice", "post-comments", but not "promo-free" or "alert-fatigue"). What holds most of a page's
-open text isn't taken for something else by such a name.
+"cookie-notice", "post-comments", but not "promo-free" or "alert-fatigue"). A form or such a name doesn't
+count for what holds most of a page's open text, unless an article stands outside it (a wrapper isn't a
+sidebar, but a sidebar longer than its article is). Comments are comments however long they are, but for
+what holds the page's h1 or main. Lists of teasers (a heading, then headings that all link elsewhere) are
+marked, too, unless they are most of the page.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ BLOCK = frozenset(
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select option button textarea input datalist".split())
 CLOSES = {"p": frozenset(BLOCK - {"br", "option", "optgroup"}), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 #: Elements, roles, and words in class or id names that mark what is no article.
-ASIDE = frozenset("nav aside footer form menu dialog search fieldset".split())
+ASIDE = frozenset("nav aside footer menu dialog search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MARKS = frozenset(
     "ad ads adbox adbanner advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus"
@@ -47,8 +51,12 @@ MARKS = frozenset(
     " share sharing sidebar sidenav skip social sponsor sponsored subscribe subscription toolbar topbar widget login signup alert"
     " toc pagination pager bottombar siteheader sitefooter pageheader pagefooter".split()
 )
+REMARKS = frozenset("comment comments commentlist disqus replies respond".split())
+READERS = frozenset("reader readers user users visitor visitors".split())
+ANSWERS = frozenset("reaction reactions response responses opinions voices letters discussion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that go with marks in names, and elements that hold text.
-BESIDE = frozenset("box wrap wrapper container inner outer section list item area block bar panel top bottom left right links buttons posts articles post article site page global main form slot unit zone user number".split())
+BESIDE = frozenset("box wrap wrapper container inner outer section list item area block bar panel top bottom left right links buttons posts articles post article site page global main form slot unit zone user number body text thread".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption summary".split())
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
@@ -59,7 +67,9 @@ class Node:
     tag: str
     parent: Node | None = None
     marked: bool = False
-    named: bool = False  # marked by a name only
+    named: bool = False  # marked by a name only, or a form
+    remark: bool = False  # readers' comments by name
+    away: bool = False  # a link to elsewhere
     block: Node | None = None  # the nearest element that breaks a line or is silent, itself included
     parts: list = field(default_factory=list)  # texts and nodes in order
     chars: int = 0
@@ -69,14 +79,27 @@ class Node:
     blocks: int = 0  # blocks in it, line breaks aside
     open: int = 0  # characters outside of marked elements
     written: int = 0  # characters in paragraphs and the like
+    titles: int = 0  # h1 and main with text in it
+    heads: int = 0  # other headings with text
+    leads: int = 0  # those all of whose text links elsewhere
+    lead_first: bool | None = None  # whether the first heading does
+    away_chars: int = 0  # characters that link elsewhere
     density: float = 0.0
     total: float = 0.0
 
 
-def _says_so(name: str) -> bool:
+def _words(attrs: dict[str, str | None]) -> list[list[str]]:
+    """The words of each class and id."""
+    return [_NAME.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", x).lower()) for value in (attrs.get("class"), attrs.get("id")) for x in (value or "").split()]
+
+
+def _readers(words: list[str]) -> bool:
+    return any(w in READERS for w in words) and any(w in ANSWERS for w in words) and all(w in READERS or w in ANSWERS or w in BESIDE for w in words)
+
+
+def _says_so(words: list[str]) -> bool:
     """Whether all words of a class or id, one of them at least a mark, say that it is no article text."""
-    words = _NAME.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower())
-    return any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words)
+    return _readers(words) or any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words)
 
 
 def marked(tag: str, attrs: dict[str, str | None], parent: Node) -> bool:
@@ -94,10 +117,17 @@ def marked(tag: str, attrs: dict[str, str | None], parent: Node) -> bool:
 
 
 def named(tag: str, attrs: dict[str, str | None]) -> bool:
-    """Whether an element's class or id says that it is no article text."""
+    """Whether an element's class or id says that it is no article text; a form is none either, unless it wraps the page."""
     if tag in ("body", "html", "article", "main"):
         return False
-    return any(_says_so(x) for value in (attrs.get("class"), attrs.get("id")) for x in (value or "").split())
+    return tag == "form" or any(map(_says_so, _words(attrs)))
+
+
+def remark(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Whether an element's class or id says that readers wrote it; an article can be such a comment."""
+    if tag in ("body", "html", "main"):
+        return False
+    return any(_readers(w) or _says_so(w) and any(x in REMARKS for x in w) for w in _words(attrs))
 
 
 class Tree(HTMLParser):
@@ -133,7 +163,8 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def _new(self, tag: str, attrs: dict) -> Node:
-        node = Node(tag, self.at, marked(tag, attrs, self.at), named(tag, attrs))
+        node = Node(tag, self.at, marked(tag, attrs, self.at), named(tag, attrs), remark(tag, attrs))
+        node.away = tag == "a" and not (attrs.get("href") or "#").strip().startswith("#")
         node.block = node if tag in BLOCK or tag in SILENT else self.at.block
         self.at.parts.append(node)
         return node
@@ -170,6 +201,7 @@ def measure(root: Node) -> list[Node]:
             continue
         for x in node.parts:
             if isinstance(x, Node):
+                x.marked |= x.remark and not x.titles
                 if x.tag not in SILENT:
                     node.blocks += x.blocks + (x.tag in BLOCK and x.tag != "br")
                     node.chars += x.chars
@@ -178,12 +210,22 @@ def measure(root: Node) -> list[Node]:
                     node.tags += x.tags + 1
                     node.link_chars += x.link_chars
                     node.link_tags += x.link_tags + (x.tag == "a")
+                    node.away_chars += x.away_chars
+                    if not x.marked:
+                        head = x.tag in HEADINGS and x.tag != "h1" and x.chars > 0
+                        node.titles += x.titles + (x.tag in ("h1", "main") and x.chars > 0)
+                        node.heads += x.heads + head
+                        lead = head and x.away_chars == x.chars
+                        node.leads += x.leads + lead
+                        if node.lead_first is None:
+                            node.lead_first = lead if head else x.lead_first
             else:
                 n = len(_SPACE.sub(" ", x).strip())
                 node.chars += n
                 node.open += n
         if node.tag == "a":
             node.link_chars = node.chars
+            node.away_chars = node.chars if node.away else 0
     return order
 
 
@@ -223,19 +265,70 @@ def _whole(node: Node) -> Node:
     return node
 
 
+def _opened(body: Node, within: bool = False) -> list[Node]:
+    """The nodes in neither a marked nor, if not within, a named one; parents first, in page order."""
+    out, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.marked and (within or not x.named))
+    return out
+
+
+def _unname(order: list[Node], body: Node) -> None:
+    """Marks what a name says is something else, but for what holds most of the page and has no article beside it."""
+    free = _opened(body)
+    text = any(n.tag in PARAGRAPHS and n.tag not in HEADINGS and n.open > n.link_chars for n in free)
+    article = text and any(n.tag in ("article", "main", "h1") and n.open for n in free)
+    for node in order:
+        node.marked |= node.named and (article or 2 * node.open <= body.open)
+
+
+def _teasers(body: Node) -> None:
+    """Marks lists of teasers: blocks in which all headings, but for the first at most, link elsewhere; and such blocks side by side."""
+    for node in _opened(body, True):
+        beside = [x for x in node.parts if isinstance(x, Node) and not x.marked and x.tag in BLOCK and x.chars]
+        cards = set()
+        for x in beside:
+            if x.titles or x.tag in HEADINGS or not x.leads or 2 * x.open > body.open:
+                continue
+            if x.heads == x.leads or x.leads > 1 and x.heads == x.leads + 1 and not x.lead_first:
+                cards.add(x)
+        if sum(x.leads for x in cards) > 1 and 2 * sum(x.open for x in cards) <= body.open:
+            for x, after in zip(beside, [*beside[1:], None], strict=True):
+                x.marked |= x in cards or x.tag in HEADINGS and x.tag != "h1" and after in cards
+
+
+def _titles(chosen: set[Node], path: list[Node]) -> None:
+    """Adds the page's title and the headings right before what is chosen: of the blocks beside the path, the last h1 before it, if nothing chosen has one, and headings next to a chosen block."""
+    titled = any(n.titles or n.tag == "h1" for n in chosen)
+    for around, inner in zip(path[1:], path, strict=False):
+        blocks = [x for x in around.parts if isinstance(x, Node) and not x.marked and x.chars and (x.tag in BLOCK or x is inner)]
+        for x, after in reversed(list(zip(blocks, blocks[1:], strict=False))):
+            if x.tag in HEADINGS and x.tag != "h1" and x.link_chars < x.chars and (after in chosen or after is inner):
+                chosen.add(x)
+        before = blocks[: next((i for i, x in enumerate(blocks) if x is inner), 0)]
+        title = next((x for x in reversed(before) if x.tag == "h1" and x.link_chars < x.chars), None)
+        if title and not titled:
+            titled = True
+            chosen.add(title)
+
+
+def _like(node: Node, best: Node) -> bool:
+    """Whether node is text in paragraphs at least half as long as those of best, with next to no links."""
+    if 2 * node.written <= node.chars or 5 * node.link_chars > node.chars or best.tag in PARAGRAPHS:
+        return False
+    return 2 * node.chars * max(1, best.tags) >= best.chars * max(1, node.tags)
+
+
 def content(root: Node, body: Node) -> list[Node]:
     """The nodes that hold the article, in page order: the one with the largest density sum and, of each subtree outside it that is as dense as its path, the one with that subtree's largest sum."""
     order = measure(root)
-    for node in order:
-        node.marked |= node.named and 2 * node.open <= body.open
+    _unname(order, body)
+    _teasers(body)
     weigh(order, body)
     # what is marked, or in something marked, is no candidate
-    open_ = [body]
-    candidates: list[Node] = []
-    while open_:
-        node = open_.pop()
-        candidates.append(node)
-        open_.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.marked)
+    candidates = _opened(body, True)
     best = max(candidates, key=lambda n: n.total)
     articles = {n for n in candidates if n.tag in ("article", "main") and n.chars}
     around = _within(best, articles)
@@ -282,6 +375,17 @@ def content(root: Node, body: Node) -> list[Node]:
             chosen.add(_whole(peak[node]))
         if node not in chosen:
             open_.extend(x for x in node.parts if isinstance(x, Node) and not x.marked)
+    if best is not body:
+        # columns: blocks beside the densest one whose paragraphs are like its own
+        held: set[Node] = set()
+        for n in chosen:
+            while n is not None and n not in held:
+                held.add(n)
+                n = n.parent
+        for x in best.parent.parts if best.parent else ():
+            if isinstance(x, Node) and x.tag == best.tag and not x.marked and x.chars and x not in held and _like(x, best):
+                chosen.add(x)
+        _titles(chosen, _path(best))
     return [n for n in order if n in chosen]
 
 

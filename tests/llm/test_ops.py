@@ -856,6 +856,77 @@ def test_densities_equal_brute_force():
     assert seen > 300
 
 
+def numbers_of(page):
+    return re.findall(r"[A-Z]\d", html_density.main_text(f"<body>{page}</body>"))
+
+
+def test_form_around_the_page_and_comments_longer_than_the_article():
+    nav = "<nav><ul><li><a href=x>M1</a></li></ul></nav>"
+    assert numbers_of(f'<form id="aspnetForm">{nav}<div>{LONG.format("A1")}{LONG.format("A2")}</div><footer>F1</footer></form>') == ["A1", "A2"]
+    assert numbers_of(f'<div>{LONG.format("A1")}</div><form><p>X1</p></form>') == ["A1"]
+    title, many = "<h1>T1</h1>" + LONG.format("A1"), "".join(LONG.format(f"C{i}") for i in range(8))
+    for page in (
+        f'<article>{title}<section class="comments">{many}</section></article>',
+        f'<article>{title}</article><section class="comments"><article class="comment">{many}</article></section>',
+        f'<div>{title}<div id="comments">{many}</div></div>',
+        f'<article>{title}<div class="reader-reactions">{many}</div><p class="gdpr-text">X1</p></article>',
+        f'<div>{title}</div><div class="sidebar">{many}</div>',
+        f'<div class="sidebar">{many}</div><article>{title}</article>',
+    ):
+        assert numbers_of(page) == ["T1", "A1"]
+
+
+def test_teasers_beside_and_in_the_article():
+    text = "<h1>T1</h1>" + "".join(LONG.format(f"A{i}") for i in range(4))
+    cards = [f'<h3><a href="/{i}">X{i}</a></h3><p>some words of another story Y{i}</p>' for i in range(3)]
+    want = ["T1", "A0", "A1", "A2", "A3"]
+    for teasers in ("".join(cards), "".join(f"<div>{x}</div>" for x in cards)):
+        assert numbers_of(f"<div>{text}</div><div><h2>N1</h2>{teasers}</div>") == want
+        assert numbers_of(f"<div>{text}<div><h2>N1</h2>{teasers}</div></div>") == want
+        assert numbers_of(f"<article>{text}<section><h2>N1</h2>{teasers}</section></article>") == want
+        assert numbers_of(teasers) == ["X0", "Y0", "X1", "Y1", "X2", "Y2"]  # a page of nothing else
+    sections = "".join(f'<section><h2><a href="#s{i}">S{i}</a></h2>{LONG.format(f"A{i}")}</section>' for i in range(3))
+    assert numbers_of(f"<article>{sections}</article>") == ["S0", "A0", "S1", "A1", "S2", "A2"]  # anchors of the page itself
+
+
+def test_titles_before_lists_and_columns():
+    points = "<ul>" + "".join(f"<li>many words of an entry in a list that is an article L{i}</li>" for i in range(6)) + "</ul>"
+    want = ["T1", *(f"L{i}" for i in range(6))]
+    assert numbers_of(f"<h1>Title T1</h1>{points}") == numbers_of(f"<div><h1>Title T1</h1>{points}</div><div>foot F1</div>") == want
+    first, second = "".join(LONG.format(f"A{i}") for i in range(4)), "<p>" + "many words of a text that goes on and on without any link, " * 4 + "B1</p>"
+    assert numbers_of(f"<h1>T1</h1><div>{first}</div><div>{second}</div>") == ["T1", "A0", "A1", "A2", "A3", "B1"]
+    assert numbers_of(f"<div>{second}</div><div>{first}</div>") == ["B1", "A0", "A1", "A2", "A3"]
+
+
+def test_content_of_random_pages():
+    """What is chosen: the largest sum by counting anew, nothing marked, nothing twice, in page order."""
+    rng = random.Random(31)
+    for _ in range(150):
+        tree = html_density.Tree()
+        names = ("", ' class="comments"', ' class="ad"', ' class="sidebar"', "", "")
+        tree.feed("<body>" + "".join(f"<div{rng.choice(names)}>{rng.choice(['', '<h1>title</h1>', '<h3><a href=x>lead</a></h3>'])}{random_tree(rng)}{random_tree(rng)}</div>" for _ in range(5)) + "</body>")
+        tree.close()
+        chosen = html_density.content(tree.root, tree.body)
+        order, stack = [], [tree.root]
+        while stack:
+            order.append(stack.pop())
+            stack.extend(x for x in reversed(order[-1].parts) if isinstance(x, html_density.Node))
+        around = {n: list(iter_up(n)) for n in order}
+        free = [n for n in order if not any(a.marked for a in around[n]) and tree.body in around[n]]
+        assert chosen == [n for n in order if n in chosen] and all(n in free for n in chosen)
+        assert not any(a in chosen for n in chosen for a in around[n][1:])
+        sums = {n: sum(x.density for x in n.parts if isinstance(x, html_density.Node) and not x.marked) for n in free}
+        top = max(sums.values())
+        if top > 0:  # a node of the largest sum, or one around it, is chosen
+            assert any(set(around[n]) & set(chosen) for n in free if sums[n] == top)
+
+
+def iter_up(node):
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def test_html_edge_cases(spark):
     rows = spark.createDataFrame([("a", None, "<p>" + "long text " * 200_000), (None, "u", "<<<>&#x;&bad;</p></div>"), ("b", "u", "<body></body>")], "page_id string, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: r for r in html_density.extract(rows).collect()}
