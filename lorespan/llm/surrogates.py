@@ -25,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.llm.blob_ledger import in_parts
 from lorespan.llm.common import Scratch, cut, perhaps, plain, shared_checkpoints
 
 # Forms of address by gender, in the languages that are known here.
@@ -104,19 +105,37 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def folded(items: Column, start: Column, add, kind: str) -> Column:
+    """What a fold over items puts out: add(at, x) is (the next at, what x puts out: an array of kind). start, at: long.
+
+    A fold that appends to one array copies it at each step; this one appends part by part.
+    """
+    empty, whole = _none(kind), F.array().cast(f"array<array<{kind}>>")
+
+    def step(acc, x):
+        at, out = add(acc["at"], x)
+        return F.struct(at.cast("long").alias("at"), F.concat(acc["out"], out.cast(f"array<{kind}>")).alias("out"))
+
+    def part(acc, rows):
+        done = F.aggregate(rows, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    return F.flatten(F.aggregate(in_parts(items), F.struct(start.cast("long").alias("at"), whole.alias("out")), part)["out"])
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, surface>> of the matches of pattern."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    zero = F.struct(F.lit(0).cast("long").alias("at"), _none("struct<start:long,end:long,surface:string>").alias("out"))
+    kind = "struct<start:long,end:long,surface:string>"
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
+    def add(at, x):
+        start = at + F.length(x["gap"])
         end = start + F.length(x["whole"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("surface")))).alias("out"))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["whole"].alias("surface")))
 
     def placed(whole):
         steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"))
-        return F.when(F.size(whole) == 0, zero["out"]).otherwise(F.aggregate(steps, zero, add)["out"])
+        return F.when(F.size(whole) == 0, _none(kind)).otherwise(folded(steps, F.lit(0), add, kind))
 
     return _let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
 
@@ -150,11 +169,11 @@ def formed(text: Column) -> Column:
     """Mentions of all kinds but names, in order; of overlapping ones the first, then the longest stays."""
     numbered = lambda no: lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(no).alias("no"), x["surface"].alias("surface"))
     every = [F.transform(located(text, pattern), numbered(no)) for no, (_, pattern) in enumerate(FORMS)]
-    zero = F.struct(F.lit(0).cast("long").alias("at"), _none("struct<start:long,back:long,no:int,surface:string>").alias("out"))
+    kept = "struct<start:long,back:long,no:int,surface:string>"
 
-    def keep(acc, x):
-        free = x["start"] >= acc["at"]
-        return F.struct(F.when(free, -x["back"]).otherwise(acc["at"]).alias("at"), F.when(free, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+    def keep(at, x):
+        free = x["start"] >= at
+        return F.when(free, -x["back"]).otherwise(at), F.when(free, F.array(x)).otherwise(_none(kept))
 
     def mention(x):
         kind, canon = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -165,7 +184,7 @@ def formed(text: Column) -> Column:
 
     # a phone has 8 to 15 digits; an abbreviated IPv6 address has a digit and at most seven groups
     real = lambda x: F.when(x["no"] == 1, F.length(_digits(x["surface"])).between(8, 15)).when(x["no"] == 7, x["surface"].rlike(r"\d") & (F.size(F.filter(F.split(x["surface"], ":"), lambda g: g != "")) <= 8)).otherwise(True)
-    found = F.transform(F.aggregate(F.array_sort(F.filter(F.concat(*every), real)), zero, keep)["out"], mention)
+    found = F.transform(folded(F.array_sort(F.filter(F.concat(*every), real)), F.lit(0), keep, kept), mention)
     return F.when(text.rlike(_HINT), found).otherwise(_none(_MENTION))
 
 
@@ -180,7 +199,7 @@ def _one_of(words) -> Column:
 
 def runs(text: Column) -> Column:
     """array<struct<introduced, words: array<struct<at, word, title, dot, gender>>>>: words in capitals that follow each other. gender: that of a form of address or a common given name, n of other titles, else null."""
-    zero = lambda x: F.struct(x["start"].alias("at"), _none("struct<at:long,word:string,title:boolean,dot:boolean,gender:string>").alias("out"))
+    kind = "struct<at:long,word:string,title:boolean,dot:boolean,gender:string>"
 
     def word(at, w):
         bare = _bare(w)
@@ -188,8 +207,8 @@ def runs(text: Column) -> Column:
         gender = F.when(F.array_contains(_one_of((*FEMALE, *GIVEN_FEMALE)), bare), "f").when(F.array_contains(_one_of((*MALE, *GIVEN_MALE)), bare), "m").when(title, "n")
         return F.struct(at.alias("at"), bare.alias("word"), title.alias("title"), w.endswith(".").alias("dot"), gender.alias("gender"))
 
-    add = lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(word(acc["at"], w))).alias("out"))
-    words = lambda x: F.aggregate(F.split(x["surface"], " "), zero(x), add)["out"]
+    add = lambda at, w: (at + F.length(w) + 1, F.array(word(at, w)))
+    words = lambda x: folded(F.split(x["surface"], " "), x["start"], add, kind)
     plain_ = F.transform(located(text, _RUN), lambda x: F.struct(F.lit(False).alias("introduced"), words(x).alias("words")))
 
     def after(x):
@@ -400,10 +419,19 @@ def written(kind: Column, surface: Column, surrogate_: Column) -> Column:
 
 def replace(text: Column, edits: Column) -> Column:
     """The text with spans of edits (array<struct<start, end, new>>, in order, apart) replaced."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    gap = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
-    add = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(gap(acc["at"], x["start"]), x["new"])).alias("out"))
-    return F.aggregate(edits, zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+    def shown(rows):
+        """The pieces of text before the edits of a part, and what replaces these; cut out of the part's own text, so that no piece is looked for from the text's start."""
+        first, last = rows[0]["at"], F.element_at(rows, -1)["start"]
+        piece = lambda own, x: F.concat(F.substring(own, (x["at"] - first + 1).cast("int"), (x["start"] - x["at"]).cast("int")), x["new"])
+        return _let(F.substring(text, (first + 1).cast("int"), (last - first).cast("int")), lambda own: F.array_join(F.transform(rows, lambda x: piece(own, x)), ""))
+
+    def made(x):
+        end = lambda i: F.coalesce(F.get(x, i)["end"], F.lit(0)).cast("long")
+        steps = F.transform(x, lambda e, i: F.struct(end(i - 1).alias("at"), e["start"].alias("start"), e["new"].alias("new")))
+        return F.concat(F.array_join(F.transform(in_parts(steps), shown), ""), F.substring(text, (end(F.size(x) - 1) + 1).cast("int"), F.length(text)))
+
+    return _let(edits, made)
 
 
 _NAME_ROW = ("doc_id", "hash", "start", "end", "kind", "gender", "canon", "surface")
