@@ -303,7 +303,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component_id is the least doc_id that links reach, its own included. A null text is an empty
     one; an empty set links with nothing. Repeated rows come back as often. Rows of one doc_id with
     different texts count as one document with respect to links. A row without doc_id links with
-    nothing and has no component_id. An empty table gives an empty one.
+    nothing and has no component_id. doc_id must be an integer, or cast to one that fits 64 bits, else
+    it is an error. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)

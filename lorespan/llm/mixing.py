@@ -122,7 +122,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
     A null or blank text has no words and takes none; a null source is a source of its own, the last
     in order. Repeated rows are rows like others. A source without words has target 0. An empty table
-    gives an empty one. The same rows get the same copies in any order and partitioning.
+    gives an empty one. The same rows get the same copies in any order and partitioning. What is left of
+    a rate after whole copies is settled by the hash of doc_id, so rows that share a doc_id, those
+    without any among them, are copied together: a source of few doc_ids may miss its target.
     """
     sizes, goals = plan(plain(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size")), weights, share, most)
     out = sizes.join(beside(goals.withColumnRenamed("source", "source_")), F.col("source").eqNullSafe(F.col("source_")))

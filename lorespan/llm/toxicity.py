@@ -252,7 +252,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of at most `sample` labelled rows of either label, the first by hash; held-out rows are never among them. Of several labels of a document the highest counts, of several texts the least."""
+    """A model of at most `sample` labelled rows of either label, the first by hash; held-out rows are never among them. Of several labels of a document the highest counts, of several texts the least. doc_id must be an integer, or cast to one that fits 64 bits."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id", F.lit("sample")), "doc_id")
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample))
