@@ -18,7 +18,11 @@ RULE_SIGNS = (
 POLICY_WORDS = ("policy", "rules", "fee", "charge", "notice")
 POLICY_FOCUS = "policy policies cancellation cancel venue rules fee fees charge charges notice standard event events reschedule".split()
 _SEATS = r"(?i)([A-Z][A-Za-z0-9&' -]+?)\s+(?:seats|accommodates?)\s+(\d+)(\s+people\b)?([^.]*\.)"
-_SEATS_OPEN = r"(?i)([A-Z][A-Za-z0-9&' -]+?)\s+(?:seats|accommodates?)\s+(\d+)(?:\s+people\b)?"
+# The same matches as of ([A-Z][A-Za-z0-9&' -]+?)\s+(?:seats|accommodates?)\s+(\d+)..., each looked for once in a run of
+# the characters of names: if none begins at the run's first letter, none does at a later one. White space
+# is never given back, since what follows it begins with none.
+_NAMED = r"(?i)(?:(?<![A-Za-z0-9&' -])|\G)[0-9&' -]*+([A-Z](?:[A-Za-z0-9&' -]|[A-Za-z0-9&' -]+?(?<! )))\s++(?:seats|accommodates?)\s++"
+_SEATS_ONCE, _SEATS_OPEN = _NAMED + r"(\d++)(\s++people\b)?+([^.]*+\.)", _NAMED + r"(\d++)(?:\s++people\b)?+"
 
 
 def _has_any(text: Column, words) -> Column:
@@ -81,8 +85,8 @@ def _first_of_equals(items: Column) -> Column:
 
 def capacity_sentences(text: Column, required: Column) -> Column:
     """Statements that a place seats the number required, or more."""
-    groups = [F.regexp_extract_all(text, F.lit(_SEATS), F.lit(g)) for g in (1, 2, 3, 4)]
-    found = F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("name", "seats", "people", "tail"), strict=True)))
+    whole = F.regexp_extract_all(text, F.lit(_SEATS_ONCE), F.lit(0))
+    found = F.transform(whole, lambda m: F.struct(*(F.regexp_extract(m, _SEATS_ONCE, g).alias(n) for g, n in enumerate(("name", "seats", "people", "tail"), 1))))
     kept = F.filter(found, lambda x: F.coalesce(x["seats"].try_cast("long") >= required, F.lit(False)))
     return F.transform(kept, lambda x: F.concat(strip(x["name"]), F.lit(" seats "), x["seats"].try_cast("long").cast("string"), F.when(x["people"] != "", " people").otherwise(""), x["tail"]))
 

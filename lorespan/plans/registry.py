@@ -245,7 +245,7 @@ def near_dup_greedy(spark, sf_dir):
 
 
 def capacity_extract(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" Lake Hall seats 40 people at most. ")).alias("text"))
+    rows = spread(_t(spark, sf_dir, "documents")).select("doc_id", F.concat("text", F.lit(" Lake Hall seats 40 people at most. ")).alias("text"))
     made = ev.capacity_claim(F.lit("a venue for 30 people"), F.array(F.struct(F.col("doc_id").alias("chunk_id"), "text")))
     return rows.select("doc_id", made["text"].alias("claim"))
 
