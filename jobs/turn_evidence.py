@@ -38,6 +38,9 @@ def user_turns(conversations: DataFrame) -> DataFrame:
 def look_up(turns: DataFrame, documents: DataFrame, settings: Settings, per_query: int, top: int) -> DataFrame:
     """conv_id, turn, n_sub_queries, rank, doc_id, score, route of turns (user_turns)."""
     routed = turns.withColumn("route", F.when(rq.presentation(F.col("text"), F.col("answered"))["suppressed"], "suppressed").otherwise("searched"))
+    # a number of partitions that is asked for isn't lowered for rows that are few but take long
+    cores = max(turns.sparkSession.sparkContext.defaultParallelism, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    routed = routed.repartition(cores, "conv_id", "turn")
     asked = subqueries.decompose(routed.where("route = 'searched'").withColumnRenamed("text", "utterance"), settings)
     key = F.struct("conv_id", "turn")
     asked = cut(asked.select(F.to_json(key).alias("turn_id"), "conv_id", "turn", "sub_queries"))
