@@ -18,10 +18,12 @@ order, while no task sees more than a range, and no row is longer than a segment
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,22 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _bits(values: np.ndarray, w: int) -> np.ndarray:
+    """The lowest w bits of each value of rows (n, block) of uint32, one after another, the lowest first."""
+    kind = "<u2" if w <= 16 else "<u4"
+    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8)
+    bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(*values.shape, -1)[:, :, :w]
+    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+
+
+def _values(packed: np.ndarray, block: int, w: int) -> np.ndarray:
+    """The rows of which _bits made packed."""
+    kind, whole = ("<u2", 16) if w <= 16 else ("<u4", 32)
+    bits = np.zeros((len(packed), block, whole), np.uint8)
+    bits[:, :, :w] = np.unpackbits(packed, axis=1, count=block * w, bitorder="little").reshape(len(packed), block, w)
+    return np.packbits(bits.reshape(len(packed), -1), axis=1, bitorder="little").view(kind)
+
+
 def encode(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     """The bytes of a segment. ids are below 2**32; there may be none."""
     ids = np.asarray(ids, np.uint32)
@@ -76,8 +94,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
     for w in np.unique(width[width > 0]).tolist():
         these = np.flatnonzero(width == w)
         for some in np.array_split(these, -(-len(these) // 512)):
-            bits = (rows[some][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8)
-            data[starts[some][:, None] + np.arange(packed[some[0]])] = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
+            data[starts[some][:, None] + np.arange(packed[some[0]])] = _bits(rows[some], w)
     first = np.cumsum(many) - many
     nth = np.arange(len(outlier)) - first[outlier]
     where = starts[outlier] + packed[outlier]
@@ -106,8 +123,7 @@ def decode(segment: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     for w in np.unique(width[width > 0]).tolist():
         these = np.flatnonzero(width == w)
         for some in np.array_split(these, -(-len(these) // 512)):
-            bits = np.unpackbits(data[starts[some][:, None] + np.arange(packed[some[0]])], axis=1, count=block * w, bitorder="little").reshape(len(some), block, w)
-            rows[some] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            rows[some] = _values(data[starts[some][:, None] + np.arange(packed[some[0]])], block, w)
     outlier = np.repeat(np.arange(b - a), many)
     place = data[_places(starts + packed, 2 * many)].view("<u2")
     above = data[_places(starts + packed + 2 * many, 4 * many)].view("<u4")
@@ -124,6 +140,8 @@ _CLASS[:128] = 4
 _CLASS[[32, *range(9, 14)]] = 1
 _CLASS[[*range(65, 91), *range(97, 123)]] = 2
 _CLASS[48:58] = 3
+# Words of small letters that no normal form joins or parts, and no lower case changes.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 def _apart(texts: pa.Array) -> pa.Array:
@@ -145,9 +163,11 @@ class Encoder:
     """Ids of texts by a file of the tokenizers library, as encode(text, add_special_tokens=False) gives them.
 
     by_words says of a tokenizer that it makes lower case, parts words from what white space, digits and
-    signs surround them, but for an apostrophe and what follows it, and drops white space. Such a one
-    is asked once for each different word of a batch, for many of them in one text with a mark between
-    them, and a bounded number of words is remembered. This gives the same ids.
+    signs surround them, but for an apostrophe and what follows it, drops white space, and hands its
+    model a word of small Latin letters as a whole, each letter spelt as it is by itself. Such a one is
+    asked once for each different word of a batch: its model alone for words of these letters, the whole
+    of it for many others in one text with a mark between them, and a bounded number of words is
+    remembered. This gives the same ids.
     """
 
     def __init__(self, path: str, by_words: bool) -> None:
@@ -160,6 +180,8 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self._ids(MARK)
         self.by_words = by_words and len(self.mark) == 1
+        pieces = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in map(chr, range(256)) if _LETTERS.fullmatch(c)} if by_words else {}
+        self.spelt = {ord(c): "".join(p for p, _ in found) for c, found in pieces.items()}
         self._forget()
 
     def _forget(self) -> None:
@@ -172,8 +194,14 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Gives each of these new words a slot."""
-        odd = [w for w in words if MARK in w or len(w) > WORD]
-        usual = [w for w in words if not (MARK in w or len(w) > WORD)]
+        letters = list(filter(_LETTERS.fullmatch, words))
+        ids = [[t.id for t in found] for found in map(self.tokenizer.model.tokenize, [w if w.isascii() else w.translate(self.spelt) for w in letters])]
+        self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.slots.update(zip(letters, range(len(self.slots), len(self.slots) + len(letters)), strict=True))
+        rest = [w for w in words if not _LETTERS.fullmatch(w)]
+        odd = [w for w in rest if MARK in w or len(w) > WORD]
+        usual = [w for w in rest if not (MARK in w or len(w) > WORD)]
         for a in range(0, len(usual), 500):
             some = usual[a : a + 500]
             ids = np.array(self._ids(f" {MARK} ".join([*some, ""])), np.uint32)
@@ -213,19 +241,19 @@ class Encoder:
             self._forget()
         split = pc.ascii_split_whitespace(_apart(texts))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._learn([w for w in distinct if w not in self.slots])
         self.flat, self.sizes = [np.concatenate([np.zeros(0, np.uint32), *self.flat])], [np.concatenate([np.zeros(0, np.int64), *self.sizes])]
         self.n_ids = len(self.flat[0])
         flat, sizes = np.append(self.flat[0], np.uint32(end)), np.append(self.sizes[0], 1)
-        begin = np.cumsum(sizes) - sizes
-        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
+        known = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int32, len(distinct))
         per_text = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(per_text)
         codes = np.insert(slots[words.indices.to_numpy(zero_copy_only=False)], ends, len(sizes) - 1)
-        total = np.concatenate(([0], np.cumsum(sizes[codes])))
-        counts = np.diff(total[np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))])
-        return flat[_places(begin[codes], sizes[codes])], counts
+        taken = known.take(pa.array(codes))
+        counts = np.diff(taken.offsets.to_numpy()[np.append(0, ends + np.arange(1, len(ends) + 1))]).astype(np.int64)
+        return taken.flatten().to_numpy(), counts
 
 
 @cache
