@@ -5,7 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,18 @@ def main(job: Callable[..., dict], paths: dict[str, str], argv: list[str] | None
         spark.stop()
 
 
+@contextmanager
+def small_splits(spark: SparkSession, size: int) -> Iterator[None]:
+    """Files are read in splits of at most these bytes meanwhile, for steps that take far longer than their reading: cores that are done early find more to do."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table that a job writes; without rows as long as nothing was written."""
     try:

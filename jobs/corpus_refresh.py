@@ -4,7 +4,7 @@
 
 IN is a folder (or file) of Parquet with doc_id, text and lang; files that are added later are taken by
 the next run. OUT has three tables. `versions` says which batch brought a document's text last, by its
-SHA-256; `chunks` has the chunks that each batch made, `encoded` their terms and vectors, so that an index
+SHA-256; `chunks` has the chunks that each batch made, `encoded` their terms and vectors (4-byte floats), so that an index
 (`index`) is put together without reading an old text again. All are partitioned by batch (chunks by language,
 too) and written by dynamic partition overwrite, so a batch that failed and runs again replaces what it had
 written. A batch's versions are written last and only chunks of a document's last version count
@@ -16,13 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import log, main, stored
+from jobs.common import log, main, small_splits, stored
+from lorespan.functions.vectors import of_bytes
 from lorespan.operators import chunking, retrieval
 from lorespan.settings import DEFAULT, Settings
 
 PATHS = {"documents": "folder or file of Parquet with documents", "output": "folder of the tables versions and chunks", "checkpoint": "folder of the stream's checkpoint"}
+#: Bytes of chunks' files that a task encodes at most.
+SPLIT = 16 << 20
 VERSIONS = "doc_id string, digest string, batch long"
-ENCODED = "chunk_id string, doc_id string, terms array<string>, vec array<float>, batch long"
+ENCODED = "chunk_id string, doc_id string, terms array<string>, vec binary, batch long"
 CHUNKS = "chunk_id string, doc_id string, section string, text string, citation string, batch long, lang string"
 
 
@@ -42,7 +45,7 @@ def current(spark: SparkSession, output: str) -> DataFrame:
 def index(spark: SparkSession, output: str) -> retrieval.Index:
     """The search index of current(spark, output), of the terms and vectors that were stored with each batch."""
     base = stored(spark, f"{output}/encoded", ENCODED).join(latest(spark, output).select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
-    return retrieval.assemble(current(spark, output), base.select("chunk_id", "terms", "vec"))
+    return retrieval.assemble(current(spark, output), base.select("chunk_id", "terms", of_bytes()("vec").alias("vec")))
 
 
 def put(rows: DataFrame, path: str, *by: str) -> None:
@@ -63,7 +66,8 @@ def take(docs: DataFrame, output: str, batch: int, settings: Settings, delimiter
         # tasks are dealt by document, not by language, so a frequent language is written by many of them
         put(chunking.chunks(changed, settings, delimiter, keep=("batch", "lang")), f"{output}/chunks", "batch", "lang")
         new = stored(spark, f"{output}/chunks", CHUNKS).where(F.col("batch") == batch)
-        put(retrieval.encoded(new, settings, keep=("doc_id", "batch")), f"{output}/encoded", "batch")
+        with small_splits(spark, SPLIT):
+            put(retrieval.encoded(new, settings, keep=("doc_id", "batch"), as_bytes=True), f"{output}/encoded", "batch")
         put(changed.select("doc_id", "digest", "batch"), f"{output}/versions", "batch")
         read = rows.agg(F.count("*").alias("read"), F.count_if(F.col("doc_id").isNull()).alias("without_id")).first().asDict()
         return {"batch": batch, **read, "changed": changed.count(), "chunks": new.count()}

@@ -187,6 +187,35 @@ def test_texts_of_a_batch_share_a_dictionary(monkeypatch):
     assert vc.encode_texts([], 96).shape == (0, 96)
 
 
+def test_a_pair_is_hashed_once_a_batch(monkeypatch):
+    """However many texts of a batch have it, and whatever the batch is added up in."""
+    asked, hashed = [], vc.hashed
+    monkeypatch.setattr(vc, "hashed", lambda features, *a: asked.extend(list(map(str, features))) or hashed(features, *a))
+    texts = ["pairs of words that all texts have"] * 9000
+    made = vc.encode_texts(texts, 96)
+    assert sum(f.startswith("b:") for f in asked) == 6  # before, for 4,096 texts at a time: 18
+    assert (made == brute_vector(texts[0], 96).astype(np.float32)).all()
+
+
+def test_vectors_as_bytes_are_the_same(spark):
+    rows = spark.createDataFrame([(0, "venue in Pune"), (1, ""), (2, None), (3, "a b")], "i int, t string")
+    kept = rows.select("i", vc.encoder(Settings())("t").alias("v"), F.when(F.col("i") != 3, vc.bytes_encoder(Settings())("t")).alias("b"))
+    got = {r.i: r for r in kept.select("i", "v", vc.of_bytes()("b").alias("w"), "b").collect()}
+    assert all(got[i].w == got[i].v and len(got[i].b) == 4 * 512 for i in range(3)) and got[3].w is None
+
+
+def test_white_space_at_the_ends(spark):
+    """As by (?U)\\s, without a search through what lies between."""
+    every = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    rows = [c * 2 + "a " + c + " b" + c for c in every] + ["", " ", "\u3000\n", "x", None, " \U0001f600 "]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    old = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    squeezed = F.regexp_replace(F.regexp_replace(F.coalesce("t", F.lit("")), r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    words = F.size(F.filter(F.split(F.coalesce("t", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    assert df.where(~(tx.strip(F.col("t")).eqNullSafe(old) & tx.squeeze(F.col("t")).eqNullSafe(squeezed) & (tx.n_words(tx.squeeze(F.col("t"))) == words))).count() == 0
+    assert "regexp" not in df.select(tx.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rows_are_dealt_out_only_if_cores_are_idle(spark):
     few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 9)
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

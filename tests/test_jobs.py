@@ -76,6 +76,18 @@ def test_a_batch_that_failed_between_its_writes_runs_again(spark, places, monkey
     assert stored(spark, f"{places['output']}/chunks", corpus_refresh.CHUNKS).count() == 4
 
 
+def test_chunks_are_encoded_in_small_splits_and_one_value_a_vector(spark, places, monkeypatch):
+    add(spark, places, *[(i, f"text number {i}") for i in range(40)])
+    key, encoded, seen = "spark.sql.files.maxPartitionBytes", retrieval.encoded, []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(retrieval, "encoded", lambda new, *a, **k: seen.append((new.sparkSession.conf.get(key), new.sparkSession)) or encoded(new, *a, **k))
+    corpus_refresh.refresh(spark, **places, **FEW)
+    assert [int(size) for size, _ in seen] == [corpus_refresh.SPLIT] and corpus_refresh.SPLIT < 128 << 20
+    assert seen[0][1].conf.get(key) == before == spark.conf.get(key)
+    written = spark.read.parquet(f"{places['output']}/encoded")
+    assert dict(written.dtypes)["vec"] == "binary" and {len(r.vec) for r in written.collect()} == {4 * 512}
+
+
 def test_a_batch_is_the_same_if_it_runs_twice(spark, places):
     docs = spark.createDataFrame([(1, "a b"), (1, "z"), (1, "z"), (None, "q"), (2, "c")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     from lorespan.settings import Settings
