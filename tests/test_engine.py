@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -61,6 +62,41 @@ def test_packing_closes_before_it_overflows(spark):
     assert df.select(chunking.packed(F.col("t"), 5).alias("p")).first().p == ["a b c\n\nd e", "f", ("g " * 9).strip()]
 
 
+def brute_chunks(raw, words, least, delimiter):
+    """(section, text) in order."""
+    raw, out = re.sub(r"\r\n?", "\n", raw), []
+    pieces = [p for i, p in enumerate(re.split(r"(?am)(?=^#{2,6}[^\S\n]+)", raw)) if p or i]
+    before = 0 if pieces and re.match(r"(?a)#{2,6}[^\S\n]+", pieces[0]) is None else 1
+    for i, piece in enumerate(pieces):
+        head, label, body = re.match(r"(?a)#{2,6}[^\S\n]+(.*)\n?", piece), "intro", piece
+        if head:
+            label, body = f"§{i + before} {head[1].strip()}", piece[head.end() :]
+        packs, n = [], 0
+        for p in filter(None, (x.strip() for x in re.split(f"(?a){delimiter}", body))):
+            if packs and n + len(p.split()) <= words:
+                packs[-1], n = packs[-1] + "\n\n" + p, n + len(p.split())
+            else:
+                packs, n = [*packs, p], len(p.split())
+        texts = [" ".join(re.sub(r"(?am)^#{1,6}\s+(.*)$", r"\1", p).split()) for p in packs]
+        out += [(label, t) for t in texts if len(t.split()) >= least]
+    return out
+
+
+@pytest.mark.parametrize("delimiter", ["\n", chunking.BLANK_LINE])
+def test_chunks_equal_brute_force_and_look_for_white_space_once(spark, delimiter):
+    rnd = random.Random(5)
+    parts = ["a", "b#", "cc", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\n## T x\n", "\n# h\n", "#", "\n#######  y", "\n###\u3000z \n", "\u00a0", "## "]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(40)))) for i in range(400)]
+    made = chunking.chunks(spark.createDataFrame(rows, "doc_id int, raw string"), Settings(chunk_words=4, min_chunk_words=2), delimiter)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.doc_id, []).append((int(r.chunk_id.split("#c")[1]), r.section, r.text))
+    for i, raw in rows:
+        assert [x[1:] for x in sorted(got.get(str(i), []))] == brute_chunks(raw, 4, 2, delimiter), raw
+    # of a paragraph, and of a pack that has a heading; before, three times, and all packs were searched
+    assert made._jdf.queryExecution().analyzed().toString().count("(?U)\\s+") == 2
+
+
 def test_index_is_rebuilt_if_it_does_not_fit(spark, index, tmp_path):
     corpus.write_index(index, str(tmp_path))
     assert corpus.open_index(spark, str(tmp_path), index.chunks).chunks.count() == 3
